@@ -57,9 +57,11 @@ def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 256,
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], bucket_col: str,
-                 order: Sequence[Column], sums: dict, descending: bool = False) -> DataFrame:
+                 order: Sequence[Column], sums: dict, descending: bool = False,
+                 group_totals: bool = False) -> DataFrame:
     """Add inclusive running sums ``{out_name: value_column}`` ordered by
-    ``order`` within ``group_cols``.
+    ``order`` within ``group_cols`` (and, with ``group_totals``, the group's
+    grand total as ``{out_name}_total``, taken from the bucket table for free).
 
     ``bucket_col`` must be monotone with ``order`` (non-decreasing when
     ``descending`` is False, non-increasing otherwise). Ties in ``order`` are
@@ -74,10 +76,17 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], bucket_col: str,
     # small table: #groups × #buckets rows
     w_off = Window.partitionBy(*group_cols).orderBy(b_order).rowsBetween(
         Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*group_cols)
     offsets = totals.select(*group_cols, bucket_col,
                             *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_o_{k}")
-                              for k in vals])
-    j = with_vals.join(offsets, group_cols + [bucket_col], "inner")
+                              for k in vals],
+                            *([F.sum(f"_t_{k}").over(w_all).alias(f"{k}_total") for k in vals]
+                              if group_totals else []))
+    keys = group_cols + [bucket_col]
+    offsets = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in keys],
+                             *[c for c in offsets.columns if c not in keys])
+    cond = [with_vals[c].eqNullSafe(offsets[f"_k_{c}"]) for c in keys]  # null group keys kept
+    j = with_vals.join(offsets, cond, "inner").drop(*[f"_k_{c}" for c in keys])
     w_in = Window.partitionBy(*group_cols, bucket_col).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     out = j.select("*", *[(F.col(f"_o_{k}") + F.sum(f"_v_{k}").over(w_in)).alias(k) for k in vals])
@@ -86,11 +95,13 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], bucket_col: str,
 
 def hash_rank(df: DataFrame, group_cols: Sequence[str], seed, key_cols: Sequence[str],
               tiebreak: Sequence[str] = (), out: str = "_rank",
-              digits: int = HASH_BUCKET_DIGITS) -> DataFrame:
+              digits: int = HASH_BUCKET_DIGITS, group_totals: bool = False) -> DataFrame:
     """Exact 1-based rank of each row inside its group in ``md5(seed:key)``
-    order (then ``tiebreak`` columns), computed bucket-wise."""
+    order (then ``tiebreak`` columns), computed bucket-wise. The hash stays in
+    column ``_h``; with ``group_totals`` the group size is ``{out}_total``."""
     h = "_h"
     d = df.withColumn(h, hash_order(seed, key_cols)).withColumn("_hb", hash_bucket(F.col(h), digits))
     order = [F.col(h)] + [F.col(c) for c in tiebreak]
-    r = running_sums(d, group_cols, "_hb", order, {out: F.lit(1).cast("long")})
+    r = running_sums(d, group_cols, "_hb", order, {out: F.lit(1).cast("long")},
+                     group_totals=group_totals)
     return r.drop("_hb")
