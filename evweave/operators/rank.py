@@ -139,3 +139,17 @@ def global_importance(attr: DataFrame) -> DataFrame:
 def dependence(attr: DataFrame, feature: str) -> DataFrame:
     """(value, attribution) pairs of one feature."""
     return attr.where(F.col("feature") == feature).select("value", "attribution")
+
+
+def linear_contributions(df: DataFrame, features: Sequence[str], coefs: Sequence[float], bias: float,
+                         out: str = "contributions") -> DataFrame:
+    """Exact attributions of a linear margin b + Σwᵢxᵢ: cᵢ = wᵢ(xᵢ − x̄ᵢ) with
+    base value b + Σwᵢx̄ᵢ (means from one aggregate row), so base + Σcᵢ is the
+    margin of every row (the input of L17's additive decision)."""
+    means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in features])
+    base = F.lit(float(bias))
+    for c, w in zip(features, coefs):
+        base = base + F.lit(float(w)) * F.col(f"_m_{c}")
+    contrib = F.array(*[F.lit(float(w)) * (F.col(c) - F.col(f"_m_{c}")) for c, w in zip(features, coefs)])
+    j = df.crossJoin(F.broadcast(means))
+    return j.withColumn("base_value", base).withColumn(out, contrib).drop(*[f"_m_{c}" for c in features])

@@ -130,3 +130,21 @@ def h7_unweighted(spark, sf):
 def h9_density_2d(spark, sf):
     """H9: 20×20 density of two features per class."""
     return H.histogram_2d(labelled(spark, sf), "f_qty", "f_retail", 20, ["label"])
+
+
+def _h8_sql():
+    from .split_q import _ranked_cte, _split_case
+    return ev_sql(
+        "select split, prediction, bin, count(*) as entries from (select "
+        f"{_split_case('rk', 'n', 0.6, 0.2, 0.2)} as split, case when score > 0.5 then 1 else 0 end as prediction, "
+        f"{bin_sql('score', '0.0', '1.0', 20)} as bin from r) t group by split, prediction, bin",
+        LABELLED_CTE, _ranked_cte("lab"))
+
+
+@query("h8_score_hist_by_split_prediction", oracle=_h8_sql())
+def h8_score_hist(spark, sf):
+    """X1 → L7 → H8: 20-bin score histogram per split and predicted class."""
+    from ..operators import split as X
+    from ..operators.metrics import with_prediction
+    d = X.assign_split(labelled(spark, sf).select("event_key", "label", "score"), 0.6, 0.2, 0.2, 42)
+    return H.score_histogram(with_prediction(d, 0.5), n_bins=20)

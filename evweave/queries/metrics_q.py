@@ -303,3 +303,16 @@ def l15_class_weighted(spark, sf):
     """Class-weighted sample weights (background 15, signal 10), summed per class."""
     d = labelled(spark, sf)
     return round_doubles(d.groupBy("label").agg(F.sum(L.class_weighted("weight", "label", 15.0, 10.0)).alias("w")))
+
+
+@query("e13_precision_recall_crossings", oracle=ev_sql(
+    "select threshold, round(p, 6) as precision, round(r, 6) as recall from ("
+    f"select threshold, tps - pos_w as ptps, fps - neg_w as pfps, {_div('tps', 'tps + fps')} as p, "
+    f"{_div('tps', 'tps_total')} as r, {_div('tps - pos_w', '(tps - pos_w) + (fps - neg_w)')} as pp, "
+    f"{_div('tps - pos_w', 'tps_total')} as pr from cur) t "
+    "where not (ptps = 0 and pfps = 0) and sign(p - r) != sign(pp - pr)",
+    LABELLED_CTE, SR_CTE, _CURVE))
+def e13_crossings(spark, sf):
+    """E11 → E13: thresholds where precision − recall changes sign."""
+    c = M.pr_curve(labelled_sr(spark, sf))
+    return round_doubles(c.where(F.col("crossing")).select("threshold", "precision", "recall"))

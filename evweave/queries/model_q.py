@@ -311,3 +311,31 @@ def z4_loss(spark, sf):
     """A user loss callable (focal, α 0.5, γ 1) averaged per tag."""
     return round_doubles(MD.mean_loss(labelled_sr(spark, sf), lambda y, p: L.focal_loss(y, p, 0.5, 1.0),
                                       keys=["tag"]))
+
+
+_L17_W = [2.0, -0.5, 1.0, 0.5, -1.0]  # a stored linear model over the min-max-scaled features
+_L17_B = -0.75
+
+
+def _l17_sql() -> str:
+    mm = ", ".join(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in FEATURES)
+    sc = ", ".join(f"({c} - lo_{c}) / case when hi_{c} - lo_{c} = 0 then 1.0 else hi_{c} - lo_{c} end as {c}"
+                   for c in FEATURES)
+    means = ", ".join(f"avg({c}) as m_{c}" for c in FEATURES)
+    base = f"cast({_L17_B!r} as double)" + "".join(
+        f" + cast({w!r} as double) * m_{c}" for c, w in zip(FEATURES, _L17_W))
+    cs = [f"cast({w!r} as double) * ({c} - m_{c})" for c, w in zip(FEATURES, _L17_W)]
+    total = "(" + base + "".join(f" + {x}" for x in cs) + ")"
+    return ev_sql(f"select event_key, round({base}, 6) as base_value, "
+                  f"list_value({', '.join(f'round({x}, 6)' for x in cs)}) as contributions, "
+                  f"cast({total} > 0 as int) as decision from s cross join (select {means} from s) mm",
+                  LABELLED_CTE, SR_CTE, f"s as (select event_key, {sc} from sr cross join (select {mm} from sr) q)")
+
+
+@query("l17_additive_decision", oracle=_l17_sql())
+def l17_additive(spark, sf):
+    """F2 → exact linear attributions → L17: base value + Σ attributions > 0."""
+    d = S.minmax_scale(labelled_sr(spark, sf).select("event_key", *FEATURES), FEATURES)
+    c = R.linear_contributions(d, FEATURES, _L17_W, _L17_B)
+    c = c.withColumn("decision", L.additive_decision("base_value", "contributions"))
+    return round_doubles(c.select("event_key", "base_value", "contributions", "decision"))

@@ -389,3 +389,23 @@ def s11(spark, sf):
     IO.write_evaluation_json(M.evaluation_json(labelled_sr(spark, sf), 0.4, ["tag"]), path)
     back = IO.read_evaluation_json(spark, path, [T.StructField("tag", T.IntegerType())])
     return round_doubles(back)
+
+
+@query("l4_label_by_file", oracle=ev_sql(
+    "select sample, cast(sample = 'sig2000' and sample <> 'fakes' as int) as label, count(*) as n "
+    "from ev group by all"))
+def l4(spark, sf):
+    """L4: rows labelled by the name of the file they were read from (signal
+    file's fake rows excluded), using the ``_metadata.file_path`` column."""
+    d = spark.read.parquet(_dataset_store(spark, sf)).select("sample", "_metadata.file_path")
+    d = d.withColumn("label", L.label_by_file("file_path", "dataset=sig2000/", sample="sample"))
+    return d.groupBy("sample", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l6_file_stem", oracle=ev_sql(
+    "select regexp_extract(p, '([^/]+)\\.[^./]+$', 1) as dataset, count(*) as n from "
+    "(select concat('/store/v2/', sample, '.root') as p from ev) t group by all"))
+def l6(spark, sf):
+    """The file stem of a path as the dataset name."""
+    d = event_view(spark, sf).select(F.concat(F.lit("/store/v2/"), F.col("sample"), F.lit(".root")).alias("p"))
+    return d.select(L.file_stem("p").alias("dataset")).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))

@@ -229,3 +229,12 @@ def f4_parameterised(spark, sf):
     s = X.assign_split(d, 0.6, 0.2, 0.2, SEED, key_cols=["event_key", "mass"], strata=["mass"])
     out = S.standard_scale(s.withColumn("mass", F.col("mass").cast("double")), feats, F.col("split") == "train")
     return round_doubles(out)
+
+
+@query("f5_assembled_matrix", oracle=ev_sql(
+    f"select event_key, list_value({', '.join(FEATURES)}) as features from lab", LABELLED_CTE))
+def f5_assemble(spark, sf):
+    """the model matrix as one vector per row (shown as an array)."""
+    from pyspark.ml.functions import vector_to_array
+    d = S.assemble(labelled(spark, sf).select("event_key", *FEATURES), FEATURES, "vec")
+    return d.select("event_key", vector_to_array("vec").alias("features"))

@@ -202,3 +202,9 @@ def j4_compare_mass(spark, sf):
     """E8 per comb → J4: the comparison with the mass in the key."""
     ev = round_doubles(M.evaluate(comb_scores(spark, sf, with_mass=True), 0.5, ["comb", "mass"]))
     return W.compare_reports(ev, COMBS, keys=("mass", "weighted", "class", "metric"))
+
+
+@query("t6_preview")
+def t6_preview(spark, sf):
+    """The first five rows of the score table (a preview; order unspecified)."""
+    return W.preview(_e15(spark, sf), 5)

@@ -139,3 +139,28 @@ def test_chi2_matches_formula(spark):
     assert got == pytest.approx(sum((obs[c] - exp[c]) ** 2 / exp[c] for c in obs))
     p = R.chi2_pvalues(R.chi2_scores(d, ["x"])).first()["p_value"]
     assert p == pytest.approx(math.erfc(math.sqrt(got / 2)))
+
+
+def test_model_save_load_round_trip(spark, data):
+    from pyspark.ml import PipelineModel
+
+    from evweave.sources import io as IO
+    train, test = data
+    m = MD.fit_classifier(train, FEATURES, "logistic")
+    path = IO.new_store(spark, "t-model")
+    IO.save_model(m, MD.training_history(m), path)
+    m2, hist = IO.load_model(spark, path, PipelineModel)
+    a = MD.score(m, test, "a").select("event_key", "a")
+    b = MD.score(m2, test, "b").select("event_key", "b")
+    assert a.join(b, "event_key").where(F.col("a") != F.col("b")).count() == 0
+    assert hist is not None and hist.count() >= 1
+
+
+def test_additive_decision_equals_margin_sign(spark, data):
+    from evweave.functions.labels import additive_decision
+    train, _ = data
+    c = R.linear_contributions(train, FEATURES, [1.0, -2.0, 0.5, 0.0, 1.5], 0.25)
+    z = F.lit(0.25) + F.col("f_qty") * 1.0 - 2.0 * F.col("f_price") + 0.5 * F.col("f_tax") + 1.5 * F.col("f_size")
+    d = c.withColumn("dec", additive_decision("base_value", "contributions")).withColumn("z", z)
+    tot = F.aggregate("contributions", F.col("base_value"), lambda a, v: a + v)
+    assert d.where(F.abs(tot - F.col("z")) > 1e-9).count() == 0
