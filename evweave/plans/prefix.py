@@ -69,28 +69,26 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], bucket_col: str,
     """
     group_cols = list(group_cols)
     vals = {k: (v if isinstance(v, Column) else F.col(v)) for k, v in sums.items()}
-    with_vals = df.select("*", *[v.alias(f"_v_{k}") for k, v in vals.items()])
-    totals = with_vals.groupBy(*group_cols, bucket_col).agg(
-        *[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in vals])
+    # One struct key for the group: never null (null members compare equal),
+    # so the offsets join is a plain equi-join whose hash partitioning on
+    # (group, bucket) is reused by the window below — one shuffle of the rows.
+    gk = F.struct(*group_cols) if group_cols else F.lit(0)
+    with_vals = df.select("*", gk.alias("_gk"), *[v.alias(f"_v_{k}") for k, v in vals.items()])
+    totals = with_vals.groupBy("_gk", bucket_col).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in vals])
     b_order = F.col(bucket_col).desc() if descending else F.col(bucket_col).asc()
     # small table: #groups × #buckets rows
-    w_off = Window.partitionBy(*group_cols).orderBy(b_order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*group_cols)
-    offsets = totals.select(*group_cols, bucket_col,
+    w_off = Window.partitionBy("_gk").orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy("_gk")
+    offsets = totals.select("_gk", bucket_col,
                             *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_o_{k}")
                               for k in vals],
                             *([F.sum(f"_t_{k}").over(w_all).alias(f"{k}_total") for k in vals]
                               if group_totals else []))
-    keys = group_cols + [bucket_col]
-    offsets = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in keys],
-                             *[c for c in offsets.columns if c not in keys])
-    cond = [with_vals[c].eqNullSafe(offsets[f"_k_{c}"]) for c in keys]  # null group keys kept
-    j = with_vals.join(offsets, cond, "inner").drop(*[f"_k_{c}" for c in keys])
-    w_in = Window.partitionBy(*group_cols, bucket_col).orderBy(*order).rowsBetween(
+    j = with_vals.join(offsets, ["_gk", bucket_col], "inner")
+    w_in = Window.partitionBy("_gk", bucket_col).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     out = j.select("*", *[(F.col(f"_o_{k}") + F.sum(f"_v_{k}").over(w_in)).alias(k) for k in vals])
-    return out.drop(*[f"_v_{k}" for k in vals], *[f"_o_{k}" for k in vals])
+    return out.drop("_gk", *[f"_v_{k}" for k in vals], *[f"_o_{k}" for k in vals])
 
 
 def hash_rank(df: DataFrame, group_cols: Sequence[str], seed, key_cols: Sequence[str],
