@@ -1,11 +1,12 @@
 """Weighted histograms (H1–H9).
 
 Shape of every job: (1) limits per histogram key from one aggregation,
-(2) join the limits back — a one-row cross join when global, otherwise a join
-on the small limits table that AQE broadcasts at runtime — (3) a JVM-side bin
-expression, (4) ONE ``groupBy`` with map-side partial sums. Many features are
-handled in the same pass by unpivoting them to (feature, value) rows first, so
-a sweep over regions × tags × features costs one shuffle of tiny partials.
+stored once, (2) joined back — a one-row cross join when global, otherwise a
+broadcast after counting the stored limits table (shuffle join above the
+bound) — (3) a JVM-side bin expression, (4) ONE ``groupBy`` with map-side
+partial sums. A sweep over many features joins the limits in wide form and
+only then unpivots the (feature, bin) pairs, so the exploded rows never cross
+a shuffle — only the tiny partial aggregates do.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_center, bin_index
+from ..plans.small import join_checked, stored
 from ..schema import DEFAULT_ROLES, Roles
 
 
@@ -34,7 +36,7 @@ def with_limits(df: DataFrame, x: str, keys: Sequence[str] = (), lo: float | Non
         return df.withColumn("_lo", F.lit(float(lo))).withColumn("_hi", F.lit(float(hi)))
     lim = df.groupBy(*keys).agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
     if keys:
-        return df.join(lim, keys, "inner")
+        return join_checked(df, stored(lim), keys)
     return df.crossJoin(F.broadcast(lim))  # exactly one row
 
 
@@ -91,12 +93,31 @@ def data_over_background(hist: DataFrame, category: str = "category", keys: Sequ
 def sweep_histograms(df: DataFrame, features: Sequence[str], keys: Sequence[str], by: Sequence[str],
                      n_bins: int = 30, weight: str | None = "weight") -> DataFrame:
     """H6/H7: histograms of every feature for every key combination (e.g.
-    region × tag) and ``by`` group (e.g. category), limits per (key, feature),
-    all from one unpivot and one aggregation."""
-    keep = list(dict.fromkeys(list(keys) + list(by) + ([weight] if weight else [])))
-    long = to_long(df, features, keep)
-    return histogram(long, "value", n_bins, by=by, limit_keys=list(keys) + ["feature"],
-                     weight=weight)
+    region × tag) and ``by`` group (e.g. category), limits per (key, feature).
+
+    Limits are one aggregation in wide form (min/max of every feature per
+    key), stored, and joined onto the rows BEFORE the features are unpivoted
+    (broadcast when the counted number of key combinations is small), so no
+    exploded row is ever shuffled; bins are computed per feature, then the
+    (feature, bin) pairs are unpivoted and aggregated in one pass."""
+    keys, by = list(keys), [c for c in by if c not in keys]
+    feats = list(features)
+    lim = df.groupBy(*keys).agg(*[F.min(c).cast("double").alias(f"_lo_{i}") for i, c in enumerate(feats)],
+                                *[F.max(c).cast("double").alias(f"_hi_{i}") for i, c in enumerate(feats)])
+    lim = stored(lim)
+    j = join_checked(df.select(*keys, *by, *feats, *([weight] if weight else [])), lim, keys or None)
+    per = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_lo_{i}").alias("lo"),
+                             F.col(f"_hi_{i}").alias("hi"),
+                             bin_index(F.col(c).cast("double"), F.col(f"_lo_{i}"), F.col(f"_hi_{i}"), n_bins)
+                             .alias("bin")) for i, c in enumerate(feats)])
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    long = j.select(*keys, *by, w.alias("_w"), F.explode(per).alias("_f")).select(
+        *keys, *by, "_w", "_f.*").where(F.col("bin").isNotNull())
+    g = long.groupBy(*keys, "feature", *by, "lo", "hi", "bin").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("_w").alias("sum_w"), F.sum(F.col("_w") * F.col("_w")).alias("sum_w2"))
+    return g.select(*keys, "feature", *by, "bin", "lo", "hi",
+                    bin_center(F.col("bin"), F.col("lo"), F.col("hi"), n_bins).alias("center"),
+                    "entries", "sum_w", "sum_w2")
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, n_bins: int = 20, by: Sequence[str] = ("label",)) -> DataFrame:

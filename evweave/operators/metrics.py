@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import predict_class
 from ..plans.prefix import quantile_buckets, running_sums
+from ..plans.small import join_checked, stored
 from ..schema import DEFAULT_ROLES, Roles
 
 CELLS = ("tn", "fp", "fn", "tp")
@@ -214,7 +215,8 @@ def curve_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score",
                  weight: str | None = "weight", n_buckets: int = 64) -> DataFrame:
     """Running positives/negatives at every distinct score, highest first:
     columns keys, threshold, pos_w, neg_w, tps, fps, tps_total, fps_total."""
-    st = score_totals(df, keys, score, label, weight)
+    # the distinct-score table is small; stored once so the source is read once
+    st = stored(score_totals(df, keys, score, label, weight))
     b = quantile_buckets(st, "threshold", n_buckets, "_sb", keys)
     return running_sums(b, keys, "_sb", [F.col("threshold").desc()],
                         {"tps": "pos_w", "fps": "neg_w"}, descending=True, group_totals=True).drop("_sb")
@@ -289,7 +291,7 @@ def predict_at_mean(df: DataFrame, score: str = "score", keys: Sequence[str] = (
     """Threshold each row at the mean score of its slice (one aggregate row
     per slice joined back)."""
     m = df.groupBy(*keys).agg(F.avg(score).alias("_mean_score"))
-    j = df.join(m, list(keys)) if keys else df.crossJoin(F.broadcast(m))
+    j = join_checked(df, stored(m), keys) if keys else df.crossJoin(F.broadcast(m))
     return j.withColumn(out, (F.col(score) > F.col("_mean_score")).cast("int"))
 
 

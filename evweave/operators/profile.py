@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.small import join_checked, stored
 from ..schema import DEFAULT_ROLES, Roles
 
 
@@ -193,7 +194,7 @@ def weighted_mean_std(df: DataFrame, x: str, keys: Sequence[str] = (),
     (mean first, then Σw(x−m)²/Σw) for numerical stability."""
     keys = list(keys)
     m = df.groupBy(*keys).agg((F.sum(F.col(x) * F.col(roles.weight)) / F.sum(roles.weight)).alias("wmean"))
-    j = df.join(m, keys, "inner") if keys else df.crossJoin(F.broadcast(m))
+    j = join_checked(df, stored(m), keys) if keys else df.crossJoin(F.broadcast(m))
     d = F.col(x) - F.col("wmean")
     return j.groupBy(*keys, "wmean").agg(
         F.sqrt(F.sum(F.col(roles.weight) * d * d) / F.sum(roles.weight)).alias("wstd"))

@@ -44,12 +44,13 @@ def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 256,
     points (balanced buckets even when values crowd together).
 
     The cut points are one aggregate row per group (``n_buckets`` doubles),
-    joined back; the join side is bounded by the number of groups."""
+    stored and joined back (broadcast after a row count when small)."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = df.groupBy(*group_cols).agg(
         F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), 10000).alias("_cuts"))
     if group_cols:
-        j = df.join(cuts, list(group_cols), "inner")
+        from .small import join_checked, stored
+        j = join_checked(df, stored(cuts), group_cols)
     else:
         j = df.crossJoin(F.broadcast(cuts))  # exactly one row
     b = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(col)))
