@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_center, bin_index
-from ..plans.small import join_checked, stored
+from ..plans.small import join_checked, stored, with_scalars
 from ..schema import DEFAULT_ROLES, Roles
 
 
@@ -37,7 +37,7 @@ def with_limits(df: DataFrame, x: str, keys: Sequence[str] = (), lo: float | Non
     lim = df.groupBy(*keys).agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
     if keys:
         return join_checked(df, stored(lim), keys)
-    return df.crossJoin(F.broadcast(lim))  # exactly one row
+    return with_scalars(df, lim)  # one row
 
 
 def histogram(df: DataFrame, x: str, n_bins: int = 30, by: Sequence[str] = ("sample",),
@@ -124,7 +124,7 @@ def histogram_2d(df: DataFrame, x: str, y: str, n_bins: int = 20, by: Sequence[s
     """H9: rectangular 2-D density (counts per x-bin × y-bin × class), global limits."""
     lim = df.agg(F.min(x).cast("double").alias("_xlo"), F.max(x).cast("double").alias("_xhi"),
                  F.min(y).cast("double").alias("_ylo"), F.max(y).cast("double").alias("_yhi"))
-    d = df.crossJoin(F.broadcast(lim))
+    d = with_scalars(df, lim)
     d = d.select(*by, bin_index(F.col(x), F.col("_xlo"), F.col("_xhi"), n_bins).alias("bx"),
                  bin_index(F.col(y), F.col("_ylo"), F.col("_yhi"), n_bins).alias("by"))
     return d.groupBy(*by, "bx", "by").agg(F.count(F.lit(1)).alias("entries"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import predict_class
 from ..plans.prefix import quantile_buckets, running_sums
-from ..plans.small import join_checked, stored
+from ..plans.small import join_checked, stored, with_scalars
 from ..schema import DEFAULT_ROLES, Roles
 
 CELLS = ("tn", "fp", "fn", "tp")
@@ -136,7 +136,7 @@ def evaluation_json(df: DataFrame, th: float = 0.4, keys: Sequence[str] = (), sc
                      F.array(F.array("w_tn", "w_fp"), F.array("w_fn", "w_tp")).alias("weighted_cm"))
     if keys:
         return base.join(unw, list(keys)).join(wtd, list(keys))
-    return base.crossJoin(unw).crossJoin(wtd)
+    return with_scalars(with_scalars(base, unw), wtd)
 
 
 # --- J7 / E14–E16: threshold sweeps ---------------------------------------------
@@ -157,8 +157,9 @@ def threshold_cells(df: DataFrame, thresholds: Sequence[float], keys: Sequence[s
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     small = df.groupBy(*keys, k.alias("_k"), F.col(label).alias("_y")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(w).alias("_w"))
-    th_df = df.sparkSession.createDataFrame([(j, t) for j, t in enumerate(ths)], "_j int, th double")
-    x = small.crossJoin(F.broadcast(th_df))  # small × (#thresholds) rows
+    # each small row once per threshold (a fixed list): small × #thresholds rows
+    th_arr = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(t).alias("th")) for j, t in enumerate(ths)])
+    x = small.select("*", F.explode(th_arr).alias("_t")).select(*small.columns, "_t._j", "_t.th")
     pos = F.col("_k") > F.col("_j")
     y = F.col("_y")
     conds = {"tn": (y == 0) & ~pos, "fp": (y == 0) & pos, "fn": (y == 1) & ~pos, "tp": (y == 1) & pos}
@@ -291,7 +292,7 @@ def predict_at_mean(df: DataFrame, score: str = "score", keys: Sequence[str] = (
     """Threshold each row at the mean score of its slice (one aggregate row
     per slice joined back)."""
     m = df.groupBy(*keys).agg(F.avg(score).alias("_mean_score"))
-    j = join_checked(df, stored(m), keys) if keys else df.crossJoin(F.broadcast(m))
+    j = join_checked(df, stored(m), keys) if keys else with_scalars(df, m)
     return j.withColumn(out, (F.col(score) > F.col("_mean_score")).cast("int"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import class_weighted
+from ..plans.small import with_scalars
 from ..schema import DEFAULT_ROLES, Roles
 
 ESTIMATORS = {"logistic": LogisticRegression, "gbt": GBTClassifier, "forest": RandomForestClassifier}
@@ -122,7 +123,7 @@ def fit_reconstruction(df: DataFrame, x: str = "x", k: int = 2) -> tuple:
     mean = pe.groupBy("pos").agg(F.avg("v").alias("m")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("s")).select(
         F.transform("s", lambda e: e["m"]).alias("_mean"))
-    c = df.crossJoin(F.broadcast(mean)).select(
+    c = with_scalars(df, mean).select(
         array_to_vector(F.zip_with(x, "_mean", lambda a, b: a - b)).alias("_xc"))
     pca = PCA(k=k, inputCol="_xc", outputCol="_z").fit(c)
     return mean, pca
@@ -135,7 +136,7 @@ def reconstruction_error(df: DataFrame, mean: DataFrame, pca, x: str = "x", out:
     V = pca.pc.toArray()  # (n_features × k)
     n, k = V.shape
     axes = [F.array(*[F.lit(float(V[i, j])) for i in range(n)]) for j in range(k)]
-    d = df.crossJoin(F.broadcast(mean)).withColumn("_xc", F.zip_with(x, "_mean", lambda a, b: a - b))
+    d = with_scalars(df, mean).withColumn("_xc", F.zip_with(x, "_mean", lambda a, b: a - b))
     zs = [F.aggregate(F.zip_with("_xc", v, lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t) for v in axes]
     xhat = F.transform(axes[0], lambda e: e * zs[0])
     for v, z in zip(axes[1:], zs[1:]):

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.small import join_checked, stored
+from ..plans.small import join_checked, stored, with_scalars
 from ..schema import DEFAULT_ROLES, Roles
 
 
@@ -91,7 +91,7 @@ def signal_vs_background(df: DataFrame, signal_samples: Sequence[str], backgroun
         F.count(F.lit(1)).alias("n_signal"), F.sum(roles.weight).alias("w_signal"))
     b = df.where(F.col(roles.sample).isin(list(background))).agg(
         F.count(F.lit(1)).alias("n_background"), F.sum(roles.weight).alias("w_background"))
-    j = s.crossJoin(F.broadcast(b))
+    j = with_scalars(s, b)
     return j.select(
         roles.sample, "n_signal", "w_signal", "n_background", "w_background",
         (F.col("n_signal") / (F.col("n_signal") + F.col("n_background"))).alias("density"),
@@ -194,7 +194,7 @@ def weighted_mean_std(df: DataFrame, x: str, keys: Sequence[str] = (),
     (mean first, then Σw(x−m)²/Σw) for numerical stability."""
     keys = list(keys)
     m = df.groupBy(*keys).agg((F.sum(F.col(x) * F.col(roles.weight)) / F.sum(roles.weight)).alias("wmean"))
-    j = join_checked(df, stored(m), keys) if keys else df.crossJoin(F.broadcast(m))
+    j = join_checked(df, stored(m), keys) if keys else with_scalars(df, m)
     d = F.col(x) - F.col("wmean")
     return j.groupBy(*keys, "wmean").agg(
         F.sqrt(F.sum(F.col(roles.weight) * d * d) / F.sum(roles.weight)).alias("wstd"))

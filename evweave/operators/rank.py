@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.hist import to_long
+from ..plans.small import with_scalars
 from . import metrics as M
 from . import models as MD
 
@@ -80,7 +81,7 @@ def compare_feature_sets(train: DataFrame, test: DataFrame, sets: Mapping[str, S
         s = MD.score(m, test)
         auc = M.roc_auc(s, weight=None).withColumn("feature_set", F.lit(name))
         f1 = M.f1_per_threshold(s, [th], weight=None).select("f1_1")
-        outs.append(auc.crossJoin(f1))
+        outs.append(with_scalars(auc, f1))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
@@ -151,5 +152,5 @@ def linear_contributions(df: DataFrame, features: Sequence[str], coefs: Sequence
     for c, w in zip(features, coefs):
         base = base + F.lit(float(w)) * F.col(f"_m_{c}")
     contrib = F.array(*[F.lit(float(w)) * (F.col(c) - F.col(f"_m_{c}")) for c, w in zip(features, coefs)])
-    j = df.crossJoin(F.broadcast(means))
+    j = with_scalars(df, means)
     return j.withColumn("base_value", base).withColumn(out, contrib).drop(*[f"_m_{c}" for c in features])

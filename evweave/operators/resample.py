@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.prefix import hash_rank
+from ..plans.small import with_scalars
 from ..session import materialize
 
 MAX_DIM = 6
@@ -204,7 +205,7 @@ class Oversampler:
         rows = self.mino.withColumn("c", _coords(self.features)).join(self.majority_share(), "c", "left") \
             .fillna({"r": 0.0})
         tot = rows.agg(F.sum("r").alias("_rt"))
-        rows = rows.crossJoin(F.broadcast(tot)).withColumn(
+        rows = with_scalars(rows, tot).withColumn(
             "g", F.when(F.col("_rt") > 0, F.rint(F.col("r") / F.col("_rt") * F.lit(float(n_syn)))).otherwise(0)
             .cast("int")).drop("c", "r", "_rt")
         return self._finish(_synthesize(rows, self.minority_neighbours(), self.features, self.id_col, self.seed))
@@ -217,7 +218,7 @@ class Oversampler:
             .withColumn("synthetic", F.lit(True))
         if self.weight:
             mw = self.df.agg(F.avg(self.weight).alias(self.weight))  # X11: one row
-            syn = syn.crossJoin(F.broadcast(mw))
+            syn = with_scalars(syn, mw)
         return self.base.unionByName(syn.select(*self.base.columns))
 
 

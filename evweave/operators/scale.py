@@ -16,13 +16,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.small import join_checked, stored
+from ..plans.small import join_checked, stored, with_scalars
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     if group_cols:  # one row per group: stored, counted, broadcast when small
         return join_checked(df, stored(stats), group_cols, "left")
-    return df.crossJoin(F.broadcast(stats))  # exactly one row
+    return with_scalars(df, stats)  # one row
 
 
 def standard_scale(df: DataFrame, features: Sequence[str], fit_filter: Column | None = None,

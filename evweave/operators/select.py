@@ -144,18 +144,15 @@ def label_by_sample(df: DataFrame, signal: str, exclude_data: bool = True,
 def mass_parameterised(df: DataFrame, masses: Sequence[int], signal_prefix: str = "sig",
                        roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Every signal row keeps its own mass (label 1); every background row
-    is repeated once per mass (label 0).
-
-    The repetition is a cross join with the mass list, which is a fixed-size
-    driver list (one row per mass) and therefore broadcast."""
-    spark = df.sparkSession
+    is repeated once per mass (label 0) — an ``explode`` of the fixed mass
+    list, so no join is involved."""
     s = F.col(roles.sample)
     is_sig = s.startswith(signal_prefix)
     sig = (df.where(is_sig).withColumn(roles.mass, mass_from_sample(s))
            .where(F.col(roles.mass).isin(list(masses)))
            .withColumn(roles.label, F.lit(1)))
-    mass_df = spark.createDataFrame([(int(m),) for m in masses], f"{roles.mass} int")
-    bg = (df.where(~is_sig).crossJoin(F.broadcast(mass_df)).withColumn(roles.label, F.lit(0)))
+    mass_arr = F.array(*[F.lit(int(m)) for m in masses])
+    bg = (df.where(~is_sig).withColumn(roles.mass, F.explode(mass_arr)).withColumn(roles.label, F.lit(0)))
     return sig.unionByName(bg)
 
 

@@ -48,11 +48,11 @@ def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 256,
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = df.groupBy(*group_cols).agg(
         F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), 10000).alias("_cuts"))
+    from .small import join_checked, stored, with_scalars
     if group_cols:
-        from .small import join_checked, stored
         j = join_checked(df, stored(cuts), group_cols)
     else:
-        j = df.crossJoin(F.broadcast(cuts))  # exactly one row
+        j = with_scalars(df, cuts)  # one row
     b = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(col)))
     return j.withColumn(out, b).drop("_cuts")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F  # noqa: F401
 
 from ..session import materialize
 
@@ -25,13 +25,21 @@ def stored(small: DataFrame) -> DataFrame:
     return materialize(small)
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Attach the columns of a one-row aggregate as scalar subqueries (no
+    join: Catalyst runs the aggregate once, merging subqueries over the same
+    aggregate, and inlines the values)."""
+    cols = list(cols) if cols is not None else one_row.columns
+    return df.withColumns({c: one_row.select(c).scalar() for c in cols})
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: Sequence[str] | None, how: str = "inner",
                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Join ``small`` (already stored) onto ``big``: broadcast when its counted
     size is at most ``max_rows``, a shuffle join otherwise. ``on=None`` means
-    a one-row table (cross join, always broadcast)."""
+    a one-row table, attached as scalar subqueries."""
     if on is None:
-        return big.crossJoin(F.broadcast(small))
+        return with_scalars(big, small)
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, list(on), how)

@@ -18,6 +18,7 @@ from ..operators import rank as R
 from ..operators import scale as S
 from ..operators import split as X
 from ..operators import sweep as W
+from ..plans.small import with_scalars
 from ..registry import ev_sql, query
 from ..session import materialize
 from ..sources import io as IO
@@ -216,7 +217,7 @@ def m8_pca(spark, sf):
     mean, pca = MD.fit_reconstruction(s.where((F.col("split") == "train") & (F.col("label") == 0)), "x", 2)
     d = MD.reconstruction_error(s, mean, pca, "x")
     th = d.where((F.col("split") == "train") & (F.col("label") == 0)).agg(F.avg("error").alias("_th"))
-    d = d.crossJoin(F.broadcast(th)).withColumn("prediction", L.anomaly_class("error", F.col("_th"), 1))
+    d = with_scalars(d, th).withColumn("prediction", L.anomaly_class("error", F.col("_th"), 1))
     return M.confusion(d.where(F.col("split") == "test"), [], "label", "prediction", None)
 
 
@@ -227,7 +228,7 @@ def m9_focal(spark, sf):
     coefs, hist = MD.fit_focal_logistic(train, FEATURES, iterations=15)
     auc = M.roc_auc(MD.linear_score(test, FEATURES, coefs), weight=None)
     last = hist.agg(F.max_by("loss", "iteration").alias("final_loss"))
-    return auc.crossJoin(last)
+    return with_scalars(auc, last)
 
 
 # --- W1–W3 --------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators import select as Sel
 from ..operators import split as X
+from ..plans.small import with_scalars
 from ..registry import ev_sql, query
 from ..schema import EVENT_VIEW_SCHEMA
 from ..sources import io as IO
@@ -184,9 +185,9 @@ def l10_l11(spark, sf):
     reconstruction), anomaly class 1 above 1.1 × the class-0 mean error."""
     e = embedding_table(spark, sf, positive_label=0)
     mv = _mean_vector(e, F.col("label") == 0)
-    d = e.crossJoin(F.broadcast(mv)).withColumn("error", L.reconstruction_error("x", "xhat"))
+    d = with_scalars(e, mv).withColumn("error", L.reconstruction_error("x", "xhat"))
     th = d.where(F.col("label") == 0).agg((F.avg("error") * 1.1).alias("_th"))
-    d = d.crossJoin(F.broadcast(th)).withColumn("prediction", L.anomaly_class("error", F.col("_th"), 1))
+    d = with_scalars(d, th).withColumn("prediction", L.anomaly_class("error", F.col("_th"), 1))
     return round_doubles(d.select("vec_id", "label", "error", "prediction"))
 
 
@@ -202,7 +203,7 @@ def j8(spark, sf):
     """L10 → J8: the error beside the true class, summarised per class."""
     e = embedding_table(spark, sf, positive_label=0)
     mv = _mean_vector(e, F.col("label") == 0)
-    d = e.crossJoin(F.broadcast(mv)).withColumn("error", L.reconstruction_error("x", "xhat"))
+    d = with_scalars(e, mv).withColumn("error", L.reconstruction_error("x", "xhat"))
     return round_doubles(M.error_by_class(d))
 
 
