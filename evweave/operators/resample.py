@@ -79,18 +79,19 @@ def knn_groups(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, r
         if exclude_self:
             cand = cand.withColumn("mult", F.when(F.col("dist") == 0, F.col("mult") - 1).otherwise(F.col("mult")))
             cand = cand.where(F.col("mult") > 0)
+        # running count in distance order and the count reached within radius r,
+        # both over the same per-query partition (one sort per level)
         w = Window.partitionBy("c").orderBy("dist", "nc")
         cand = cand.withColumn("_cum", F.sum("mult").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         within = F.col("dist") <= F.lit(r)
-        agg = cand.groupBy("c").agg(F.max(F.when(within, F.col("_cum"))).alias("_reach"))
-        ok = agg.select("c") if last else agg.where(F.col("_reach") >= k).select("c")
-        res = cand.join(ok, "c")
-        res = res.where(F.col("_cum") - F.col("mult") < k).withColumn(
+        cand = cand.withColumn("_reach", F.max(F.when(within, F.col("_cum"))).over(Window.partitionBy("c")))
+        ok = F.lit(True) if last else (F.col("_reach") >= k)
+        res = cand.where(ok & (F.col("_cum") - F.col("mult") < k)).withColumn(
             "take", F.least(F.col("mult"), F.lit(k) - (F.col("_cum") - F.col("mult"))))
         found.append(materialize(res.select("c", "nc", "dist", "take", *extra)))
         if last:
             break
-        pending = materialize(pending.join(ok, "c", "left_anti"))
+        pending = materialize(pending.join(found[-1].select("c"), "c", "left_anti"))
         if pending.isEmpty():
             break
     out = found[0]
@@ -122,12 +123,24 @@ def _neighbour_array(nb: DataFrame) -> DataFrame:
         "c", F.transform("_nb", lambda s: s["nc"]).alias("nbrs"))
 
 
-def _synthesize(rows: DataFrame, nbrs: DataFrame, features: Sequence[str], id_col: str, seed: int) -> DataFrame:
+CHUNK = 4096  # synthetic rows generated per task unit
+
+
+def _synthesize(rows: DataFrame, nbrs: DataFrame, features: Sequence[str], id_col: str, seed: int,
+                max_g: int | None = None) -> DataFrame:
     """For each row with ``g`` > 0: g synthetic points x + u·(nn − x), nn drawn
-    from its k neighbours and u ∈ [0, 1) by hash — all per-row, no shuffle
-    beyond the join with the neighbour table."""
-    j = rows.withColumn("c", _coords(features)).join(nbrs, "c")
-    j = j.where(F.col("g") > 0).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    from its k neighbours and u ∈ [0, 1) by hash. When a row may need more
+    than ``CHUNK`` synthetic points (``max_g`` unknown or large), its work is
+    cut into chunks that are spread over tasks first, so one hot row never
+    generates everything in one task."""
+    j = rows.withColumn("c", _coords(features)).join(nbrs, "c").where(F.col("g") > 0)
+    if max_g is None or max_g > CHUNK:
+        j = j.withColumn("_chunk", F.explode(F.sequence(F.lit(0), ((F.col("g") - 1) / CHUNK).cast("int"))))
+        j = j.repartition(F.col(id_col), F.col("_chunk"))
+        lo = F.col("_chunk") * CHUNK
+        j = j.withColumn("_s", F.explode(F.sequence(lo, F.least(F.col("g"), lo + CHUNK) - 1)))
+    else:
+        j = j.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     h1 = F.xxhash64(F.lit(seed), F.col(id_col), F.col("_s"))
     h2 = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col("_s"))
     pick = F.element_at("nbrs", (F.pmod(h1, F.size("nbrs")) + 1).cast("int"))
@@ -162,7 +175,7 @@ class Oversampler:
 
     def minority_neighbours(self) -> DataFrame:
         if self._nb is None:
-            pts = collapse(self.mino, self.features)
+            pts = materialize(collapse(self.mino, self.features))
             r0, levels = _grid_params(self.mino, self.features, self.k)
             nb = knn_groups(pts.select("c"), pts, self.k, True, r0, levels)
             self._nb = materialize(_neighbour_array(nb))
@@ -174,8 +187,8 @@ class Oversampler:
         if self._r is None:
             all_pts = collapse(self.df, self.features, self.label)
             maj_col = "n_neg" if self.minority == 1 else "n_pos"
-            all_pts = all_pts.withColumn("maj_share", F.col(maj_col) / F.col("mult"))
-            mpts = collapse(self.mino, self.features)
+            all_pts = materialize(all_pts.withColumn("maj_share", F.col(maj_col) / F.col("mult")))
+            mpts = materialize(collapse(self.mino, self.features))
             r0, levels = _grid_params(self.df, self.features, self.k)
             nb = knn_groups(mpts.select("c"), all_pts.select("c", "mult", "maj_share"), self.k, True, r0, levels,
                             extra=["maj_share"])
@@ -194,7 +207,8 @@ class Oversampler:
         per, extra = divmod(n_syn, self.n_min)
         ranked = hash_rank(self.mino, [], self.seed, [self.id_col], out="_r").drop("_h")
         rows = ranked.withColumn("g", F.lit(per) + F.when(F.col("_r") <= extra, 1).otherwise(0))
-        return self._finish(_synthesize(rows, self.minority_neighbours(), self.features, self.id_col, self.seed))
+        return self._finish(_synthesize(rows, self.minority_neighbours(), self.features, self.id_col, self.seed,
+                                        max_g=per + 1))
 
     def adasyn(self, ratio: float = 0.5) -> DataFrame:
         """Row i gets g_i = rint(r̂_i·n_syn) synthetic rows with
