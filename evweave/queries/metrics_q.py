@@ -316,3 +316,14 @@ def e13_crossings(spark, sf):
     """E11 → E13: thresholds where precision − recall changes sign."""
     c = M.pr_curve(labelled_sr(spark, sf))
     return round_doubles(c.where(F.col("crossing")).select("threshold", "precision", "recall"))
+
+
+_LAB_NODATA = "nd as (select * from lab where sample <> 'data')"
+
+
+@query("e6_evaluation_default_th_by_region", oracle=_eval_oracle("region", [LABELLED_CTE, _LAB_NODATA], "nd"))
+def e6_default_th(spark, sf):
+    """The evaluation at the default threshold 0.4 (with and without
+    weights) for every region, data sample excluded."""
+    d = labelled(spark, sf).where(F.col("sample") != "data")
+    return round_doubles(M.evaluate(d, keys=["region"]))

@@ -410,3 +410,17 @@ def l6(spark, sf):
     """The file stem of a path as the dataset name."""
     d = event_view(spark, sf).select(F.concat(F.lit("/store/v2/"), F.col("sample"), F.lit(".root")).alias("p"))
     return d.select(L.file_stem("p").alias("dataset")).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s5_merge_signal_file_with_backgrounds", oracle=ev_sql(
+    "select dataset, count(*) as n, round(sum(weight), 6) as w from (select sample as dataset, weight from ev "
+    "where sample = 'sig1500' or (sample not like 'sig%' and sample <> 'data')) t group by dataset"))
+def s5(spark, sf):
+    """One signal file merged with every non-signal, non-data file — read
+    from the per-dataset store with a filter on the partition column (the
+    other datasets' folders are pruned, never opened)."""
+    path = _dataset_store(spark, sf)
+    d = spark.read.parquet(path)
+    ds = F.col("dataset")
+    merged = d.where((ds == "sig1500") | (~ds.startswith("sig") & (ds != "data")))
+    return round_doubles(merged.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")))
