@@ -54,7 +54,8 @@ def chi2_pvalues(scores: DataFrame) -> DataFrame:
 def rank_by(df: DataFrame, col: str, ascending: bool = False, out: str = "rank") -> DataFrame:
     """Rank rows of a small per-feature table by a column."""
     o = F.col(col).asc() if ascending else F.col(col).desc()
-    return df.withColumn(out, F.row_number().over(Window.orderBy(o, F.col("feature"))))
+    # the table has one row per feature, so an unpartitioned window is bounded
+    return df.withColumn(out, F.row_number().over(Window.orderBy(o, F.col("feature"))).cast("long"))
 
 
 def forest_importances(df: DataFrame, features: Sequence[str], label: str = "label", num_trees: int = 50,

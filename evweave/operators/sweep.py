@@ -61,7 +61,7 @@ def top_n_per(df: DataFrame, n: int, group: Sequence[str], by: Sequence[str], ti
     """N largest per group (window partitioned by the group key)."""
     order = [F.col(c).asc() if ascending else F.col(c).desc() for c in by] + [F.col(c).asc() for c in tiebreak]
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
 def best_per_metric(df: DataFrame, metrics: Sequence[str], ids: Sequence[str]) -> DataFrame:

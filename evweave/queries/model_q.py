@@ -158,7 +158,9 @@ def m3_gbt_grid(spark, sf):
         a = M.roc_auc(MD.score(m, test)).select(F.lit(i).alias("comb_id"), F.lit(g["maxDepth"]).alias("maxDepth"),
                                                 F.lit(g["stepSize"]).alias("stepSize"), "auc")
         rows = a if rows is None else rows.unionByName(a)
-    best = rows.agg(F.max_by(F.struct("comb_id", "maxDepth", "stepSize"), F.col("auc")).alias("b"),
+    # ties on the AUC go to the smallest combination id
+    best = rows.agg(F.max_by(F.struct("comb_id", "maxDepth", "stepSize"),
+                             F.struct(F.col("auc"), -F.col("comb_id"))).alias("b"),
                     F.max("auc").alias("auc"))
     return best.select("b.*", "auc")
 
@@ -263,7 +265,7 @@ def w2_random(spark, sf):
     allr = rows[0]
     for r in rows[1:]:
         allr = allr.unionByName(r)
-    return allr.agg(F.min_by("comb_id", "loss").alias("best_comb"), F.min("loss").alias("loss"))
+    return allr.agg(F.min_by("comb_id", F.struct("loss", "comb_id")).alias("best_comb"), F.min("loss").alias("loss"))
 
 
 @query("w3_resumable_sweep")
