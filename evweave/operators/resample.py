@@ -5,8 +5,8 @@ Exact k-nearest neighbours without an all-pairs join
 1. Points with identical coordinates are collapsed to one point with a
    multiplicity (a skew-safe ``groupBy``), so a heavily duplicated value can
    never put a third of the rows into one group.
-2. Multi-resolution grid: at level L the cell side is r·2^L. Every point
-   within distance r·2^L of a query lies in the 3^d cells around the query's
+2. Multi-resolution grid: at level L the cell side is r·g^L (g = √2). Every
+   point within distance r·g^L of a query lies in the 3^d cells around the query's
    cell, so a query whose candidates within that radius already add up to k
    points has its exact k nearest neighbours. Unresolved queries move to the
    next (coarser) level; the last level covers the whole range, so the
@@ -33,6 +33,7 @@ from ..plans.small import with_scalars
 from ..session import materialize
 
 MAX_DIM = 6
+GROWTH = 2 ** 0.5  # cell side growth per level
 
 
 def _coords(features: Sequence[str]):
@@ -55,16 +56,19 @@ def knn_groups(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, r
     ``queries``: (c); ``ref``: (c, mult, extra...). Returns (c, nc, dist,
     take, extra...) — the neighbour groups of each query with the number of
     points ``take`` used from each, adding up to k (fewer only when the whole
-    reference has fewer points). At the last level the cell side exceeds the
-    data's diagonal, so the neighbour cells hold every point and all
-    remaining queries resolve."""
+    reference has fewer points). A query is resolved at the first level whose
+    candidates within that level's radius reach k; cells grow by ``GROWTH``
+    per level (finer steps keep the neighbourhood of a straggler close to
+    the radius it needs). At the last level the cell side exceeds the data's
+    diagonal, so the neighbour cells hold every point and all remaining
+    queries resolve."""
     d = len(queries.select("c").first()["c"])
     offs = [list(o) for o in itertools.product([-1, 0, 1], repeat=d)]
     off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
     pending = queries.select("c")
     found = []
     for lv in range(levels + 1):
-        r = r0 * (2 ** lv)
+        r = r0 * (GROWTH ** lv)
         last = lv == levels
 
         def cell(col, r=r):
@@ -112,7 +116,7 @@ def _grid_params(df: DataFrame, features: Sequence[str], k: int) -> tuple[float,
     span = max([st[f"r_{i}"] or 0.0 for i in range(d)] + [1e-9])
     r0 = 0.5 * span * (1.0 / n) ** (1.0 / d)
     r0 = max(r0, span * 1e-6)
-    levels = max(1, math.ceil(math.log2(span * math.sqrt(d) / r0)) + 1)
+    levels = max(1, math.ceil(math.log(span * math.sqrt(d) / r0, GROWTH)) + 1)
     return r0, levels
 
 
