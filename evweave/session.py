@@ -37,7 +37,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         # local mode: the driver JVM is the only executor, its heap the only memory knob
         b = b.config("spark.driver.memory", os.environ.get("EVWEAVE_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -46,14 +48,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder, creating a local one only
     when the session names none (tests and local runs)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="evweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
+    return (sc.getCheckpointDir() if sc is not None else None) or d
+
+
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session (None for remote sessions, where
+    the server's ``spark.checkpoint.dir`` applies)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 — remote sessions have no local context
+        return None
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
