@@ -11,3 +11,17 @@ Subpackages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions BY VALUE in Python UDFs, so executors
+    need not have the package on their import path (no ``--py-files``)."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 — older cloudpickle: ship with --py-files instead
+        pass
+
+
+_ship_by_value()
