@@ -5,10 +5,10 @@ DataFrame aggregation:
 
 * confusion-matrix cells (unweighted and weighted) are ONE ``groupBy(slice)``
   with conditional sums; reports, accuracy and F1 are arithmetic on that row;
-* a threshold sweep never rescans per threshold: each row gets the index of
-  the highest threshold below its score (a JVM-side fold over the short
-  threshold array), the table is aggregated to (slice, index, label) —
-  a few rows — and the per-threshold cells are suffix sums over the index;
+* a threshold sweep never rescans per threshold: each row gets the number
+  of thresholds below its score (a JVM-side fold over the short threshold
+  array), the table is aggregated to (slice, count, label) — a few rows —
+  and the cells of threshold j sum the rows whose count exceeds j;
 * ROC / PR curves aggregate to distinct scores first, then use the bucketed
   running sum (no single-task window). The "previous point" of a curve is the
   running total minus the row's own contribution, so AUC, AP and crossing

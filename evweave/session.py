@@ -18,8 +18,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """Build (or reuse) a session tuned for the event workloads.
 
     AQE is on so that shuffle partitions coalesce at small scale and skewed
-    partitions split at large scale; joins whose size depends on the data are
-    left to AQE's runtime broadcast conversion rather than forced.
+    partitions split at large scale. Joins with data-sized sides are plain
+    equi-joins (AQE may still broadcast a side it measures small); the library
+    broadcasts explicitly only after counting a stored small table.
     """
     b = SparkSession.builder.appName(app_name)
     if master:

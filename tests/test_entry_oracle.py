@@ -61,3 +61,11 @@ def test_oracle_matches(spark, con, name):
     a = sorted(repr(tuple(_norm(x[i]) for i in o)) for x in rows)
     b = sorted(repr(tuple(_norm(x[i]) for i in od)) for x in drows)
     assert a == b
+
+
+def test_package_functions_ship_by_value():
+    # Python UDFs must not need the package on the executors' import path
+    from pyspark import cloudpickle
+
+    import evweave.operators.rank as rank
+    assert cloudpickle.cloudpickle._is_registered_pickle_by_value(rank)
