@@ -115,3 +115,41 @@ def test_distribution_group_equals_filtered(spark):
     f = P.signal_distribution_per(ev.where((F.col("region") == "SR") & (F.col("tag") == 1))).first()
     assert g["total_count"] == f["total_count"] and g["signal_count"] == f["signal_count"]
     assert g["signal_w_density"] == pytest.approx(f["signal_w_density"])
+
+
+def test_drop_fakes_invariance(spark):
+    ev = labelled(spark, SF01)
+    from evweave.operators.select import drop_fakes
+    a = {(r["region"], r["tag"]): r["total_count"] for r in
+         P.signal_distribution_per(drop_fakes(ev), ["region", "tag"]).collect()}
+    b = {(r["region"], r["tag"]): r["total_count"] for r in
+         P.signal_distribution_per(ev.where(F.col("sample") != "fakes"), ["region", "tag"]).collect()}
+    n_fakes = ev.where(F.col("sample") == "fakes").count()
+    tot = ev.count()
+    assert a == b and sum(a.values()) == tot - n_fakes
+
+
+def test_all_masses_level_is_the_sum(spark):
+    from evweave.queries.sweep_q import comb_scores
+    d = comb_scores(spark, SF001, with_mass=True)
+    cells = M.threshold_cells(d, [0.3, 0.6], ["comb", "mass"])
+    summed = {(r["comb"], r["th"]): r["s"] for r in
+              cells.groupBy("comb", "th").agg(F.sum("w_tp").alias("s")).collect()}
+    lv = M.f1_per_threshold_levels(d, [0.3, 0.6], "comb", "mass")
+    per_all = M.threshold_cells(d, [0.3, 0.6], ["comb"])
+    direct = {(r["comb"], r["th"]): r["w_tp"] for r in per_all.collect()}
+    assert summed.keys() == direct.keys()
+    for k in summed:
+        assert summed[k] == pytest.approx(direct[k])
+    assert lv.where(F.col("mass") == "all").count() == len(direct)
+
+
+def test_stack_top_equals_bin_total(spark):
+    ev = labelled(spark, SF001)
+    h = H.histogram(ev, "f_qty", 10, by=["sample"])
+    st = H.background_stack(h)
+    top = st.groupBy("bin").agg(F.max("stacked_w").alias("a"), F.first("total_w").alias("b"))
+    # the running stack over samples ends at the bin total
+    last = st.join(st.groupBy("bin").agg(F.max("sample").alias("sample")), ["bin", "sample"])
+    assert last.where(F.abs(F.col("stacked_w") - F.col("total_w")) > 1e-9).count() == 0
+    assert top.count() == 10
