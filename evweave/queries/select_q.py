@@ -424,3 +424,37 @@ def s5(spark, sf):
     ds = F.col("dataset")
     merged = d.where((ds == "sig1500") | (~ds.startswith("sig") & (ds != "data")))
     return round_doubles(merged.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")))
+
+
+@query("a10_table_info_per_dataset_file", oracle=ev_sql(
+    "select sample as dataset, count(*) as n_rows, list_sort(list(distinct sample)) as samples, "
+    "list_sort(list(distinct region)) as regions from ev group by sample"))
+def a10_per_file(spark, sf):
+    """S3 layout → A10: per dataset file (from ``_metadata.file_path``): rows,
+    sorted distinct samples and regions."""
+    d = spark.read.parquet(_dataset_store(spark, sf)).select("sample", "region", "_metadata.file_path")
+    d = d.withColumn("dataset", F.regexp_extract("file_path", r"dataset=([^/]+)/", 1))
+    return P.table_info(d, "dataset")
+
+
+@query("a22_event_type_counts", oracle=(
+    "select event_type, count(*) as count from events group by event_type order by count desc, event_type"))
+def a22_events(spark, sf):
+    """A22 on the second source (``events``): value counts of the event type."""
+    from ..sources.tables import table
+    return P.value_counts(table(spark, sf, "events", ["event_type"]), "event_type")
+
+
+@query("s3_events_files_per_type", oracle=(
+    "select event_type, count(*) as n_rows, count(distinct user_id) as n_users, "
+    "round(sum(value), 6) as total_value from events group by event_type"))
+def s3_events(spark, sf):
+    """S3/S10 on ``events``: one folder per event type written, then each
+    type's files read back by a partition filter and profiled."""
+    from ..sources.tables import table
+    path = IO.new_store(spark, "events-by-type")
+    table(spark, sf, "events", ["event_type", "user_id", "value"]).write.partitionBy("event_type").parquet(path)
+    back = spark.read.parquet(path)
+    return round_doubles(back.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("user_id").alias("n_users"),
+        F.sum("value").alias("total_value")))
