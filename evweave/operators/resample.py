@@ -34,6 +34,7 @@ from ..session import materialize
 
 MAX_DIM = 6
 GROWTH = 2 ** 0.5  # cell side growth per level
+FINEST = 20  # the first cell side is the range / 2^FINEST
 
 
 def _coords(features: Sequence[str]):
@@ -49,6 +50,25 @@ def collapse(df: DataFrame, features: Sequence[str], label: str | None = None) -
     return df.groupBy(_coords(features).alias("c")).agg(*aggs)
 
 
+def _start_levels(queries: DataFrame, ref: DataFrame, r0: float, levels: int, probe: int = 2) -> DataFrame:
+    """Per query, the first level whose OWN cell holds at least ``probe``
+    reference points (the query itself included): a density probe costing
+    one count per point and level (a (levels+1)-fold expansion, not 3^d).
+    Points in a dense spot start at fine cells, isolated points at coarse
+    ones; correctness still comes from the certification in knn_groups."""
+    lv = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("L")
+
+    def own_cell(col):
+        side = F.lit(float(r0)) * F.pow(F.lit(GROWTH), F.col("L"))
+        return F.transform(col, lambda x: F.floor(x / side).cast("long"))
+    rc = ref.select("mult", "c", lv).select("L", own_cell(F.col("c")).alias("cell"), "mult")
+    counts = rc.groupBy("L", "cell").agg(F.sum("mult").alias("n"))
+    qc = queries.select("c", lv).select("c", "L", own_cell(F.col("c")).alias("cell"))
+    hit = qc.join(counts, ["L", "cell"]).where(F.col("n") >= probe)
+    first = hit.groupBy("c").agg(F.min("L").alias("start"))
+    return queries.select("c").join(first, "c", "left").fillna({"start": levels})
+
+
 def knn_groups(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, r0: float, levels: int,
                extra: Sequence[str] = ()) -> DataFrame:
     """Exact kNN over collapsed points.
@@ -56,20 +76,26 @@ def knn_groups(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, r
     ``queries``: (c); ``ref``: (c, mult, extra...). Returns (c, nc, dist,
     take, extra...) — the neighbour groups of each query with the number of
     points ``take`` used from each, adding up to k (fewer only when the whole
-    reference has fewer points). A query is resolved at the first level whose
+    reference has fewer points). Each query enters at its own starting level
+    (:func:`_start_levels`) and is resolved at the first level whose
     candidates within that level's radius reach k; cells grow by ``GROWTH``
-    per level (finer steps keep the neighbourhood of a straggler close to
-    the radius it needs). At the last level the cell side exceeds the data's
-    diagonal, so the neighbour cells hold every point and all remaining
-    queries resolve."""
+    per level and levels without work are skipped. At the last level the
+    cell side exceeds the data's diagonal, so the neighbour cells hold every
+    point and all remaining queries resolve."""
     d = len(queries.select("c").first()["c"])
     offs = [list(o) for o in itertools.product([-1, 0, 1], repeat=d)]
     off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
-    pending = queries.select("c")
+    starts = materialize(_start_levels(queries, ref, r0, levels))
+    entering_at = {r["start"]: r["count"] for r in starts.groupBy("start").count().collect()}  # ≤ levels+1 rows
+    carried, n_carried = None, 0
     found = []
     for lv in range(levels + 1):
-        r = r0 * (GROWTH ** lv)
         last = lv == levels
+        if n_carried == 0 and entering_at.get(lv, 0) == 0 and not last:
+            continue
+        entering = starts.where(F.col("start") == lv).select("c")
+        pending = entering if carried is None else carried.unionByName(entering)
+        r = r0 * (GROWTH ** lv)
 
         def cell(col, r=r):
             return F.transform(col, lambda x: F.floor(x / F.lit(r)).cast("long"))
@@ -95,9 +121,8 @@ def knn_groups(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, r
         found.append(materialize(res.select("c", "nc", "dist", "take", *extra)))
         if last:
             break
-        pending = materialize(pending.join(found[-1].select("c"), "c", "left_anti"))
-        if pending.isEmpty():
-            break
+        carried = materialize(pending.join(found[-1].select("c"), "c", "left_anti"))
+        n_carried = carried.count()
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -105,17 +130,15 @@ def knn_groups(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, r
 
 
 def _grid_params(df: DataFrame, features: Sequence[str], k: int) -> tuple[float, int]:
-    """Starting cell side: about one point per cell were the points spread
-    uniformly over the bounding cube, halved — real data is concentrated, so
-    dense regions resolve at the first levels with local candidates only and
-    sparse points climb the doubling levels. Also the number of levels that
-    reaches the whole range."""
-    st = df.agg(F.count(F.lit(1)).alias("n"),
-                *[(F.max(c) - F.min(c)).cast("double").alias(f"r_{i}") for i, c in enumerate(features)]).first()
-    n, d = max(st["n"], 1), len(features)
+    """First cell side and number of levels. The first side is far below the
+    average spacing (``FINEST`` halvings of the range), so even a spot holding
+    a large share of the rows gets small cells; queries enter at their own
+    level (density probe), so fine levels cost nothing where they are not
+    needed. The last level's side exceeds the data's diagonal."""
+    st = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"r_{i}") for i, c in enumerate(features)]).first()
+    d = len(features)
     span = max([st[f"r_{i}"] or 0.0 for i in range(d)] + [1e-9])
-    r0 = 0.5 * span * (1.0 / n) ** (1.0 / d)
-    r0 = max(r0, span * 1e-6)
+    r0 = span * 2.0 ** (-FINEST)
     levels = max(1, math.ceil(math.log(span * math.sqrt(d) / r0, GROWTH)) + 1)
     return r0, levels
 

@@ -164,3 +164,26 @@ def test_additive_decision_equals_margin_sign(spark, data):
     d = c.withColumn("dec", additive_decision("base_value", "contributions")).withColumn("z", z)
     tot = F.aggregate("contributions", F.col("base_value"), lambda a, v: a + v)
     assert d.where(F.abs(tot - F.col("z")) > 1e-9).count() == 0
+
+
+def test_knn_exact_with_a_dense_spot(spark, data):
+    # a third of the points squeezed into a tiny region (a hot spot), the rest as is
+    train, _ = data
+    mino = train.where(F.col("label") == 1).select(*FEATURES)
+    hot = F.pmod(F.xxhash64(*FEATURES), F.lit(3)) == 0
+    squeezed = mino.select(*[F.when(hot, F.lit(0.5) + F.col(c) * 1e-4).otherwise(F.col(c)).alias(c)
+                             for c in FEATURES])
+    pts = RS.collapse(squeezed, FEATURES)
+    r0, levels = RS._grid_params(squeezed, FEATURES, 4)
+    nb = RS.knn_groups(pts.select("c"), pts, 4, True, r0, levels)
+    got = {}
+    for r in nb.collect():
+        got.setdefault(tuple(r["c"]), []).extend([r["dist"]] * int(r["take"]))
+    allp = [(tuple(r["c"]), r["mult"]) for r in pts.collect()]
+    assert len(got) == len(allp)
+    for c, _ in allp:
+        ds = []
+        for o, m in allp:
+            d = math.dist(c, o)
+            ds += [d] * (m - 1 if o == c else m)
+        assert sorted(got[c]) == pytest.approx(sorted(ds)[:4], abs=1e-12)
