@@ -36,7 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor, its heap the only memory knob
-        b = b.config("spark.driver.memory", os.environ.get("EVWEAVE_DRIVER_MEMORY", "16g"))
+        b = b.config("spark.driver.memory", os.environ.get("EVWEAVE_DRIVER_MEMORY", "4g"))
     spark = b.getOrCreate()
     sc = _context(spark)
     if sc is not None:
