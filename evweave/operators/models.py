@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import class_weighted
 from ..plans.small import with_scalars
-from ..schema import DEFAULT_ROLES, Roles
 
 ESTIMATORS = {"logistic": LogisticRegression, "gbt": GBTClassifier, "forest": RandomForestClassifier}
 

@@ -458,3 +458,23 @@ def s3_events(spark, sf):
     return round_doubles(back.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("user_id").alias("n_users"),
         F.sum("value").alias("total_value")))
+
+
+@query("st_label_stream_counts", oracle=ev_sql(
+    "select sample, label, prediction, count(*) as n from (select sample, "
+    "cast(regexp_matches(sample, '.*sig[^0-9]*') as int) as label, "
+    "cast(score > 0.5 as int) as prediction from ev where region <> 'TwoDimMassWindow') t group by all"))
+def st_stream(spark, sf):
+    """Streaming path: the event table written as files is read as a stream
+    (declared schema, a few files per trigger), the stateless operators (P5 →
+    L1 → L7) run incrementally into a Parquet sink with its progress in the
+    checkpoint folder (exactly once), and the sink is read back and counted."""
+    from ..streaming import events as ST
+    src, sink = IO.new_store(spark, "stream-src"), IO.new_store(spark, "stream-sink")
+    event_view(spark, sf).write.parquet(src)
+    stream = ST.label_stream(ST.read_event_stream(spark, src, EVENT_VIEW_SCHEMA, max_files_per_trigger=2),
+                             "sig", th=0.5)
+    q = ST.write_stream(stream, sink, "labels")
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink).groupBy("sample", "label", "prediction").agg(
+        F.count(F.lit(1)).alias("n"))

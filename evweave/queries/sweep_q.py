@@ -19,7 +19,7 @@ from ..operators import sweep as W
 from ..operators.select import mass_parameterised
 from ..registry import ev_sql, query
 from .common import FEATURES, LABELLED_CTE, MASSES, SR_CTE, THRESHOLDS, labelled_sr
-from .metrics_q import _div, _f1_sql
+from .metrics_q import _f1_sql
 
 COMBS = [0, 1, 2, 3]
 HIDDEN = 3

@@ -7,7 +7,7 @@ code runs on the physics naming (``m_region``, ``m_FJNbtagJets``,
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 

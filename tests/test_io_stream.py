@@ -3,7 +3,6 @@
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evweave.operators import metrics as M
 from evweave.schema import EVENT_VIEW_SCHEMA
