@@ -50,12 +50,13 @@ def collapse(df: DataFrame, features: Sequence[str], label: str | None = None) -
     return df.groupBy(_coords(features).alias("c")).agg(*aggs)
 
 
-def _start_levels(queries: DataFrame, ref: DataFrame, r0: float, levels: int, probe: int = 2) -> DataFrame:
-    """Per query, the first level whose OWN cell holds at least ``probe``
-    reference points (the query itself included): a density probe costing
-    one count per point and level (a (levels+1)-fold expansion, not 3^d).
-    Points in a dense spot start at fine cells, isolated points at coarse
-    ones; correctness still comes from the certification in knn_groups."""
+def _start_levels(queries: DataFrame, ref: DataFrame, k: int, r0: float, levels: int, back: int = 2) -> DataFrame:
+    """Per query, ``back`` levels below the first level whose OWN cell holds
+    k other reference points: a density probe costing one count per point
+    and level (a (levels+1)-fold expansion, not 3^d). Points in a dense spot
+    fill their own cells at fine levels and start there; isolated points and
+    near-duplicate pairs start near the level where k neighbours exist.
+    Correctness does not depend on it (certification in knn_groups)."""
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("L")
 
     def own_cell(col):
@@ -64,8 +65,8 @@ def _start_levels(queries: DataFrame, ref: DataFrame, r0: float, levels: int, pr
     rc = ref.select("mult", "c", lv).select("L", own_cell(F.col("c")).alias("cell"), "mult")
     counts = rc.groupBy("L", "cell").agg(F.sum("mult").alias("n"))
     qc = queries.select("c", lv).select("c", "L", own_cell(F.col("c")).alias("cell"))
-    hit = qc.join(counts, ["L", "cell"]).where(F.col("n") >= probe)
-    first = hit.groupBy("c").agg(F.min("L").alias("start"))
+    hit = qc.join(counts, ["L", "cell"]).where(F.col("n") >= k + 1)
+    first = hit.groupBy("c").agg(F.greatest(F.min("L") - back, F.lit(0)).alias("start"))
     return queries.select("c").join(first, "c", "left").fillna({"start": levels})
 
 
@@ -85,7 +86,7 @@ def knn_groups(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, r
     d = len(queries.select("c").first()["c"])
     offs = [list(o) for o in itertools.product([-1, 0, 1], repeat=d)]
     off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
-    starts = materialize(_start_levels(queries, ref, r0, levels))
+    starts = materialize(_start_levels(queries, ref, k, r0, levels))
     entering_at = {r["start"]: r["count"] for r in starts.groupBy("start").count().collect()}  # ≤ levels+1 rows
     carried, n_carried = None, 0
     found = []
