@@ -63,3 +63,11 @@ def test_stream_running_yields(spark):
     q.awaitTermination(120)
     got = spark.table(name).agg(F.sum("entries")).first()[0]
     assert got == event_view(spark, SF001).count()
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from evweave.session import ensure_checkpoint_dir
+    configured = spark.conf.get("spark.checkpoint.dir")
+    got = ensure_checkpoint_dir(spark)
+    assert configured.replace("file:", "").rstrip("/") in got.replace("file:", "")
+    assert scratch_path(spark, "x").startswith(got.rstrip("/"))
