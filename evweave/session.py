@@ -1,14 +1,16 @@
-"""Session construction and the shared checkpoint folder.
+"""Session construction, the shared checkpoint folder and stored tables.
 
 On a cluster the session is handed to us with ``spark.checkpoint.dir`` set to a
-shared folder; we read it from there. Only when it is unset (local tests) do we
-create a scratch folder of our own.
+shared folder; we read it from there. Only when it is unset on a local master
+(tests) do we create a scratch folder of our own; on any other master that is
+an error, as other machines could not see such a folder.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,13 +48,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder, creating a local one only
-    when the session names none (tests and local runs)."""
+    """Return the cluster's shared checkpoint folder. When the session names
+    none, a local master gets a scratch folder; any other master raises."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if sc is not None and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         d = tempfile.mkdtemp(prefix="evweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():
@@ -75,9 +80,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
-    (survives executor loss; never a local checkpoint). Used before loops that
-    read the same prepared table many times (model sweeps)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, *partition_by: str):
+    """Store ``df`` once as Parquet in the shared checkpoint folder and return
+    the stored table. It cuts the lineage (a lost executor costs no recomputation
+    of it), and later scans keep column pruning, pushed filters and, with
+    ``partition_by``, partition pruning. ``release`` deletes the files."""
+    path = scratch_path(df.sparkSession, f"stored-{uuid.uuid4().hex}")
+    w = df.write.mode("errorifexists")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables) -> None:
+    """Delete the files of tables made by :func:`materialize` (nothing else: the
+    folder must be a ``stored-*`` folder of the shared checkpoint folder)."""
+    for df in tables:
+        spark = df.sparkSession
+        sc = _context(spark)
+        if sc is None:
+            continue
+        base = ensure_checkpoint_dir(spark).rstrip("/").split("://")[-1].split("file:")[-1]
+        for folder in {f.rsplit("/stored-", 1)[0] + "/stored-" + f.rsplit("/stored-", 1)[1].split("/")[0]
+                       for f in df.inputFiles() if "/stored-" in f}:
+            if base.lstrip("/") in folder:
+                hpath = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
