@@ -5,7 +5,7 @@ its sample at the median of the projection on the difference of two of its
 points. Every row of the table is then sent to its leaf of every tree. A query
 searches all trees through one shared priority queue ordered by the smallest
 margin on the path; leaves are taken until their counted rows reach
-``search_rows``. The candidates of the visited leaves are ranked by exact cosine
+a share of all leaf entries. The candidates of the visited leaves are ranked by exact cosine
 in double precision.
 
 Equal vectors are reduced first to their k + 1 smallest ids, which is all that a
@@ -31,6 +31,8 @@ from .vectors import list_column, matrix, usable
 SAMPLE = 16384
 TREES = 12
 LEAF = 48          # sample points of a leaf
+SEARCH_SHARE = 0.065  # of all leaf entries (rows x trees) that a query looks at,
+SEARCH_LEAST = 12000  # and at least so many
 BLOCK_ROWS = 8192  # rows of a leaf block, and queries of a query block
 MAX_BROADCAST = 500_000
 
@@ -54,6 +56,7 @@ def build_tree(x: np.ndarray, seed: int) -> dict:
             for _ in range(4):
                 a, b = x[rng.choice(rows, 2, replace=False)]
                 n = (a - b).astype(np.float32)
+                n /= max(float(np.sqrt(n @ n)), 1e-30)  # margins of all nodes are distances
                 p = x[rows] @ n
                 cut = np.median(p)
                 right = p > cut
@@ -102,13 +105,15 @@ def visited_leaves(forest: list[dict], sizes: list[np.ndarray], q: np.ndarray, s
     return out
 
 
-def nearest_by_cosine(df: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, search_rows: int = 12000,
-                      id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
+def nearest_by_cosine(df: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
+                      search_share: float = SEARCH_SHARE, search_least: int = SEARCH_LEAST, id_col: str = "vec_id",
+                      vec_col: str = "embedding", seed: int = 7) -> DataFrame:
     """Rows ``query_id, rank, vec_id, score``: for each query (id divisible by
     ``every``) the k largest cosines found among all rows but its own, ties to
     the smaller id.
 
-    ``search_rows`` counts rows of visited leaves over all trees. Rows with a
+    A query visits leaves until they hold ``search_share`` of all leaf entries
+    (and ``search_least`` at least), counted over all trees. Rows with a
     null id, or a vector that is null, empty, zero or holds null or non-finite
     components, take no part. Shorter vectors count as padded with zeros. A
     repeated (id, vector) row counts once. An empty table or one without queries
@@ -129,6 +134,7 @@ def nearest_by_cosine(df: DataFrame, k: int = 5, every: int = 50, trees: int = T
     sample = shared.select("v").orderBy(F.md5(F.col("v").cast("string")), "v").limit(SAMPLE).toArrow()
     unit = _unit(matrix(sample.column("v"), dim, np.float64)).astype(np.float32)
     forest = [build_tree(unit, seed + t) for t in range(trees)]
+    search_rows = max(search_least, int(search_share * trees * n))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
