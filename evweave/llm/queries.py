@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rp_forest, shards, url_rules, voronoi
+from . import rp_forest, secrets, shards, url_rules, voronoi
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,9 @@ select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 1
 def op9_voronoi_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 largest integer inner products of every 100th vector with all others."""
     return voronoi.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and entropy spans of secrets in every document."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
