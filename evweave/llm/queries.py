@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rp_forest, secrets, shards, url_rules, voronoi
+from . import bpe, packing, rp_forest, secrets, shards, url_rules, voronoi
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,25 @@ def op9_voronoi_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and entropy spans of secrets in every document."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def byte_bpe() -> str:
+    """The tokenizer file of the queries (a parameter of the operators)."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence and offset of every piece of every document, 1024 tokens a sequence."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@query("op7_bpe_round_trip")
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    path = byte_bpe()
+    coded = bpe.decode_ids(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -18,8 +18,6 @@ import pyarrow as pa
 
 SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C55  # odd: invertible modulo 2^64
-_INV = pow(_BASE, -1, 1 << 64)
-_POW: dict = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,26 +29,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse (kept)."""
-    if len(_POW.get("p", ())) < n:
-        m = max(n, SLICE + 1)
-        for key, base in (("p", _BASE), ("q", _INV)):
-            a = np.full(m, base, np.uint64)
-            a[0] = 1
-            _POW[key] = np.cumprod(a, dtype=np.uint64)
-    return _POW["p"][:n], _POW["q"][:n]
-
-
-def byte_tables() -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit value per byte with A-Z folded to a-z, is-separator per byte)."""
-    if "t" not in _POW:
-        t = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-        t[65:91] = t[97:123]
-        s = np.zeros(256, bool)
-        s[[0x20, 9, 10, 11, 12, 13]] = True
-        _POW["t"], _POW["s"] = t, s
-    return _POW["t"], _POW["s"]
+class Hasher:
+    """Polynomial hashes of runs of symbols, from one cumulative sum per slice.
+
+    Made inside a task (its tables are not worth sending)."""
+
+    def __init__(self):
+        self.byte = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+        self.byte[65:91] = self.byte[97:123]  # A-Z count as a-z
+        self.sep = np.zeros(256, bool)
+        self.sep[[0x20, 9, 10, 11, 12, 13]] = True
+        self.p = self.q = np.zeros(0, np.uint64)
+
+    def runs(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hash of each run ``values[start:end]`` of 64-bit symbol values."""
+        n = len(values)
+        if len(self.p) < n + 1:
+            m = max(n, SLICE) + 1
+            self.p, self.q = np.full(m, _BASE, np.uint64), np.full(m, pow(_BASE, -1, 1 << 64), np.uint64)
+            self.p[0] = self.q[0] = 1
+            np.cumprod(self.p, out=self.p)
+            np.cumprod(self.q, out=self.q)
+        acc = np.empty(n + 1, np.uint64)
+        acc[0] = 0
+        np.cumsum(values * self.p[:n], out=acc[1:])
+        return mix64((acc[end] - acc[start]) * self.q[start] + (end - start).astype(np.uint64))
+
+    def words(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of consecutive texts: ``(start, end, hash, first word of each text)``.
+
+        ``start``/``end`` are byte places in ``raw``; the last array has one entry
+        per text plus the end, like Arrow offsets."""
+        n = len(raw)
+        if not n:
+            z = np.zeros(0, np.int64)
+            return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        inside = ~self.sep[raw]
+        starts, ends = inside.copy(), inside.copy()
+        starts[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        cut = off[1:-1]  # a text starts a word even right after the last text's word
+        cut = cut[(cut > 0) & (cut < n)]
+        starts[cut] = inside[cut]
+        ends[cut - 1] = inside[cut - 1]
+        s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        return s, e, self.runs(self.byte[raw], s, e), np.searchsorted(s, off)
 
 
 def text_slices(col: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,36 +95,3 @@ def text_slices(col: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np
         j = min(j, len(col))
         yield i, j, raw[off[i]:off[j]], off[i:j + 1] - off[i]
         i = j
-
-
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of consecutive texts: ``(start, end, hash, first word of each text)``.
-
-    ``start``/``end`` are byte places in ``raw``; the last array has one entry
-    per text plus the end, like Arrow offsets."""
-    n = len(raw)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    table, sep = byte_tables()
-    inside = ~sep[raw]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    cut = off[1:-1]
-    cut = cut[cut < n]
-    starts[cut] = inside[cut]  # a text starts a word even right after the last text's word
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    cut = cut[cut > 0]
-    ends[cut - 1] = inside[cut - 1]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    p, q = powers(n + 1)
-    acc = np.empty(n + 1, np.uint64)
-    acc[0] = 0
-    np.cumsum(table[raw] * p[:n], out=acc[1:])
-    h = mix64((acc[e] - acc[s]) * q[s] + (e - s).astype(np.uint64))
-    return s, e, h, np.searchsorted(s, off)
-
-
-def lower_ascii(b: bytes) -> bytes:
-    return b.lower()  # bytes.lower touches A-Z only
