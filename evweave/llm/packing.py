@@ -33,16 +33,18 @@ from . import bpe
 
 CAP = 1024
 END_ID = 2
-ROUNDS = 600   # pricing rounds of the linear program
-STEP = 0.5     # share of a length's pieces that one round may cover
-RATE = 0.7     # how fast covered lengths get cheaper
+ROUNDS = 600    # pricing rounds of the linear program
+PER_ROUND = 32  # configurations read from one pricing table
+STEP = 0.1      # share of a length's uncovered pieces that one configuration may take
+RATE = 1.0      # how fast covered lengths get cheaper
+SHARES = (0.25, 0.5, 0.75, 0.9, 1.0)  # of the fractional solution that rounding tries to keep
 
 
 # --- the program on the length histogram (driver, bounded by cap) -----------------------
 
-def best_configuration(lengths: np.ndarray, price: np.ndarray, cap: int) -> np.ndarray:
-    """Knapsack by dynamic programming: how many of each length (ascending) make
-    the configuration of the highest total price within ``cap``."""
+def price_table(lengths: np.ndarray, price: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: the highest total price within every
+    capacity up to ``cap`` and the length (its index) put in last; -1: none."""
     value = np.zeros(cap + 1)
     last = np.full(cap + 1, -1)
     fits = np.searchsorted(lengths, np.arange(cap + 1), "right")
@@ -54,57 +56,68 @@ def best_configuration(lengths: np.ndarray, price: np.ndarray, cap: int) -> np.n
             j = int(v.argmax())
             if v[j] > value[c]:
                 value[c], last[c] = v[j], j
-    out = np.zeros(len(lengths), np.int64)
-    c = cap
+    return value, last
+
+
+def read_configuration(lengths: np.ndarray, last: np.ndarray, first: int, cap: int) -> dict[int, int]:
+    """The best configuration that holds length ``first``, as index -> copies."""
+    out = {first: 1}
+    c = cap - int(lengths[first])
     while c > 0:
-        if last[c] < 0:
+        j = int(last[c])
+        if j < 0:
             c -= 1
         else:
-            out[last[c]] += 1
-            c -= int(lengths[last[c]])
+            out[j] = out.get(j, 0) + 1
+            c -= int(lengths[j])
     return out
 
 
-def solve_program(lengths: np.ndarray, counts: np.ndarray, cap: int, rounds: int = ROUNDS) -> list[tuple[float, np.ndarray]]:
-    """``(amount, configuration)`` pairs that together cover about all counts."""
-    price = lengths / cap
-    covered = np.zeros(len(lengths))
-    amount: dict[bytes, float] = {}
-    configs: dict[bytes, np.ndarray] = {}
+def solve_program(lengths: np.ndarray, counts: np.ndarray, cap: int,
+                  rounds: int = ROUNDS) -> list[tuple[float, dict[int, int]]]:
+    """``(amount, configuration)`` pairs whose amounts cover the counts, but for
+    what the last rounds leave.
+
+    A length's price is its share of the sequence times a weight that falls
+    exponentially with the share of its pieces covered so far. Each round prices
+    once and takes the best configuration around each of the lengths that lag
+    most, in amounts that cover no length twice."""
+    left = counts.astype(np.float64)
+    amount: dict[tuple, float] = {}
     for _ in range(rounds):
-        a = best_configuration(lengths, price, cap)
-        used = a > 0
-        if not used.any():
-            break
-        step = STEP * float((counts[used] / a[used]).min())
-        key = a.tobytes()
-        configs[key] = a
-        amount[key] = amount.get(key, 0.0) + step
-        move = a * step / counts
-        covered += move
-        price = price * np.exp(-RATE * move)
-        price /= price.max()
-        if covered.min() >= 1:
+        share = left / counts
+        if left @ lengths < 1e-3 * (counts @ lengths) or share.max() < 1e-3:
             break
-    scale = max(1.0, float(np.median(covered))) if len(covered) else 1.0
-    return sorted(((amount[k] / scale, configs[k]) for k in configs), key=lambda x: -x[0])
+        price = np.where(share > 1e-6, lengths / cap * np.exp(RATE * (share - 1)), 0.0)
+        _, last = price_table(lengths, price, cap)
+        for first in np.argsort(-share, kind="stable")[:PER_ROUND].tolist():
+            a = read_configuration(lengths, last, first, cap)
+            step = STEP * min(left[j] / n for j, n in a.items())
+            if step <= 0:
+                continue
+            key = tuple(sorted(a.items()))
+            amount[key] = amount.get(key, 0.0) + step
+            for j, n in a.items():
+                left[j] = max(0.0, left[j] - n * step)
+    return sorted(((x, dict(k)) for k, x in amount.items()), key=lambda t: -t[0])
 
 
 def round_program(lengths: np.ndarray, counts: np.ndarray, cap: int,
-                  program: list[tuple[float, np.ndarray]]) -> list[tuple[int, list[int]]]:
+                  program: list[tuple[float, dict[int, int]]], share: float = 1.0) -> list[tuple[int, list[int]]]:
     """``(copies, lengths of a sequence)``: whole copies of the configurations
-    while pieces last, then best fit, longest first, for the rest."""
+    (``share`` of their amounts), then best fit, longest first, for the rest. Only
+    configurations that fill the sequence are rounded: others waste room that
+    best fit can use."""
     left = counts.astype(np.int64).copy()
     out = []
     for x, a in program:
-        used = a > 0
-        room = int((left[used] // a[used]).min())
-        # a configuration that fills the sequence wastes nothing: round it up
-        full = int((lengths * a).sum()) == cap
-        n = min(room, int(np.ceil(x)) if full else int(x))
+        if sum(int(lengths[j]) * n for j, n in a.items()) < cap:
+            continue
+        n = min(int(x * share), *(int(left[j]) // k for j, k in a.items()))
         if n > 0:
-            left -= n * a
-            out.append((n, np.repeat(lengths, a).tolist()))
+            for j, k in a.items():
+                left[j] -= n * k
+            out.append((n, [int(lengths[j]) for j, k in sorted(a.items(), reverse=True) for _ in range(k)]))
     bins: dict[int, list[list]] = {}  # free space -> groups [copies, lengths]
     for j in range(len(lengths) - 1, -1, -1):
         size, todo = int(lengths[j]), int(left[j])
@@ -141,7 +154,9 @@ def plan_sequences(hist: dict[int, int], cap: int) -> dict[int, np.ndarray]:
     counts = np.array([hist[int(x)] for x in lengths], np.int64)
     if len(lengths):
         taken = dict.fromkeys(lengths.tolist(), 0)
-        for n, sizes in round_program(lengths, counts, cap, solve_program(lengths, counts, cap)):
+        program = solve_program(lengths, counts, cap)
+        tried = [round_program(lengths, counts, cap, program, share) for share in SHARES]
+        for n, sizes in min(tried, key=lambda t: sum(n for n, _ in t)):
             at = 0
             for size in sizes:
                 out.setdefault(size, []).append((taken[size], seq, at))
