@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, rp_forest, secrets, shards, url_rules, voronoi
+from . import bpe, near_dup, packing, rp_forest, secrets, shards, url_rules, voronoi
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,30 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _dedup_sql() -> str:
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+with w as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') as w
+  from documents),
+sh as materialized (
+  select distinct doc_id, unnest(case when len(w) >= 5
+    then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+n as materialized (select doc_id, count(*) as n from sh group by doc_id),
+ij as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as materialized (select a, b from ij join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+both_ways as materialized (select a, b from link union all select b, a from link),
+reach as (
+  with recursive r(a, b) as (select doc_id, doc_id from n union select r.a, l.b from r join both_ways l on r.b = l.a)
+  select a, min(b) as component from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(reach.component, d.doc_id) as component_id,
+  coalesce(reach.component, d.doc_id) = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join reach on reach.a = d.doc_id"""
+
+
+@query("op2_minhash_near_dup", _dedup_sql())
+def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_key")

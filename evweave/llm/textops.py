@@ -75,6 +75,24 @@ class Hasher:
         s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         return s, e, self.runs(self.byte[raw], s, e), np.searchsorted(s, off)
 
+    def word_hashes(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(hash of every word, first word of each text)``; a long text is cut at
+        separators, so only its word hashes are held at once."""
+        if len(off) > 2 or len(raw) <= 2 * SLICE:
+            _, _, h, first = self.words(raw, off)
+            return h, first
+        parts, at = [], 0
+        while at < len(raw):
+            end = at + SLICE
+            while end < len(raw) and not self.sep[raw[end]]:
+                near = np.flatnonzero(self.sep[raw[end:end + 4096]])
+                end = end + int(near[0]) if len(near) else end + 4096
+            end = min(end, len(raw))
+            parts.append(self.words(raw[at:end], np.array([0, end - at]))[2])
+            at = end
+        h = np.concatenate(parts)
+        return h, np.array([0, len(h)])
+
 
 def text_slices(col: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, row offsets into those bytes)`` for runs of
