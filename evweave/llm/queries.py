@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dup, packing, rp_forest, secrets, shards, url_rules, voronoi
+from . import bpe, nbsvm, near_dup, packing, rp_forest, secrets, shards, url_rules, voronoi
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,10 @@ from documents d left join n on n.doc_id = d.doc_id left join reach on reach.a =
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_key")
+
+
+@query("op4_nbsvm_quality")
+def op4_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learnt from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.score_quality(docs, nbsvm.fit_quality(docs, table(spark, sf_dir, "labels")))
