@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, nbsvm, near_dup, packing, rp_forest, secrets, shards, url_rules, voronoi
+from . import bpe, nbsvm, nce_lm, near_dup, packing, rp_forest, secrets, shards, url_rules, voronoi
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,8 +110,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bpe_round_trip")
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
-    path = byte_bpe()
-    coded = bpe.decode_ids(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), byte_bpe(), decode=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -149,3 +148,9 @@ def op4_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learnt from four fifths of the labels."""
     docs = table(spark, sf_dir, "documents")
     return nbsvm.score_quality(docs, nbsvm.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_nce_lm_scores")
+def op3_nce_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every document."""
+    return nce_lm.score_texts(table(spark, sf_dir, "documents"))
