@@ -161,7 +161,7 @@ class Splitter:
                 yield (text, *self.tokens(text, ends[:-1], np.arange(i, j)))
 
     def tokens(self, text: str, first: np.ndarray, rows: np.ndarray):
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.int32)
         if not len(codes):
             z = np.zeros(0, np.int64)
             return z, z, np.zeros(0, np.uint64), z
@@ -279,6 +279,27 @@ def _join(parts: list[np.ndarray]) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+# --- ids to text ------------------------------------------------------------------------
+
+class PieceTable:
+    """The id-to-piece table of a vocabulary, made inside a task."""
+
+    def __init__(self, vocab: Vocabulary):
+        pieces = vocab.pieces()
+        self.n = len(pieces)
+        self.size = np.array([*map(len, pieces), 0], np.int64)  # the last entry: an unknown id
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.off = np.cumsum(self.size) - self.size
+
+    def text(self, ids: np.ndarray) -> str:
+        """The pieces of ``ids`` joined and read as UTF-8 with replacement characters."""
+        at = ids.astype(np.int64)
+        at = np.where((at >= 0) & (at < self.n), at, self.n)
+        n = self.size[at]
+        gap = np.repeat(self.off[at] - (np.cumsum(n) - n), n)
+        return self.flat[gap + np.arange(len(gap))].tobytes().decode("utf-8", "replace")
+
+
 # --- the distributed word table ---------------------------------------------------------
 
 def _shrink(a: np.ndarray) -> bytes:
@@ -335,8 +356,10 @@ def _block_words(split: Splitter, block: pa.Table):
     return key.digest(), seen, words, h, np.bincount(row, minlength=base)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, ids`` (array of int) per row, as the tokenizers library encodes
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                     decode: bool = False) -> DataFrame:
+    """``id_col, ids`` (array of int; with ``decode`` also ``decoded``, the text that
+    the ids' pieces give, see :func:`decode_ids`) per row, as the tokenizers library encodes
     each whole text with the file at ``path`` and ``add_special_tokens=False``.
 
     Null and empty texts have no ids; repeated rows and repeated or null
@@ -415,7 +438,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                                               pa.array(rows, pa.binary())], names=["block", "id", "body"])
 
     id_type = src.schema["id"].dataType
-    out_schema = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out_schema = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+                              + ([T.StructField("decoded", T.StringType())] if decode else []))
 
     def place(docs_t: pa.Table, ids_t: pa.Table) -> pa.Table:
         ids_t = ids_t.sort_by("bucket")
@@ -426,16 +450,19 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         size = np.concatenate(size).astype(np.int64) if size else np.zeros(0, np.int64)
         flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
         off = np.cumsum(size) - size
-        out, ends = [], [0]
+        table = PieceTable(vocab) if decode else None
+        out, ends, texts = [], [0], []
         for blob in docs_t.column("body").to_pylist():
             at = _grow(blob)
             n = size[at]
             gap = np.repeat(off[at] - (np.cumsum(n) - n), n)
             out.append(flat[gap + np.arange(len(gap))].astype(np.int32))
             ends.append(ends[-1] + len(gap))
+            if decode:
+                texts.append(table.text(out[-1]))
         values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
-        return pa.table({"id": docs_t.column("id"),
-                         "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
+        got = {"id": docs_t.column("id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+        return pa.table({**got, "decoded": pa.array(texts, pa.string())} if decode else got)
 
     words = src.mapInArrow(ask, "block binary, bucket int, words binary")
     coded = words.groupBy("bucket").applyInArrow(answer, "block binary, bucket int, sizes binary, ids binary")
@@ -454,24 +481,12 @@ def decode_ids(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str =
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocab.pieces()
-        size = np.array([*map(len, pieces), 0], np.int64)
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        off = np.cumsum(size) - size
+        table = PieceTable(vocab)
         for b in batches:
             ids = b.column(b.schema.get_field_index(ids_col))
             values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
             valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            out = []
-            for a, z, ok in zip(ends.tolist(), ends[1:].tolist(), valid.tolist()):
-                if not ok:
-                    out.append(None)
-                    continue
-                at = values[a:z].astype(np.int64)
-                at = np.where((at >= 0) & (at < len(pieces)), at, len(pieces))
-                n = size[at]
-                gap = np.repeat(off[at] - (np.cumsum(n) - n), n)
-                out.append(flat[gap + np.arange(len(gap))].tobytes().decode("utf-8", "replace"))
+            out = [table.text(values[a:z]) if ok else None for a, z, ok in zip(ends.tolist(), ends[1:].tolist(), valid.tolist())]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in names],
                                               pa.array(out, pa.string())], schema=None, names=[*names, out_col])
 

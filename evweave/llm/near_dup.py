@@ -25,8 +25,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +138,19 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def class_key(text: Column) -> Column:
+    """The digest of a text's shingle set; null without words."""
+    @F.pandas_udf("binary")
+    def key(col: pd.Series) -> pd.Series:
+        import hashlib
+        hasher, out = textops.Hasher(), []
+        for _, sets in shingle_sets(hasher, pa.array(col, pa.string())):
+            out += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        return pd.Series(out, dtype=object)
+
+    return key(text)
+
+
 def candidate_sets(docs: DataFrame) -> DataFrame:
     """``key, n, sketch, shingles`` per row of (id, text) with words."""
     a, b = _permutations(SAMPLES, SEED + 1)
