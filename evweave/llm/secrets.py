@@ -177,8 +177,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id_col, n_assign, n_access, n_hex, n_entropy, base_sha256, spans`` per row
     (see :func:`with_spans`); an empty table gives no rows."""
     d = with_spans(docs.select(F.col(id_col), F.col(text_col).alias("text")), "text", "b", "s")
-    counts = [F.size(F.filter("s", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{n}")
-              for i, n in enumerate(kind_names())]
+    def count(index: int) -> Column:
+        return F.size(F.filter("s", lambda x: x["kind"] == index)).cast("long")
+
+    counts = [count(i).alias(f"n_{n}") for i, n in enumerate(kind_names())]
     return d.select(F.col(id_col), *counts, F.sha2(spans_text(F.col("b")), 256).alias("base_sha256"),
                     spans_text(F.col("s")).alias("spans"))
 
