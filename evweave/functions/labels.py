@@ -91,19 +91,20 @@ def class_weighted(weight, label, w_background: float, w_signal: float) -> Colum
 
 
 def binary_crossentropy(label, p, eps: float = 1e-7) -> Column:
-    """Per-row cross-entropy with the prediction clipped to [eps, 1-eps]."""
+    """Per-row cross-entropy with the prediction clipped to [eps, 1-eps] and
+    eps added again inside both logarithms."""
     q = F.least(F.greatest(_c(p), F.lit(eps)), F.lit(1.0 - eps))
     t = _c(label).cast("double")
-    return -(t * F.log(q) + (F.lit(1.0) - t) * F.log(F.lit(1.0) - q))
+    return -(t * F.log(q + eps) + (F.lit(1.0) - t) * F.log(F.lit(1.0) - q + eps))
 
 
 def focal_loss(label, p, alpha: float = 0.25, gamma: float = 2.0, eps: float = 1e-7) -> Column:
-    """−α[t·log(p)(1−p)^γ + (1−t)·log(1−p)·p^γ] with p clipped."""
+    """−α[t·log(p+ε)(1−p)^γ + (1−t)·log(1−p+ε)·p^γ] with p clipped."""
     q = F.least(F.greatest(_c(p), F.lit(eps)), F.lit(1.0 - eps))
     t = _c(label).cast("double")
     g = F.lit(float(gamma))
-    return -F.lit(float(alpha)) * (t * F.log(q) * F.pow(F.lit(1.0) - q, g)
-                                  + (F.lit(1.0) - t) * F.log(F.lit(1.0) - q) * F.pow(q, g))
+    return -F.lit(float(alpha)) * (t * F.log(q + eps) * F.pow(F.lit(1.0) - q, g)
+                                  + (F.lit(1.0) - t) * F.log(F.lit(1.0) - q + eps) * F.pow(q, g))
 
 
 def logit_crossentropy(label, p, eps: float = 1e-7) -> Column:

@@ -2,9 +2,10 @@
 
 A stored network is a list of layers ``(W, b, activation)`` with ``W`` of
 shape (inputs × units). Small networks are unrolled into Catalyst column
-expressions (stays in whole-stage codegen, no Python at all); larger ones run
-as an Arrow-batched ``pandas_udf`` doing one matrix product per batch. Dropout
-is inert at scoring time and therefore absent.
+expressions (no Python at all); larger ones run as an Arrow-batched
+``pandas_udf`` doing one matrix product per batch. Both give the same scores: a
+null or NaN input gives a null score, and the activations do not overflow.
+Dropout is inert at scoring time and therefore absent.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def _act_col(z: Column, act: str) -> Column:
     if act == "sigmoid":
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
     if act == "softplus":
-        return F.log1p(F.exp(z))
+        return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
     if act == "tanh":
         return F.tanh(z)
     raise ValueError(f"unknown activation {act}")
@@ -41,9 +42,9 @@ def _act_np(z: np.ndarray, act: str) -> np.ndarray:
     if act == "relu":
         return np.maximum(z, 0.0)
     if act == "sigmoid":
-        return 1.0 / (1.0 + np.exp(-z))
+        return 1.0 / (1.0 + np.exp(-np.maximum(z, -700.0)))
     if act == "softplus":
-        return np.log1p(np.exp(z))
+        return np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z)))
     if act == "tanh":
         return np.tanh(z)
     raise ValueError(f"unknown activation {act}")
@@ -69,10 +70,12 @@ def dense_score(df: DataFrame, features: Sequence[str], layers, out: str = "scor
     """Add ``out`` = the network's single output (rounded to ``round_digits``
     so ties and thresholds agree across engines)."""
     work = sum(np.asarray(W).size for W, _, _ in layers)
-    if work <= UNROLL_LIMIT:
-        col = layer_columns([F.col(c).cast("double") for c in features], layers)[0]
-    else:
-        col = _pandas_scorer(layers)(*[F.col(c).cast("double") for c in features])
+    inputs = [F.col(c).cast("double") for c in features]
+    col = layer_columns(inputs, layers)[0] if work <= UNROLL_LIMIT else _pandas_scorer(layers)(*inputs)
+    known = F.lit(True)
+    for x in inputs:
+        known = known & x.isNotNull() & ~F.isnan(x)
+    col = F.when(known, col)  # greatest() skips nulls: the activations alone would invent a score
     if round_digits is not None:
         col = F.round(col, round_digits)
     return df.withColumn(out, col)
@@ -83,7 +86,7 @@ def _pandas_scorer(layers):
 
     @F.pandas_udf("double")
     def score(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+        x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=float) for c in cols]))
         for W, b, a in mats:
             x = _act_np(x @ W + b, a)
         return pd.Series(x[:, 0])
@@ -141,7 +144,7 @@ def network_sql(features: Sequence[str], layers) -> str:
     """The unrolled network as SQL text (for oracles)."""
     def act(z, a):
         return {"linear": z, "relu": f"greatest({z}, 0.0)", "sigmoid": f"(1.0 / (1.0 + exp(-({z}))))",
-                "softplus": f"ln(1 + exp({z}))", "tanh": f"tanh({z})"}[a]
+                "softplus": f"(greatest({z}, 0.0) + ln(1 + exp(-abs({z}))))", "tanh": f"tanh({z})"}[a]
     cur = [f"cast({c} as double)" for c in features]
     for W, b, a in layers:
         W = np.asarray(W, dtype=float)

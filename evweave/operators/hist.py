@@ -1,8 +1,8 @@
 """Weighted histograms (H1–H9).
 
 Shape of every job: (1) limits per histogram key from one aggregation,
-stored once, (2) joined back — a one-row cross join when global, otherwise a
-broadcast after counting the stored limits table (shuffle join above the
+stored once, (2) joined back — literals of the one fetched row when global,
+otherwise a broadcast after counting the stored limits table (shuffle join above the
 bound) — (3) a JVM-side bin expression, (4) ONE ``groupBy`` with map-side
 partial sums. A sweep over many features joins the limits in wide form and
 only then unpivots the (feature, bin) pairs, so the exploded rows never cross
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_center, bin_index
@@ -42,10 +42,11 @@ def with_limits(df: DataFrame, x: str, keys: Sequence[str] = (), lo: float | Non
 
 def histogram(df: DataFrame, x: str, n_bins: int = 30, by: Sequence[str] = ("sample",),
               limit_keys: Sequence[str] = (), lo: float | None = None, hi: float | None = None,
-              weight: str | None = "weight", scale: float = 1.0, keep_flow: bool = False) -> DataFrame:
+              weight: str | None = "weight", scale: float | Column = 1.0, keep_flow: bool = False) -> DataFrame:
     """H1/H5: entries, Σw and Σw² per (limit keys, by, bin).
 
-    ``scale`` multiplies the weights (signal amplification); ``keep_flow``
+    ``scale`` multiplies the weights: a number, or a column such as
+    :func:`signal_scale` that amplifies the signal rows only; ``keep_flow``
     keeps under/overflow as bins 0 and n+1 (only meaningful with fixed limits).
     Output carries ``lo``, ``hi`` and the bin ``center``.
     """
@@ -53,7 +54,7 @@ def histogram(df: DataFrame, x: str, n_bins: int = 30, by: Sequence[str] = ("sam
     d = with_limits(df, x, limit_keys, lo, hi)
     b = bin_index(F.col(x), F.col("_lo"), F.col("_hi"), n_bins, keep_flow)
     d = d.withColumn("bin", b).where(F.col("bin").isNotNull())
-    w = (F.col(weight) * F.lit(float(scale))) if weight else F.lit(1.0)
+    w = (F.col(weight) * (scale if isinstance(scale, Column) else F.lit(float(scale)))) if weight else F.lit(1.0)
     g = d.groupBy(*limit_keys, *by, "_lo", "_hi", "bin").agg(
         F.count(F.lit(1)).alias("entries"), F.sum(w).alias("sum_w"), F.sum(w * w).alias("sum_w2"))
     return g.select(*limit_keys, *by, "bin", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
@@ -61,6 +62,11 @@ def histogram(df: DataFrame, x: str, n_bins: int = 30, by: Sequence[str] = ("sam
                     "entries", "sum_w", "sum_w2")
 
 
+def signal_scale(signals: Sequence[str], factor: float, sample: str = "sample") -> Column:
+    """H5: ``factor`` for the signal samples, 1 for background and data."""
+    return F.when(F.col(sample).isin(list(signals)), F.lit(float(factor))).otherwise(F.lit(1.0))
+
+
 def background_stack(hist: DataFrame, keys: Sequence[str] = (), sample: str = "sample") -> DataFrame:
     """H2: per-bin background total and the running stack over samples
     (window over the small histogram table, partitioned by key and bin)."""

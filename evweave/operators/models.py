@@ -3,21 +3,24 @@
 
 Training runs as Spark ML estimators (tree-aggregate rounds on the
 executors); scoring is a map-only ``transform``. Spark ML refuses negative
-weights, so every trainer takes an explicit ``negative_weights`` policy:
-``drop`` (the reference's non-negative filter, default), ``abs`` or ``zero``.
+weights, so every weighted fit must name its ``negative_weights`` policy:
+``signed`` (kept as they are: the logistic trainer below, which has no such
+limit), ``drop``, ``abs`` or ``zero``. There is no default, so no row is lost
+silently.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import class_weighted
@@ -26,7 +29,7 @@ from ..plans.small import with_scalars
 ESTIMATORS = {"logistic": LogisticRegression, "gbt": GBTClassifier, "forest": RandomForestClassifier}
 
 
-def training_weights(df: DataFrame, weight: str | None, policy: str = "drop", out: str = "_w") -> DataFrame:
+def training_weights(df: DataFrame, weight: str | None, policy: str | None = None, out: str = "_w") -> DataFrame:
     """Apply the negative-weight policy and put the training weight in ``out``."""
     if weight is None:
         return df.withColumn(out, F.lit(1.0))
@@ -41,23 +44,120 @@ def training_weights(df: DataFrame, weight: str | None, policy: str = "drop", ou
 
 
 def fit_classifier(df: DataFrame, features: Sequence[str], kind: str = "logistic", label: str = "label",
-                   weight: str | None = "weight", negative_weights: str = "drop",
-                   class_weights: tuple[float, float] | None = None, **params) -> PipelineModel:
+                   weight: str | None = "weight", *, negative_weights: str | None = None,
+                   class_weights: tuple[float, float] | None = None, **params):
     """Assemble → weighted classifier. ``weight=None`` trains
     unweighted (M2); ``class_weights=(background, signal)`` multiplies the
-    sample weight by the class weight first (L15/M10)."""
+    sample weight by the class weight first (L15/M10). A weighted fit needs
+    ``negative_weights``."""
+    if negative_weights == "signed" and kind != "logistic":
+        raise ValueError("only the logistic trainer takes signed weights")
     d = df
     if class_weights is not None:
         base = F.col(weight) if weight else F.lit(1.0)
         d = d.withColumn("_cw", class_weighted(base, label, class_weights[0], class_weights[1]))
         weight = "_cw"
+    if negative_weights == "signed" and weight is not None:
+        return fit_signed_logistic(d, features, label, weight, **params)
     d = training_weights(d, weight, negative_weights)
     est = ESTIMATORS[kind](featuresCol="_features", labelCol=label, weightCol="_w", **params)
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     return Pipeline(stages=[asm, est]).fit(d.withColumn(label, F.col(label).cast("double")))
 
 
-def score(model, df: DataFrame, out: str = "score", round_digits: int | None = 6) -> DataFrame:
+class SignedLogistic:
+    """A fitted logistic model with the ``transform`` of a pipeline model."""
+
+    def __init__(self, features: Sequence[str], coefs: Sequence[float], history: list[tuple[int, float]],
+                 gradient: float, n_rows: int, abs_weight: float):
+        self.features, self.coefs, self.history = list(features), [float(c) for c in coefs], history
+        self.gradient, self.n_rows, self.abs_weight = gradient, n_rows, abs_weight
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        p = _probability(self.features, self.coefs)
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - p, p)))
+
+
+def _probability(features: Sequence[str], coefs: Sequence[float]) -> Column:
+    z = F.lit(float(coefs[0]))
+    for c, w in zip(features, coefs[1:]):
+        z = z + F.lit(float(w)) * F.col(c).cast("double")
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def fit_signed_logistic(df: DataFrame, features: Sequence[str], label: str = "label", weight: str = "weight",
+                        regParam: float = 1e-6, maxIter: int = 25, tol: float = 1e-6) -> SignedLogistic:
+    """Logistic model on signed weights: damped Newton steps on the weighted log
+    loss per unit of |weight| (plus ``regParam``/2 of the squared coefficients).
+    Every step is one aggregation of the gradient and the curvature over the
+    executors; only their (k+1)^2 numbers reach the driver. Features are
+    standardised inside; where negative weights make the curvature indefinite
+    it is shifted until positive, and a step is halved while it does not lower
+    the loss. Rows with a null feature, label or weight are not used."""
+    k = len(features)
+    known = F.col(label).isNotNull() & F.col(weight).isNotNull()
+    for c in features:
+        known = known & F.col(c).isNotNull()
+    base = df.where(known)
+    st = base.agg(F.count("*").alias("n"), F.sum(F.abs(F.col(weight).cast("double"))).alias("w"),
+                  *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
+                  *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    if not st["n"] or not st["w"]:
+        raise ValueError("no rows with weight to fit on")
+    mu = [st[f"m{i}"] for i in range(k)]
+    sd = [st[f"s{i}"] or 1.0 for i in range(k)]
+    xs = [F.lit(1.0)] + [(F.col(c).cast("double") - F.lit(m)) / F.lit(s) for c, m, s in zip(features, mu, sd)]
+    d = base.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)], F.col(label).cast("double").alias("y"),
+                    (F.col(weight).cast("double") / F.lit(float(st["w"]))).alias("w"))
+    names = [f"x{i}" for i in range(k + 1)]
+
+    def at(beta: np.ndarray, curvature: bool = True):
+        z = F.lit(0.0)
+        for n, b in zip(names, beta):
+            z = z + F.lit(float(b)) * F.col(n)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        loss = F.greatest(z, F.lit(0.0)) - z * F.col("y") + F.log1p(F.exp(-F.abs(z)))
+        aggs = [F.sum(F.col("w") * loss).alias("loss")]
+        aggs += [F.sum(F.col("w") * (p - F.col("y")) * F.col(n)).alias(f"g{i}") for i, n in enumerate(names)]
+        if curvature:
+            aggs += [F.sum(F.col("w") * p * (1 - p) * F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}")
+                     for i in range(k + 1) for j in range(i + 1)]
+        r = d.agg(*aggs).first()
+        ridge = np.full(k + 1, regParam)
+        ridge[0] = 0.0
+        g = np.array([r[f"g{i}"] for i in range(k + 1)]) + ridge * beta
+        h = np.diag(ridge)
+        if curvature:
+            for i in range(k + 1):
+                for j in range(i + 1):
+                    h[i, j] += r[f"h{i}_{j}"]
+                    if i != j:
+                        h[j, i] += r[f"h{i}_{j}"]
+        return r["loss"] + 0.5 * float((ridge * beta * beta).sum()), g, h
+
+    beta = np.zeros(k + 1)
+    loss, g, h = at(beta)
+    history = [(0, float(loss))]
+    for it in range(1, maxIter + 1):
+        if np.abs(g).max() <= tol:
+            break
+        low = float(np.linalg.eigvalsh(h).min())
+        step = np.linalg.solve(h + max(0.0, 1e-6 - low) * np.eye(k + 1), g)
+        size = 1.0
+        while True:
+            new = at(beta - size * step)
+            if new[0] <= loss or size < 1e-4:
+                break
+            size /= 2
+        if new[0] > loss:
+            break
+        beta, (loss, g, h) = beta - size * step, new
+        history.append((it, float(loss)))
+    coefs = [beta[0] - sum(b * m / s for b, m, s in zip(beta[1:], mu, sd))] + [b / s for b, s in zip(beta[1:], sd)]
+    return SignedLogistic(features, coefs, history, float(np.abs(g).max()), int(st["n"]), float(st["w"]))
+
+
+def score(model, df: DataFrame, out: str = "score", round_digits: int | None = None) -> DataFrame:
     """M6/Z3: batch scoring → probability of class 1 in ``out`` (map-only)."""
     t = model.transform(df)
     s = vector_to_array(F.col("probability"))[1]
@@ -68,7 +168,8 @@ def score(model, df: DataFrame, out: str = "score", round_digits: int | None = 6
 
 
 def fit_gbt_early_stopping(df: DataFrame, features: Sequence[str], validation: Column, label: str = "label",
-                           weight: str | None = "weight", negative_weights: str = "drop", **params) -> PipelineModel:
+                           weight: str | None = "weight", *, negative_weights: str | None = None,
+                           **params) -> PipelineModel:
     """M4: boosted trees that stop when the validation rows (``validation``
     true) stop improving."""
     d = training_weights(df.withColumn("_val", validation), weight, negative_weights)
@@ -90,8 +191,10 @@ def fit_forest_regressor(df: DataFrame, features: Sequence[str], label: str = "l
 def training_history(model) -> DataFrame | None:
     """Per-iteration objective of a fitted pipeline's last stage
     (logistic: ``objectiveHistory``). Small (one row per iteration)."""
+    if isinstance(model, SignedLogistic):
+        return SparkSession.getActiveSession().createDataFrame(model.history, "iteration int, loss double")
     last = model.stages[-1] if hasattr(model, "stages") else model
-    spark = _spark_of(model)
+    spark = SparkSession.getActiveSession()
     if hasattr(last, "summary") and getattr(last, "hasSummary", False):
         hist = last.summary.objectiveHistory
         return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
@@ -107,11 +210,6 @@ def gbt_history(model, df: DataFrame, label: str = "label") -> DataFrame:
     return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
 
 
-def _spark_of(model):
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
-
-
 # --- M8: one-class reconstruction ----------------------------------------------------
 
 def fit_reconstruction(df: DataFrame, x: str = "x", k: int = 2) -> tuple:
@@ -197,6 +295,24 @@ def linear_score(df: DataFrame, features: Sequence[str], coefs: Sequence[float],
 
 # --- Z1, Z4: user functions --------------------------------------------------------------
 
+def merge_per_group(df: DataFrame, keys: Sequence[str], partial: Callable, merge: Callable, partial_schema: str,
+                    schema: str) -> DataFrame:
+    """Z1 for groups of any size: ``partial`` (pandas frame of one group's rows in
+    one batch -> small frame with the keys) runs inside the tasks, ``merge`` (all
+    partial rows of a group -> result) on the few partial rows. A group holding a
+    third of all rows costs a few rows per batch."""
+    keys = list(keys)
+
+    def run(batches):
+        import pandas as pd
+        for b in batches:
+            got = [partial(g) for _, g in b.groupby(keys, dropna=False, sort=False)]
+            if got:
+                yield pd.concat(got, ignore_index=True)
+
+    return df.mapInPandas(run, partial_schema).groupBy(*keys).applyInPandas(merge, schema)
+
+
 def apply_per_group(df: DataFrame, keys: Sequence[str], fn: Callable, schema: str) -> DataFrame:
     """A user pandas function per group (Arrow batches). Use built-in
     aggregates where possible; this is for user code only, and each group must

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..operators.hist import to_long
 from ..plans.small import with_scalars
+from ..session import materialize
 from . import metrics as M
 from . import models as MD
 
@@ -62,7 +63,7 @@ def forest_importances(df: DataFrame, features: Sequence[str], label: str = "lab
                        max_depth: int = 5, subset: str = "auto", weight: str | None = None, seed: int = 42) -> DataFrame:
     """Random-forest importances with their std over trees. R4 (extra
     trees) is approximated by ``subset="1"`` (one random feature per split)."""
-    model = MD.fit_classifier(df, features, "forest", label, weight, numTrees=num_trees, maxDepth=max_depth,
+    model = MD.fit_classifier(df, features, "forest", label, weight, negative_weights="abs", numTrees=num_trees, maxDepth=max_depth,
                               featureSubsetStrategy=subset, seed=seed)
     rf = model.stages[-1]
     per_tree = np.array([t.featureImportances.toArray() for t in rf.trees])
@@ -78,7 +79,7 @@ def compare_feature_sets(train: DataFrame, test: DataFrame, sets: Mapping[str, S
     rows (feature_set, auc, f1_1)."""
     outs = []
     for name, feats in sets.items():
-        m = MD.fit_classifier(train, feats, "logistic", label, weight)
+        m = MD.fit_classifier(train, feats, "logistic", label, weight, negative_weights="signed")
         s = MD.score(m, test)
         auc = M.roc_auc(s, weight=None).withColumn("feature_set", F.lit(name))
         f1 = M.f1_per_threshold(s, [th], weight=None).select("f1_1")
@@ -89,6 +90,8 @@ def compare_feature_sets(train: DataFrame, test: DataFrame, sets: Mapping[str, S
     return out.select("feature_set", "auc", "f1_1")
 
 
+MAX_BACKGROUND = 10_000  # rows of the broadcast background sample
+
 # --- R7–R9: sampled Shapley attributions -------------------------------------------------
 
 def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: Sequence[str], id_col: str,
@@ -106,7 +109,10 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: Seq
     k = len(features)
     bg = background.select(*[F.col(c).cast("double").alias(f"_b_{c}") for c in features])
     bg = bg.withColumn("_bi", F.row_number().over(Window.orderBy(*[f"_b_{c}" for c in features])) - 1)
-    n_bg = bg.count()  # the background sample's size (bounded by construction)
+    bg = materialize(bg)
+    n_bg = bg.count()
+    if not 0 < n_bg <= MAX_BACKGROUND:
+        raise ValueError(f"the background sample must have 1 to {MAX_BACKGROUND} rows")
     r = rows.select(F.col(id_col), *[F.col(c).cast("double").alias(c) for c in features])
     r = r.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     r = r.withColumn("_bi", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("_p")), F.lit(n_bg)).cast("int"))
@@ -118,18 +124,20 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: Seq
     coal = r.select(id_col, "_p", "_j", "_perm", *[
         F.when(F.array_position("_perm", i) <= F.col("_j"), F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c)
         for i, c in enumerate(features)])
-    scored = MD.score(model, coal, "_s", round_digits=None)
-    w = Window.partitionBy(id_col, "_p").orderBy("_j")  # k+1 rows per partition
-    diffs = scored.withColumn("_d", F.col("_s") - F.lag("_s").over(w)).where(F.col("_j") > 0)
-    diffs = diffs.withColumn("_f", F.element_at("_perm", F.col("_j")))
-    names = F.array(*[F.lit(c) for c in features])
+    scored = MD.score(model, coal, "_s")
+    # a coalition's score counts for the feature that joined it and against the
+    # one that joins next: sums per (row, feature), no window and no join back
     vals = F.array(*[F.col(c) for c in features])
-    att = diffs.groupBy(id_col, "_f").agg(F.avg("_d").alias("attribution"))
-    vrow = rows.select(F.col(id_col), F.explode(F.arrays_zip(names.alias("feature"),
-                                                             vals.alias("value"))).alias("z"))
-    vrow = vrow.select(id_col, F.col("z.feature").alias("feature"), F.col("z.value").cast("double").alias("value"))
-    att = att.select(id_col, F.element_at(names, F.col("_f") + 1).alias("feature"), "attribution")
-    return att.join(vrow, [id_col, "feature"])
+    joined, nxt = F.get("_perm", F.col("_j") - 1), F.get("_perm", F.col("_j"))
+    terms = F.filter(F.array(
+        F.struct(joined.alias("f"), F.col("_s").alias("d"), F.get(vals, joined).alias("v")),
+        F.struct(nxt.alias("f"), (-F.col("_s")).alias("d"), F.lit(None).cast("double").alias("v"))),
+        lambda z: z["f"].isNotNull())
+    t = scored.select(id_col, F.explode(terms).alias("z"))
+    names = F.array(*[F.lit(c) for c in features])
+    att = t.groupBy(id_col, "z.f").agg((F.sum("z.d") / F.lit(float(permutations))).alias("attribution"),
+                                       F.max("z.v").alias("value"))
+    return att.select(id_col, F.get(names, F.col("f")).alias("feature"), "attribution", "value")
 
 
 def global_importance(attr: DataFrame) -> DataFrame:

@@ -1,40 +1,23 @@
 """Minority oversampling (X9 SMOTE, X10 ADASYN, X11 synthetic weights).
 
-Exact k-nearest neighbours without an all-pairs join
-------------------------------------------------------
-1. Points with identical coordinates are collapsed to one point with a
-   multiplicity (a skew-safe ``groupBy``), so a heavily duplicated value can
-   never put a third of the rows into one group.
-2. Multi-resolution grid: at level L the cell side is r·g^L (g = √2). Every
-   point within distance r·g^L of a query lies in the 3^d cells around the query's
-   cell, so a query whose candidates within that radius already add up to k
-   points has its exact k nearest neighbours. Unresolved queries move to the
-   next (coarser) level; the last level covers the whole range, so the
-   search always terminates exactly. Candidates per query grow with local
-   density around the query, not with the size of any group.
-3. Each level is one equi-join on the cell key plus a small window per
-   query; the unresolved set is checkpointed between levels.
-
-The grid has 3^d neighbour cells, so this is meant for low-dimensional
-feature sets (d ≤ 6); reduce dimension first otherwise.
+Points with identical coordinates are collapsed to one point with a
+multiplicity (a skew-safe ``groupBy``), so a heavily duplicated value can never
+put a third of the rows into one group; neighbours of the distinct points come
+from the exact pivot search of :mod:`evweave.operators.neighbours`, for any
+number of features.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import hash_rank
 from ..plans.small import with_scalars
 from ..session import materialize
-
-MAX_DIM = 6
-GROWTH = 2 ** 0.5  # cell side growth per level
-FINEST = 20  # the first cell side is the range / 2^FINEST
+from .neighbours import nearest_points
 
 
 def _coords(features: Sequence[str]):
@@ -50,100 +33,6 @@ def collapse(df: DataFrame, features: Sequence[str], label: str | None = None) -
     return df.groupBy(_coords(features).alias("c")).agg(*aggs)
 
 
-def _start_levels(queries: DataFrame, ref: DataFrame, k: int, r0: float, levels: int, back: int = 2) -> DataFrame:
-    """Per query, ``back`` levels below the first level whose OWN cell holds
-    k other reference points: a density probe costing one count per point
-    and level (a (levels+1)-fold expansion, not 3^d). Points in a dense spot
-    fill their own cells at fine levels and start there; isolated points and
-    near-duplicate pairs start near the level where k neighbours exist.
-    Correctness does not depend on it (certification in knn_groups)."""
-    lv = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("L")
-
-    def own_cell(col):
-        side = F.lit(float(r0)) * F.pow(F.lit(GROWTH), F.col("L"))
-        return F.transform(col, lambda x: F.floor(x / side).cast("long"))
-    rc = ref.select("mult", "c", lv).select("L", own_cell(F.col("c")).alias("cell"), "mult")
-    counts = rc.groupBy("L", "cell").agg(F.sum("mult").alias("n"))
-    qc = queries.select("c", lv).select("c", "L", own_cell(F.col("c")).alias("cell"))
-    hit = qc.join(counts, ["L", "cell"]).where(F.col("n") >= k + 1)
-    first = hit.groupBy("c").agg(F.greatest(F.min("L") - back, F.lit(0)).alias("start"))
-    return queries.select("c").join(first, "c", "left").fillna({"start": levels})
-
-
-def knn_groups(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, r0: float, levels: int,
-               extra: Sequence[str] = ()) -> DataFrame:
-    """Exact kNN over collapsed points.
-
-    ``queries``: (c); ``ref``: (c, mult, extra...). Returns (c, nc, dist,
-    take, extra...) — the neighbour groups of each query with the number of
-    points ``take`` used from each, adding up to k (fewer only when the whole
-    reference has fewer points). Each query enters at its own starting level
-    (:func:`_start_levels`) and is resolved at the first level whose
-    candidates within that level's radius reach k; cells grow by ``GROWTH``
-    per level and levels without work are skipped. At the last level the
-    cell side exceeds the data's diagonal, so the neighbour cells hold every
-    point and all remaining queries resolve."""
-    d = len(queries.select("c").first()["c"])
-    offs = [list(o) for o in itertools.product([-1, 0, 1], repeat=d)]
-    off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
-    starts = materialize(_start_levels(queries, ref, k, r0, levels))
-    entering_at = {r["start"]: r["count"] for r in starts.groupBy("start").count().collect()}  # ≤ levels+1 rows
-    carried, n_carried = None, 0
-    found = []
-    for lv in range(levels + 1):
-        last = lv == levels
-        if n_carried == 0 and entering_at.get(lv, 0) == 0 and not last:
-            continue
-        entering = starts.where(F.col("start") == lv).select("c")
-        pending = entering if carried is None else carried.unionByName(entering)
-        r = r0 * (GROWTH ** lv)
-
-        def cell(col, r=r):
-            return F.transform(col, lambda x: F.floor(x / F.lit(r)).cast("long"))
-        rc = ref.select(F.col("c").alias("nc"), cell(F.col("c")).alias("cell"), "mult", *extra)
-        q = pending.select("c", F.explode(F.transform(off_arr, lambda o: F.zip_with(
-            cell(F.col("c")), o, lambda a, b: a + b))).alias("cell"))
-        cand = q.join(rc, "cell").drop("cell")
-        dist = F.sqrt(F.aggregate(F.zip_with("c", "nc", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                                  lambda acc, v: acc + v))
-        cand = cand.withColumn("dist", dist)
-        if exclude_self:
-            cand = cand.withColumn("mult", F.when(F.col("dist") == 0, F.col("mult") - 1).otherwise(F.col("mult")))
-            cand = cand.where(F.col("mult") > 0)
-        # running count in distance order and the count reached within radius r,
-        # both over the same per-query partition (one sort per level)
-        w = Window.partitionBy("c").orderBy("dist", "nc")
-        cand = cand.withColumn("_cum", F.sum("mult").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        within = F.col("dist") <= F.lit(r)
-        cand = cand.withColumn("_reach", F.max(F.when(within, F.col("_cum"))).over(Window.partitionBy("c")))
-        ok = F.lit(True) if last else (F.col("_reach") >= k)
-        res = cand.where(ok & (F.col("_cum") - F.col("mult") < k)).withColumn(
-            "take", F.least(F.col("mult"), F.lit(k) - (F.col("_cum") - F.col("mult"))))
-        found.append(materialize(res.select("c", "nc", "dist", "take", *extra)))
-        if last:
-            break
-        carried = materialize(pending.join(found[-1].select("c"), "c", "left_anti"))
-        n_carried = carried.count()
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _grid_params(df: DataFrame, features: Sequence[str], k: int) -> tuple[float, int]:
-    """First cell side and number of levels. The first side is far below the
-    average spacing (``FINEST`` halvings of the range), so even a spot holding
-    a large share of the rows gets small cells; queries enter at their own
-    level (density probe), so fine levels cost nothing where they are not
-    needed. The last level's side exceeds the data's diagonal."""
-    st = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"r_{i}") for i, c in enumerate(features)]).first()
-    d = len(features)
-    span = max([st[f"r_{i}"] or 0.0 for i in range(d)] + [1e-9])
-    r0 = span * 2.0 ** (-FINEST)
-    levels = max(1, math.ceil(math.log(span * math.sqrt(d) / r0, GROWTH)) + 1)
-    return r0, levels
-
-
 def _neighbour_array(nb: DataFrame) -> DataFrame:
     """(c, [neighbour coords repeated by take]) — at most k entries per query."""
     rep = nb.select("c", "dist", "nc", F.explode(F.sequence(F.lit(1), F.col("take").cast("int"))).alias("_t"))
@@ -161,7 +50,9 @@ def _synthesize(rows: DataFrame, nbrs: DataFrame, features: Sequence[str], id_co
     than ``CHUNK`` synthetic points (``max_g`` unknown or large), its work is
     cut into chunks that are spread over tasks first, so one hot row never
     generates everything in one task."""
-    j = rows.withColumn("c", _coords(features)).join(nbrs, "c").where(F.col("g") > 0)
+    # a row without neighbours (the only minority point) is its own neighbour
+    j = rows.withColumn("c", _coords(features)).join(nbrs, "c", "left").where(F.col("g") > 0)
+    j = j.withColumn("nbrs", F.coalesce("nbrs", F.array("c")))
     if max_g is None or max_g > CHUNK:
         j = j.withColumn("_chunk", F.explode(F.sequence(F.lit(0), ((F.col("g") - 1) / CHUNK).cast("int"))))
         j = j.repartition(F.col(id_col), F.col("_chunk"))
@@ -185,8 +76,6 @@ class Oversampler:
 
     def __init__(self, df: DataFrame, features: Sequence[str], label: str = "label", id_col: str = "event_key",
                  k: int = 5, minority: int = 1, weight: str | None = "weight", seed: int = 42):
-        if len(features) > MAX_DIM:
-            raise ValueError(f"grid kNN supports at most {MAX_DIM} features")
         self.df, self.features, self.label, self.id_col = df, list(features), label, id_col
         self.k, self.minority, self.weight, self.seed = k, minority, weight, seed
         self.mino = df.where(F.col(label) == minority)
@@ -203,9 +92,8 @@ class Oversampler:
 
     def minority_neighbours(self) -> DataFrame:
         if self._nb is None:
-            pts = materialize(collapse(self.mino, self.features))
-            r0, levels = _grid_params(self.mino, self.features, self.k)
-            nb = knn_groups(pts.select("c"), pts, self.k, True, r0, levels)
+            pts = collapse(self.mino, self.features)
+            nb = nearest_points(pts.select("c"), pts, self.k, True)
             self._nb = materialize(_neighbour_array(nb))
         return self._nb
 
@@ -215,13 +103,14 @@ class Oversampler:
         if self._r is None:
             all_pts = collapse(self.df, self.features, self.label)
             maj_col = "n_neg" if self.minority == 1 else "n_pos"
-            all_pts = materialize(all_pts.withColumn("maj_share", F.col(maj_col) / F.col("mult")))
-            mpts = materialize(collapse(self.mino, self.features))
-            r0, levels = _grid_params(self.df, self.features, self.k)
-            nb = knn_groups(mpts.select("c"), all_pts.select("c", "mult", "maj_share"), self.k, True, r0, levels,
-                            extra=["maj_share"])
+            mpts = collapse(self.mino, self.features).select("c")
+            nb = nearest_points(mpts, all_pts.select("c", "mult", F.col(maj_col).alias("n_maj"), F.col("mult").alias("n_all")),
+                                self.k, True, extra=["n_maj", "n_all"])
+            # on the query's own spot the query itself, a minority point, is left out
+            others = F.when(F.col("dist") == 0, F.col("n_all") - 1).otherwise(F.col("n_all"))
+            share = F.col("n_maj") / others
             self._r = materialize(nb.groupBy("c").agg(
-                (F.sum(F.col("take") * F.col("maj_share")) / F.lit(float(self.k))).alias("r")))
+                (F.sum(F.col("take") * share) / F.lit(float(self.k))).alias("r")))
         return self._r
 
     def smote(self, ratio: float = 0.5) -> DataFrame:

@@ -1,8 +1,8 @@
 """Train-fitted scaling and feature assembly.
 
 The fitted statistics are one aggregate row per group (all features in one
-pass), joined back: a one-row broadcast cross join when global, a join on the
-small per-group table otherwise. Nothing is collected to the driver.
+pass), put back as literals of the one fetched row when global (that row reaches
+the driver while the plan is built), by a join on the small stored table otherwise.
 
 F1 uses the **population** standard deviation (Spark ML's StandardScaler uses
 the sample one, so it is not used here) and maps a zero std to 1.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.small import join_checked, stored, with_scalars
+from ..session import materialize
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -30,6 +31,8 @@ def standard_scale(df: DataFrame, features: Sequence[str], fit_filter: Column |
     """(x − mean)/std_pop with statistics from the rows matching
     ``fit_filter`` (e.g. ``split = 'train'``), applied to every row; per group
     when ``group_cols`` is given (X13: one scaler per tag)."""
+    if fit_filter is not None:
+        df = materialize(df)  # the split is evaluated once, then read for the fit and for the rows
     fit = df.where(fit_filter) if fit_filter is not None else df
     stats = fit.groupBy(*group_cols).agg(
         *[F.avg(c).alias(f"_mu_{c}") for c in features],

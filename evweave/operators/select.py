@@ -148,12 +148,10 @@ def mass_parameterised(df: DataFrame, masses: Sequence[int], signal_prefix: str
     list, so no join is involved."""
     s = F.col(roles.sample)
     is_sig = s.startswith(signal_prefix)
-    sig = (df.where(is_sig).withColumn(roles.mass, mass_from_sample(s))
-           .where(F.col(roles.mass).isin(list(masses)))
-           .withColumn(roles.label, F.lit(1)))
     mass_arr = F.array(*[F.lit(int(m)) for m in masses])
-    bg = (df.where(~is_sig).withColumn(roles.mass, F.explode(mass_arr)).withColumn(roles.label, F.lit(0)))
-    return sig.unionByName(bg)
+    own = F.filter(mass_arr, lambda m: m == mass_from_sample(s))  # empty: another mass
+    d = df.withColumn(roles.label, F.when(is_sig, 1).otherwise(0))  # one pass over the input
+    return d.where(s.isNotNull()).withColumn(roles.mass, F.explode(F.when(is_sig, own).otherwise(mass_arr)))
 
 
 # --- U1, U2, U4 / J9 ------------------------------------------------------------

@@ -14,6 +14,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from ..sources.io import finished_parts, write_scores
+
 
 # --- J6 / W1: grids -----------------------------------------------------------------
 
@@ -78,9 +81,9 @@ def sorted_desc(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in by])
 
 
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """T6."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows in the order of ``by`` (all columns by default)."""
+    return df.orderBy(*(by or df.columns)).limit(n)
 
 
 def score_slice(df: DataFrame, comb, th: float, comb_col: str = "comb") -> DataFrame:
@@ -92,6 +95,7 @@ def common_top(df: DataFrame, n: int, group: str, items: Sequence[str], by: Sequ
                tiebreak: Sequence[str] = ()) -> DataFrame:
     """Items that are in the top ``n`` of EVERY group (e.g. (comb, th)
     pairs among the best n for every mass)."""
+    df = materialize(df)  # read twice: once for the groups, once for the ranks
     t = top_n_per(df, n, [group], by, tiebreak)
     n_groups = df.select(group).distinct().count()  # one number to the driver
     return (t.groupBy(*items).agg(F.countDistinct(group).alias("n_groups"))
@@ -100,37 +104,42 @@ def common_top(df: DataFrame, n: int, group: str, items: Sequence[str], by: Sequ
 
 # --- W3 / S12: resumable sweeps ---------------------------------------------------------
 
+def stored_scores(spark: SparkSession, path: str, key: str = "comb_id") -> DataFrame | None:
+    """The finished combinations of a score store: only folders with ``_SUCCESS``
+    count, so a combination whose writer died is not there. None: nothing yet."""
+    folders = finished_parts(spark, path, key)
+    if not folders:
+        return None
+    return spark.read.parquet(*folders)
+
+
 def pending_combinations(grid: DataFrame, stored: DataFrame | None, key: str = "comb_id") -> DataFrame:
     """Combinations not yet in the stored score table (left anti join)."""
     if stored is None:
         return grid
-    return grid.join(stored.select(key), key, "left_anti")
+    return grid.join(stored.select(key).distinct(), key, "left_anti")
 
 
 def run_sweep(spark: SparkSession, grid_rows: Sequence[dict], score_fn: Callable[[dict], DataFrame],
               store_path: str | None = None, key: str = "comb_id") -> DataFrame:
     """Evaluate ``score_fn(params)`` for each combination and union the
-    score rows. With ``store_path`` the table is appended per combination and
-    combinations already stored are skipped (resume after a lost driver or
-    executor)."""
-    done = set()
-    if store_path:
-        try:
-            stored = spark.read.parquet(store_path)
-            done = {r[0] for r in stored.select(key).distinct().collect()}  # ≤ #combinations ids
-        except Exception:  # noqa: BLE001 — nothing stored yet
-            done = set()
+    score rows. With ``store_path`` each combination has its own folder, written
+    with overwrite and counted as stored only with its ``_SUCCESS`` marker, so a
+    sweep resumes after a lost driver or executor without half-written scores."""
+    todo = list(grid_rows)
+    if store_path and todo:
+        grid = spark.createDataFrame([(p[key],) for p in todo], [key])
+        left = {r[key] for r in pending_combinations(grid, stored_scores(spark, store_path, key), key).collect()}
+        todo = [p for p in todo if p[key] in left]
     outs = []
-    for params in grid_rows:
-        if params[key] in done:
-            continue
+    for params in todo:
         res = score_fn(params).withColumn(key, F.lit(params[key]))
         if store_path:
-            res.write.mode("append").parquet(store_path)
+            write_scores(res, store_path, key, params[key])
         else:
             outs.append(res)
     if store_path:
-        return spark.read.parquet(store_path)
+        return stored_scores(spark, store_path, key)
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)

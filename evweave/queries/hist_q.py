@@ -78,13 +78,14 @@ def h4_data_over_background(spark, sf):
 
 @query("h5_scaled_signal_with_flow", oracle=ev_sql(
     "select sample, bin, count(*) as entries, round(sum(w), 6) as sum_w, round(sum(w * w), 6) as sum_w2 from ("
-    "select sample, weight * 50.0 as w, case when f_qty < 5.0 then 0 when f_qty > 45.0 then 31 else "
+    "select sample, weight * case when sample = 'data' then 1.0 else 50.0 end as w, case when f_qty < 5.0 then 0 when f_qty > 45.0 then 31 else "
     f"{bin_sql('f_qty', '5.0', '45.0', 30)} end as bin from ev where sample in ('sig2000', 'data')) b "
     "group by sample, bin"))
 def h5_scaled_signal(spark, sf):
-    """H5: signal weights × 50 and weighted data on fixed limits, with under/overflow bins 0 and 31."""
+    """H5: signal weights × 50, data weights as they are, on fixed limits, with under/overflow bins 0 and 31."""
     ev = event_view(spark, sf).where(F.col("sample").isin(["sig2000", "data"]))
-    h = H.histogram(ev, "f_qty", 30, by=["sample"], lo=5.0, hi=45.0, scale=50.0, keep_flow=True)
+    h = H.histogram(ev, "f_qty", 30, by=["sample"], lo=5.0, hi=45.0, 
+                    scale=H.signal_scale(["sig2000"], 50.0), keep_flow=True)
     return round_doubles(h.select("sample", "bin", "entries", "sum_w", "sum_w2"))
 
 

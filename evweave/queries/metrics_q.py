@@ -281,9 +281,9 @@ def _clip(x: str) -> str:
 @query("l12_l14_losses", oracle=ev_sql(
     "select tag, round(avg(bce), 6) as bce, round(avg(focal), 6) as focal, round(avg(logit_bce), 6) as logit_bce "
     "from (select tag, "
-    f"-(label * ln({_clip('score')}) + (1 - label) * ln(1.0 - {_clip('score')})) as bce, "
-    f"-0.25 * (label * ln({_clip('score')}) * pow(1.0 - {_clip('score')}, 2.0) + "
-    f"(1 - label) * ln(1.0 - {_clip('score')}) * pow({_clip('score')}, 2.0)) as focal, "
+    f"-(label * ln({_clip('score')} + 1e-7) + (1 - label) * ln(1.0 - {_clip('score')} + 1e-7)) as bce, "
+    f"-0.25 * (label * ln({_clip('score')} + 1e-7) * pow(1.0 - {_clip('score')}, 2.0) + "
+    f"(1 - label) * ln(1.0 - {_clip('score')} + 1e-7) * pow({_clip('score')}, 2.0)) as focal, "
     f"greatest(ln({_clip('score')} / (1.0 - {_clip('score')})), 0.0) - ln({_clip('score')} / (1.0 - {_clip('score')})) * label "
     f"+ ln(1 + exp(-abs(ln({_clip('score')} / (1.0 - {_clip('score')}))))) as logit_bce from sr) t group by tag",
     LABELLED_CTE, SR_CTE))

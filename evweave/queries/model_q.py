@@ -23,9 +23,16 @@ from ..registry import ev_sql, query
 from ..session import materialize
 from ..sources import io as IO
 from ..sources.tables import embedding_table
+from .split_q import _ranked_cte, _split_case
 from .common import FEATURES, LABELLED_CTE, SR_CTE, THRESHOLDS, labelled, labelled_sr
 
 SEED = 42
+TAGS = [0, 1, 2]
+
+#: the training rows of ``_train_test`` in SQL
+TRAIN_CTES = (LABELLED_CTE, SR_CTE, _ranked_cte("sr"),
+              f"t as (select * from (select *, {_split_case('rk', 'n', 0.6, 0.2, 0.2)} as split from r) s "
+              "where split = 'train')")
 
 
 def prepared(spark, sf):
@@ -102,7 +109,7 @@ def r6_sets(spark, sf):
 
 def _shapley(spark, sf):
     train, test, _ = _train_test(spark, sf)
-    model = MD.fit_classifier(train, FEATURES, "logistic")
+    model = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="signed")
     bg = X.hash_sample(train, 100, SEED)
     return R.sampled_shapley(model, test, bg, FEATURES, "event_key", permutations=8, seed=SEED)
 
@@ -129,10 +136,29 @@ def r9_dependence(spark, sf):
 
 @query("m1_weighted_classifier_per_tag")
 def m1_per_tag(spark, sf):
-    """M1 + M6 → E7: one weighted logistic model for all tags, evaluated per tag."""
+    """M1 + M6 → E7: one weighted logistic model per tag, each fitted on its tag's
+    training rows (signed weights) and evaluated on its tag's test rows."""
     train, test, _ = _train_test(spark, sf)
-    model = MD.fit_classifier(train, FEATURES, "logistic")
-    return M.evaluate(MD.score(model, test), 0.4, ["tag"])
+    out = None
+    for tag in TAGS:
+        model = MD.fit_classifier(train.where(F.col("tag") == tag), FEATURES, "logistic", negative_weights="signed")
+        e = M.evaluate(MD.score(model, test.where(F.col("tag") == tag)), 0.4, ["tag"])
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+@query("m1_signed_fit_rows_used", oracle=ev_sql(
+    "select tag, count(*) as n_rows, round(sum(abs(weight)), 6) as abs_weight, true as converged from t group by tag",
+    *TRAIN_CTES))
+def m1_rows_used(spark, sf):
+    """M1: rows and Σ|w| that each tag's signed fit used (all of its training rows),
+    and whether the gradient vanished at the fit."""
+    train, _, _ = _train_test(spark, sf)
+    rows = []
+    for tag in TAGS:
+        m = MD.fit_classifier(train.where(F.col("tag") == tag), FEATURES, "logistic", negative_weights="signed")
+        rows.append((tag, m.n_rows, round(m.abs_weight, 6), bool(m.gradient <= 1e-5)))
+    return spark.createDataFrame(rows, "tag int, n_rows long, abs_weight double, converged boolean")
 
 
 @query("m2_weighted_vs_unweighted")
@@ -141,7 +167,7 @@ def m2_weighting(spark, sf):
     train, test, _ = _train_test(spark, sf)
     out = None
     for name, w in (("weighted", "weight"), ("unweighted", None)):
-        m = MD.fit_classifier(train, FEATURES, "logistic", weight=w)
+        m = MD.fit_classifier(train, FEATURES, "logistic", weight=w, negative_weights="signed")
         a = M.roc_auc(MD.score(m, test)).withColumn("training", F.lit(name))
         out = a if out is None else out.unionByName(a)
     return out
@@ -154,7 +180,7 @@ def m3_gbt_grid(spark, sf):
     grid = W.grid_list({"maxDepth": [2, 3], "stepSize": [0.1, 0.3]})
     rows = None
     for i, g in enumerate(grid):
-        m = MD.fit_classifier(train, FEATURES, "gbt", maxIter=10, seed=SEED, **g)
+        m = MD.fit_classifier(train, FEATURES, "gbt", negative_weights="abs", maxIter=10, seed=SEED, **g)
         a = M.roc_auc(MD.score(m, test)).select(F.lit(i).alias("comb_id"), F.lit(g["maxDepth"]).alias("maxDepth"),
                                                 F.lit(g["stepSize"]).alias("stepSize"), "auc")
         rows = a if rows is None else rows.unionByName(a)
@@ -170,7 +196,7 @@ def m4_early(spark, sf):
     """M4: boosted trees stopping on the validation split; test evaluation."""
     _, test, p = _train_test(spark, sf)
     tv = p.where(F.col("split") != "test")
-    m = MD.fit_gbt_early_stopping(tv, FEATURES, F.col("split") == "val", maxIter=30, seed=SEED)
+    m = MD.fit_gbt_early_stopping(tv, FEATURES, F.col("split") == "val", negative_weights="abs", maxIter=30, seed=SEED)
     return M.evaluate(MD.score(m, test), 0.5)
 
 
@@ -187,7 +213,7 @@ def m5_forest_reg(spark, sf):
 def m6_score(spark, sf):
     """M1 → M6: every event of the table scored by the trained model (map-only)."""
     train, _, p = _train_test(spark, sf)
-    m = MD.fit_classifier(train, FEATURES, "logistic")
+    m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="signed")
     return MD.score(m, p).select("event_key", "split", "label", F.col("score").alias("model_score"))
 
 
@@ -197,7 +223,7 @@ def m10_class_weights(spark, sf):
     train, test, _ = _train_test(spark, sf)
     out = None
     for bw in (10.0, 15.0, 20.0):
-        m = MD.fit_classifier(train, FEATURES, "logistic", class_weights=(bw, 10.0))
+        m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="signed", class_weights=(bw, 10.0))
         f = M.f1_per_threshold(MD.score(m, test), THRESHOLDS).withColumn("bg_weight", F.lit(bw))
         out = f if out is None else out.unionByName(f)
     return out
@@ -207,7 +233,7 @@ def m10_class_weights(spark, sf):
 def m11_history(spark, sf):
     """Objective per iteration of the weighted logistic fit."""
     train, _, _ = _train_test(spark, sf)
-    return MD.training_history(MD.fit_classifier(train, FEATURES, "logistic", maxIter=50))
+    return MD.training_history(MD.fit_classifier(train, FEATURES, "logistic", negative_weights="signed", maxIter=50))
 
 
 @query("m8_pca_reconstruction_anomaly")
@@ -237,13 +263,13 @@ def m9_focal(spark, sf):
 
 @query("w1_grid_sweep_f1")
 def w1_grid(spark, sf):
-    """J6 → W1 → E15: logistic grid (regParam × elasticNet), F1 per (comb, th)."""
+    """J6 → W1 → E15: logistic grid (regParam × elasticNet) on |weight|, F1 per (comb, th)."""
     train, test, _ = _train_test(spark, sf)
     grid = [dict(comb_id=i, **g) for i, g in enumerate(W.grid_list({"regParam": [0.0, 0.01],
                                                                     "elasticNetParam": [0.0, 0.5]}))]
 
     def run(g):
-        m = MD.fit_classifier(train, FEATURES, "logistic", regParam=g["regParam"],
+        m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="abs", regParam=g["regParam"],
                               elasticNetParam=g["elasticNetParam"])
         return M.f1_per_threshold(MD.score(m, test), THRESHOLDS)
     return W.run_sweep(spark, grid, run)
@@ -251,21 +277,25 @@ def w1_grid(spark, sf):
 
 @query("w2_random_search")
 def w2_random(spark, sf):
-    """Hash-sampled trials of a larger grid, two runs each, lowest validation log-loss kept."""
+    """Hash-sampled trials of a larger grid, two runs each on different halves of
+    the training rows, lowest mean validation log-loss kept."""
     _, _, p = _train_test(spark, sf)
     train, val = p.where(F.col("split") == "train"), p.where(F.col("split") == "val")
     grid = W.param_grid(spark, {"regParam": [0.0, 0.001, 0.01, 0.1], "maxIter": [5, 20, 50]})
-    trials = X.hash_sample(grid, 3, SEED, ["comb_id"]).collect()  # 3 parameter rows
+    trials = X.hash_sample(grid, 6, SEED, ["comb_id"]).collect()  # 6 parameter rows
+    half = F.pmod(F.crc32(F.col("event_key").cast("binary")), F.lit(2))
     rows = []
     for t in trials:
         for run in (0, 1):
-            m = MD.fit_classifier(train, FEATURES, "logistic", regParam=t["regParam"], maxIter=t["maxIter"])
-            loss = MD.score(m, val, round_digits=None).agg(F.avg(L.binary_crossentropy("label", "score")).alias("loss"))
+            m = MD.fit_classifier(train.where(half == run), FEATURES, "logistic", negative_weights="signed",
+                                  regParam=t["regParam"], maxIter=t["maxIter"])
+            loss = MD.score(m, val).agg(F.avg(L.binary_crossentropy("label", "score")).alias("loss"))
             rows.append(loss.select(F.lit(t["comb_id"]).alias("comb_id"), F.lit(run).alias("run"), "loss"))
     allr = rows[0]
     for r in rows[1:]:
         allr = allr.unionByName(r)
-    return allr.agg(F.min_by("comb_id", F.struct("loss", "comb_id")).alias("best_comb"), F.min("loss").alias("loss"))
+    mean = allr.groupBy("comb_id").agg(F.avg("loss").alias("loss"))
+    return mean.agg(F.min_by("comb_id", F.struct("loss", "comb_id")).alias("best_comb"), F.min("loss").alias("loss"))
 
 
 @query("w3_resumable_sweep")
@@ -276,7 +306,7 @@ def w3_resume(spark, sf):
     grid = [dict(comb_id=i, regParam=r) for i, r in enumerate([0.0, 0.05])]
 
     def run(g):
-        m = MD.fit_classifier(train, FEATURES, "logistic", regParam=g["regParam"])
+        m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="signed", regParam=g["regParam"])
         return M.f1_per_threshold(MD.score(m, test), THRESHOLDS)
     W.run_sweep(spark, grid[:1], run, path)            # first call: comb 0 only
     return W.run_sweep(spark, grid, run, path)          # resume: comb 1 added
@@ -284,21 +314,27 @@ def w3_resume(spark, sf):
 
 # --- Z1, Z4 -------------------------------------------------------------------------
 
-def _group_profile(pdf: pd.DataFrame) -> pd.DataFrame:
+def _partial_profile(pdf: pd.DataFrame) -> pd.DataFrame:
     w, y = pdf["weight"], pdf["label"]
-    sw = w.sum()
-    wd = (y * w).sum() / sw if sw != 0 else y.mean()
+    return pd.DataFrame({"region": [pdf["region"].iloc[0]], "tag": [int(pdf["tag"].iloc[0])], "sw": [float(w.sum())],
+                         "swy": [float((y * w).sum())], "sy": [int(y.sum())], "n": [len(pdf)]})
+
+
+def _merged_profile(pdf: pd.DataFrame) -> pd.DataFrame:
+    sw, n = pdf["sw"].sum(), int(pdf["n"].sum())
+    wd = pdf["swy"].sum() / sw if sw != 0 else pdf["sy"].sum() / n
     return pd.DataFrame({"region": [pdf["region"].iloc[0]], "tag": [int(pdf["tag"].iloc[0])],
-                         "signal_w_density": [round(float(wd), 6)], "total_count": [len(pdf)]})
+                         "signal_w_density": [round(float(wd), 6)], "total_count": [n]})
 
 
 @query("z1_group_function", oracle=ev_sql(
     "select region, tag, round(case when sum(weight) != 0 then sum(label * weight) / sum(weight) else avg(label) end, 6) "
     "as signal_w_density, count(*) as total_count from lab group by region, tag", LABELLED_CTE))
 def z1_group_fn(spark, sf):
-    """A user pandas function per (region, tag) group via applyInPandas."""
+    """User pandas functions per (region, tag): partial rows per batch, then a merge."""
     d = labelled(spark, sf).select("region", "tag", "label", "weight")
-    return MD.apply_per_group(d, ["region", "tag"], _group_profile,
+    return MD.merge_per_group(d, ["region", "tag"], _partial_profile, _merged_profile,
+                              "region string, tag int, sw double, swy double, sy long, n long",
                               "region string, tag int, signal_w_density double, total_count long")
 
 
@@ -307,8 +343,8 @@ def _clip(x: str) -> str:
 
 
 @query("z4_custom_loss", oracle=ev_sql(
-    f"select tag, round(avg(-0.5 * (label * ln({_clip('score')}) * pow(1.0 - {_clip('score')}, 1.0) + "
-    f"(1 - label) * ln(1.0 - {_clip('score')}) * pow({_clip('score')}, 1.0))), 6) as loss from sr group by tag",
+    f"select tag, round(avg(-0.5 * (label * ln({_clip('score')} + 1e-7) * pow(1.0 - {_clip('score')}, 1.0) + "
+    f"(1 - label) * ln(1.0 - {_clip('score')} + 1e-7) * pow({_clip('score')}, 1.0))), 6) as loss from sr group by tag",
     LABELLED_CTE, SR_CTE))
 def z4_loss(spark, sf):
     """A user loss callable (focal, α 0.5, γ 1) averaged per tag."""

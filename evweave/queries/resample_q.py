@@ -40,7 +40,7 @@ def e18_oversampling(spark, sf):
     for name, fn in (("smote", ov.smote), ("adasyn", ov.adasyn)):
         for ratio in (0.3, 0.5):
             tr = fn(ratio)
-            m = MD.fit_classifier(tr, FEATURES, "logistic")
+            m = MD.fit_classifier(tr, FEATURES, "logistic", negative_weights="signed")
             f = M.f1_per_threshold(MD.score(m, test), THRESHOLDS).select(
                 F.lit(name).alias("method"), F.lit(ratio).alias("ratio"), "*")
             out = f if out is None else out.unionByName(f)

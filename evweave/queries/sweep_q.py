@@ -206,5 +206,5 @@ def j4_compare_mass(spark, sf):
 
 @query("t6_preview")
 def t6_preview(spark, sf):
-    """The first five rows of the score table (a preview; order unspecified)."""
+    """The first five rows of the score table in column order (a preview)."""
     return W.preview(_e15(spark, sf), 5)

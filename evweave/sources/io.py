@@ -72,6 +72,16 @@ def role_of(name_col, signal: str, data_name: str = DATA_SAMPLE):
     return (F.when(n.contains(signal), "signal").when(n == data_name, "data").otherwise("background"))
 
 
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """True for a folder with the writers' ``_SUCCESS`` marker."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def _by_folder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.hint("rebalance", *[F.col(c) for c in cols])
+
+
 # --- S4–S7: building stores -----------------------------------------------------------
 
 def signal_background_rows(df: DataFrame, signal: str, dataset: str = "dataset",
@@ -101,15 +111,18 @@ def merged_signal_dataset(df: DataFrame, signal: str, dataset: str = "dataset",
 
 def write_stores(df: DataFrame, path: str, partition_cols: Sequence[str] = ("role", "dataset"),
                  mode: str = "overwrite") -> None:
-    """S6 sink: one folder per (role, dataset)."""
-    df.write.mode(mode).partitionBy(*partition_cols).parquet(path)
+    """S6 sink: one folder per (role, dataset). Rows are rebalanced by folder first:
+    large folders are split, small ones are not scattered over all tasks' files."""
+    _by_folder(df, partition_cols).write.mode(mode).partitionBy(*partition_cols).parquet(path)
 
 
 def build_or_read(spark: SparkSession, path: str, build, force: bool = False,
                   partition_cols: Sequence[str] = ("role", "dataset")) -> DataFrame:
-    """Build the store only when absent (or forced), then read it."""
-    mode = "overwrite" if force else "ignore"
-    build().write.mode(mode).partitionBy(*partition_cols).parquet(path)
+    """Build the store only when absent (or forced), then read it. A store
+    counts as present only with its ``_SUCCESS`` marker: one whose writer died
+    is built again."""
+    if force or not is_finished(spark, path):
+        write_stores(build(), path, partition_cols)
     return spark.read.parquet(path)
 
 
@@ -123,7 +136,8 @@ def route(df: DataFrame, region: str, tag: int, signal: str, roles: Roles = DEFA
 
 def write_routes(df: DataFrame, path: str, roles: Roles = DEFAULT_ROLES) -> None:
     """S8 sink: partitioned by region, tag and route."""
-    df.write.mode("overwrite").partitionBy(roles.region, roles.tag, "route").parquet(path)
+    parts = [roles.region, roles.tag, "route"]
+    _by_folder(df, parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
 # --- S9–S13: result sinks ---------------------------------------------------------------
@@ -132,7 +146,7 @@ def write_split_ids(split_df: DataFrame, path: str, id_col: str = "event_key",
                     roles: Roles = DEFAULT_ROLES) -> None:
     """Event ids per split (and mass when present)."""
     parts = [roles.split] + ([roles.mass] if roles.mass in split_df.columns else [])
-    split_df.select(id_col, *parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
+    _by_folder(split_df.select(id_col, *parts), parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
 def write_yields(yields: DataFrame, path: str, roles: Roles = DEFAULT_ROLES) -> None:
@@ -173,9 +187,19 @@ def read_evaluation_json(spark: SparkSession, path: str, keys: Sequence[T.Struct
     return u.unionByName(w).select(*k, "weighted", "class", "m.*")
 
 
-def write_scores(scores: DataFrame, path: str, mode: str = "append") -> None:
-    """Sweep score table (appended per combination for resumable sweeps)."""
-    scores.write.mode(mode).parquet(path)
+def write_scores(scores: DataFrame, path: str, key: str, value) -> None:
+    """The scores of one combination, in a folder of their own."""
+    scores.write.mode("overwrite").parquet(f"{path.rstrip('/')}/part-{key}={value}")
+
+
+def finished_parts(spark: SparkSession, path: str, key: str) -> list[str]:
+    """The folders of a score store whose writes were committed."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found = [str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().startswith(f"part-{key}=")]
+    return sorted(f for f in found if is_finished(spark, f))
 
 
 def save_model(model, history: DataFrame | None, path: str) -> None:

@@ -71,3 +71,26 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     got = ensure_checkpoint_dir(spark)
     assert configured.replace("file:", "").rstrip("/") in got.replace("file:", "")
     assert scratch_path(spark, "x").startswith(got.rstrip("/"))
+
+
+def test_half_written_stores_are_not_read(spark, tmp_path):
+    from evweave.operators import sweep as W
+    from evweave.sources import io as IO
+    ev = spark.range(6).selectExpr("id", "cast(id % 2 as string) as role", "'d' as dataset")
+    path = str(tmp_path / "store")
+    (tmp_path / "store" / "_temporary").mkdir(parents=True)
+    assert IO.build_or_read(spark, path, lambda: ev).count() == 6
+    (tmp_path / "store" / "_SUCCESS").unlink()
+    assert IO.build_or_read(spark, path, lambda: ev.limit(3)).count() == 3
+    calls = []
+
+    def run(p):
+        calls.append(p["comb_id"])
+        return spark.range(2).withColumnRenamed("id", "th")
+
+    sw = str(tmp_path / "sweep")
+    grid = [{"comb_id": i} for i in range(3)]
+    assert W.run_sweep(spark, grid[:2], run, sw).count() == 4
+    (tmp_path / "sweep" / "part-comb_id=0" / "_SUCCESS").unlink()
+    assert W.run_sweep(spark, grid, run, sw).count() == 6
+    assert calls == [0, 1, 0, 2]

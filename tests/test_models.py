@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evweave.operators import dense as D
 from evweave.operators import models as MD
+from evweave.operators.neighbours import nearest_points
 from evweave.operators import rank as R
 from evweave.operators import resample as RS
 from evweave.operators import split as X
@@ -34,7 +35,7 @@ def test_negative_weight_policies(spark, data):
 
 def test_score_in_unit_interval(spark, data):
     train, test = data
-    m = MD.fit_classifier(train, FEATURES, "logistic")
+    m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="signed")
     s = MD.score(m, test)
     r = s.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     assert 0.0 <= r["lo"] <= r["hi"] <= 1.0 and r["n"] == test.count()
@@ -44,7 +45,7 @@ def test_score_in_unit_interval(spark, data):
 
 def test_shapley_additivity(spark, data):
     train, test = data
-    m = MD.fit_classifier(train, FEATURES, "logistic")
+    m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="signed")
     bg = X.hash_sample(train, 20, 1)
     rows = test.limit(30)
     att = R.sampled_shapley(m, rows, bg, FEATURES, "event_key", permutations=4, seed=3)
@@ -69,8 +70,7 @@ def test_knn_exact_against_brute_force(spark, data):
     train, _ = data
     mino = train.where(F.col("label") == 1)
     pts = RS.collapse(mino, FEATURES)
-    r0, levels = RS._grid_params(mino, FEATURES, 3)
-    nb = RS.knn_groups(pts.select("c"), pts, 3, True, r0, levels)
+    nb = nearest_points(pts.select("c"), pts, 3, True)
     got = {}
     for r in nb.collect():
         got.setdefault(tuple(r["c"]), []).extend([r["dist"]] * int(r["take"]))
@@ -146,7 +146,7 @@ def test_model_save_load_round_trip(spark, data):
 
     from evweave.sources import io as IO
     train, test = data
-    m = MD.fit_classifier(train, FEATURES, "logistic")
+    m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="abs")
     path = IO.new_store(spark, "t-model")
     IO.save_model(m, MD.training_history(m), path)
     m2, hist = IO.load_model(spark, path, PipelineModel)
@@ -174,8 +174,7 @@ def test_knn_exact_with_a_dense_spot(spark, data):
     squeezed = mino.select(*[F.when(hot, F.lit(0.5) + F.col(c) * 1e-4).otherwise(F.col(c)).alias(c)
                              for c in FEATURES])
     pts = RS.collapse(squeezed, FEATURES)
-    r0, levels = RS._grid_params(squeezed, FEATURES, 4)
-    nb = RS.knn_groups(pts.select("c"), pts, 4, True, r0, levels)
+    nb = nearest_points(pts.select("c"), pts, 4, True)
     got = {}
     for r in nb.collect():
         got.setdefault(tuple(r["c"]), []).extend([r["dist"]] * int(r["take"]))
@@ -187,3 +186,93 @@ def test_knn_exact_with_a_dense_spot(spark, data):
             d = math.dist(c, o)
             ds += [d] * (m - 1 if o == c else m)
         assert sorted(got[c]) == pytest.approx(sorted(ds)[:4], abs=1e-12)
+
+
+def brute_neighbours(points, k):
+    out = {}
+    for c in points:
+        near = sorted((math.dist(c, o), o) for o in points for _ in range(points[o] - (o == c)))
+        out[c] = [d for d, _ in near[:k]]
+    return out
+
+
+def test_knn_with_fourteen_features_and_lone_points(spark, monkeypatch):
+    import random
+
+    from evweave.operators import neighbours
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 50)
+    rng = random.Random(3)
+    spot = [tuple(rng.gauss(0, 1e-3) for _ in range(14)) for _ in range(300)]
+    lone = [tuple(rng.gauss(0, 50) for _ in range(14)) for _ in range(12)]
+    points = {c: 1 for c in spot + lone}
+    points[spot[0]] = 400  # one point many times
+    points[lone[0]] = 2
+    ref = spark.createDataFrame([(list(c), m) for c, m in points.items()], "c array<double>, mult long")
+    got = {}
+    for r in nearest_points(ref.select("c"), ref, 5, True).collect():
+        got.setdefault(tuple(r["c"]), []).extend([r["dist"]] * r["take"])
+    want = brute_neighbours(points, 5)
+    assert set(got) == set(want)
+    assert all(sorted(got[c]) == pytest.approx(want[c], abs=1e-9) for c in want)
+    assert nearest_points(ref.select("c").limit(0), ref, 5, True).count() == 0
+
+
+def test_adasyn_share_on_a_shared_spot(spark):
+    rows = [(str(i), 1 if i == 0 else 0, 1.0, 0.0) for i in range(4)]  # one minority, three majority points
+    rows += [(str(10 + i), 0, 1.0, 100.0 + i) for i in range(5)] + [("20", 1, 1.0, 200.0)]
+    df = spark.createDataFrame(rows, "event_key string, label int, weight double, x double")
+    share = {r["c"][0]: r["r"] for r in RS.Oversampler(df, ["x"], k=3).majority_share().collect()}
+    assert share[0.0] == pytest.approx(1.0) and share[200.0] == pytest.approx(1.0)
+
+
+def test_smote_of_fourteen_features_keeps_its_total(spark):
+    import random
+    rng = random.Random(1)
+    feats = [f"x{i}" for i in range(14)]
+    rows = [(str(i), int(i < 15), 1.0 if i % 2 else -0.5, *[rng.gauss(0, 1) for _ in feats]) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_key string, label int, weight double, " + ", ".join(f"{f} double" for f in feats))
+    ov = RS.Oversampler(df, feats, k=5)
+    for out in (ov.smote(0.5), ov.adasyn(0.5)):
+        n = out.where("synthetic").count()
+        assert abs(n - ov.n_synthetic(0.5)) <= 15
+    one = df.where("label = 0 or event_key = '3'")  # a class of one row
+    assert RS.Oversampler(one, feats, k=5).smote(0.5).where("synthetic").count() == int(0.5 * 105 - 1)
+
+
+def test_signed_weights_are_all_used(spark, data):
+    train, test = data
+    m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="signed")
+    r = train.agg(F.count("*").alias("n"), F.sum(F.abs("weight")).alias("w")).first()
+    assert m.n_rows == r["n"] and m.abs_weight == pytest.approx(r["w"])
+    assert m.gradient <= 1e-5
+    assert MD.training_history(m).count() >= 2
+    with pytest.raises(ValueError):
+        MD.fit_classifier(train, FEATURES, "logistic")  # a weighted fit must name its policy
+    pos = train.withColumn("weight", F.abs("weight"))
+    a = MD.fit_classifier(pos, FEATURES, "logistic", negative_weights="signed")
+    b = MD.fit_classifier(pos, FEATURES, "logistic", negative_weights="abs", tol=1e-10, maxIter=200)
+    assert a.coefs[1:] == pytest.approx(list(b.stages[-1].coefficients.toArray()), rel=1e-3, abs=1e-4)
+
+
+def test_losses_at_saturated_scores(spark):
+    from evweave.functions import labels as L
+    d = spark.createDataFrame([(1, 0.0), (0, 1.0)], "y int, p double")
+    r = d.select(L.binary_crossentropy("y", "p").alias("b"), L.focal_loss("y", "p").alias("f")).collect()
+    e = 1e-7
+    assert r[0]["b"] == pytest.approx(-math.log(2 * e)) and r[1]["b"] == pytest.approx(-math.log(1 - (1 - e) + e))
+    assert r[0]["f"] == pytest.approx(-0.25 * math.log(2 * e) * (1 - e) ** 2)
+
+
+def test_dense_forms_agree_on_nulls_and_large_inputs(spark, monkeypatch):
+    d = spark.createDataFrame([(None, 1.0), (800.0, 1.0), (-800.0, 2.0), (float("nan"), 0.0)], "a double, b double")
+    for act in D.ACTIVATIONS:
+        layers = [([[1.0, -1.0], [0.5, 2.0]], [0.0, 1.0], act), ([[0.25], [0.5]], [0.1], "softplus")]
+        got = []
+        for limit in (4096, 0):
+            monkeypatch.setattr(D, "UNROLL_LIMIT", limit)
+            got.append([r["s"] for r in D.dense_score(d, ["a", "b"], layers, "s").collect()])
+        assert got[0][0] is None and got[0][3] is None
+        assert [x is None for x in got[0]] == [x is None for x in got[1]]
+        assert [x for x in got[0] if x is not None] == pytest.approx([x for x in got[1] if x is not None])
+        assert all(math.isfinite(x) for x in got[0] if x is not None)
