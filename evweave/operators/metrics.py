@@ -151,9 +151,10 @@ def threshold_cells(df: DataFrame, thresholds: Sequence[float], keys: Sequence[s
     The data is aggregated to (keys, k, label) before anything else, so the
     shuffle carries at most (#slices × (#thresholds+1) × 2) rows per task."""
     ths = sorted(float(t) for t in set(thresholds))
-    arr = F.array(*[F.lit(t) for t in ths])
     s = F.col(score)
-    k = F.aggregate(arr, F.lit(0), lambda acc, t: acc + F.when((t <= s) if inclusive else (t < s), 1).otherwise(0))
+    k = F.lit(0)  # a sum of conditions stays in generated code; an array aggregate would not
+    for t in ths:
+        k = k + F.when((F.lit(t) <= s) if inclusive else (F.lit(t) < s), 1).otherwise(0)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     small = df.groupBy(*keys, k.alias("_k"), F.col(label).alias("_y")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(w).alias("_w"))
@@ -202,6 +203,9 @@ def split_metrics(df: DataFrame, th: float = 0.5, score: str = "score", label: s
 
 # --- E9–E13: curves -----------------------------------------------------------------
 
+SCORES_PER_BUCKET = 100_000
+MAX_BUCKETS = 2048
+
 def score_totals(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
                  weight: str | None = "weight") -> DataFrame:
     """Per (keys, distinct score): positive and negative weight."""
@@ -213,11 +217,16 @@ def score_totals(df: DataFrame, keys: Sequence[str] = (), score: str = "score",
 
 
 def curve_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-                 weight: str | None = "weight", n_buckets: int = 64) -> DataFrame:
+                 weight: str | None = "weight", n_buckets: int | None = None) -> DataFrame:
     """Running positives/negatives at every distinct score, highest first:
-    columns keys, threshold, pos_w, neg_w, tps, fps, tps_total, fps_total."""
-    # the distinct-score table is small; stored once so the source is read once
+    columns keys, threshold, pos_w, neg_w, tps, fps, tps_total, fps_total.
+
+    Scores are cut into quantile buckets, one sorting task each: their number
+    follows the counted distinct scores (``SCORES_PER_BUCKET`` each) unless given."""
+    # the distinct-score table is stored once so the source is read once
     st = stored(score_totals(df, keys, score, label, weight))
+    if n_buckets is None:
+        n_buckets = int(min(MAX_BUCKETS, max(64, -(-st.count() // SCORES_PER_BUCKET))))
     b = quantile_buckets(st, "threshold", n_buckets, "_sb", keys)
     return running_sums(b, keys, "_sb", [F.col("threshold").desc()],
                         {"tps": "pos_w", "fps": "neg_w"}, descending=True, group_totals=True).drop("_sb")

@@ -8,6 +8,7 @@ invariants in ``tests/``; R1/R5/Z1/Z4 have SQL oracles.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -217,6 +218,19 @@ def m6_score(spark, sf):
     return MD.score(m, p).select("event_key", "split", "label", F.col("score").alias("model_score"))
 
 
+@query("s13_model_reload", oracle=ev_sql(
+    "select count(*) as n_rows, cast(0 as bigint) as n_differ from sr", LABELLED_CTE, SR_CTE))
+def s13_reload(spark, sf):
+    """A fitted pipeline written and read back gives the same score for every row."""
+    train, _, p = _train_test(spark, sf)
+    m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="abs")
+    path = IO.new_store(spark, "model")
+    IO.save_model(m, MD.training_history(m), path)
+    back, _ = IO.load_model(spark, path, PipelineModel)
+    d = MD.score(back, MD.score(m, p, "first"), "second")
+    return d.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("first").eqNullSafe(F.col("second"))).alias("n_differ"))
+
+
 @query("m10_e17_class_weight_sweep")
 def m10_class_weights(spark, sf):
     """M10 → E17: F1 per (background class weight, threshold)."""

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import resample as RS
-from ..registry import query
+from ..registry import ev_sql, query
+from ..session import materialize
 from .common import FEATURES, THRESHOLDS
-from .model_q import _train_test
+from .model_q import TRAIN_CTES, _train_test
 
 
 def _summary(df):
-    return df.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    return df.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("w"))
 
 
-@query("x9_x11_smote")
+@query("x9_x11_smote", oracle=ev_sql(
+    "select label, false as synthetic, count(*) as n, round(sum(weight), 6) as w from t group by label union all "
+    "select 1, true, n_syn, round(n_syn * mean_w, 6) from (select cast(floor(0.5 * sum(1 - label) - sum(label)) as bigint) "
+    "as n_syn, avg(weight) as mean_w from t) c where n_syn > 0", *TRAIN_CTES))
 def x9_smote(spark, sf):
     """X9 + X11: SMOTE on the scaled training rows up to signal/background = 0.5;
     synthetic rows weighted by the mean training weight. Counts per class."""
@@ -39,7 +43,7 @@ def e18_oversampling(spark, sf):
     ov = RS.Oversampler(train, FEATURES, k=5, minority=1)   # neighbours found once
     for name, fn in (("smote", ov.smote), ("adasyn", ov.adasyn)):
         for ratio in (0.3, 0.5):
-            tr = fn(ratio)
+            tr = materialize(fn(ratio))  # the fit reads it once per step
             m = MD.fit_classifier(tr, FEATURES, "logistic", negative_weights="signed")
             f = M.f1_per_threshold(MD.score(m, test), THRESHOLDS).select(
                 F.lit(name).alias("method"), F.lit(ratio).alias("ratio"), "*")

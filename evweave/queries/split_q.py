@@ -217,7 +217,7 @@ def _f4_sql():
     st, cols, join = _scaled_sql("s", feats, "split = 'train'")
     return ev_sql(f"select event_key, label, split, {cols} from s {join}", LABELLED_CTE, _MP_CTE,
                   _ranked_cte("mp", "mass", "event_key, cast(mass as varchar)"),
-                  f"s as (select event_key, label, {', '.join(FEATURES)}, mass, "
+                  f"s as materialized (select event_key, label, {', '.join(FEATURES)}, mass, "
                   f"{_split_case('rk', 'n', 0.6, 0.2, 0.2)} as split from r)", st)
 
 

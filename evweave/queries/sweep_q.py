@@ -18,6 +18,7 @@ from ..operators import scale as S
 from ..operators import sweep as W
 from ..operators.select import mass_parameterised
 from ..registry import ev_sql, query
+from ..sources import io as IO
 from .common import FEATURES, LABELLED_CTE, MASSES, SR_CTE, THRESHOLDS, labelled_sr
 from .metrics_q import _f1_sql
 
@@ -204,7 +205,24 @@ def j4_compare_mass(spark, sf):
     return W.compare_reports(ev, COMBS, keys=("mass", "weighted", "class", "metric"))
 
 
-@query("t6_preview")
+@query("t6_preview", oracle=ev_sql(f"select * from ({_f1_sql('comb, th')}) e order by comb, th limit 5", *_E15_CTES))
 def t6_preview(spark, sf):
-    """The first five rows of the score table in column order (a preview)."""
-    return W.preview(_e15(spark, sf), 5)
+    """The first five rows of the score table by combination and threshold (a preview)."""
+    return W.preview(round_doubles(_e15(spark, sf)), 5, ["comb", "th"])
+
+
+@query("s12_w3_stored_network_sweep", oracle=ev_sql(
+    f"select comb as comb_id, e.* exclude (comb) from ({_f1_sql('comb, th')}) e", *_E15_CTES))
+def s12_stored_sweep(spark, sf):
+    """S12 + W3: scores of the stored networks, one folder per combination; the first
+    call dies after writing half of the grid, the second one adds what is missing."""
+    path = IO.new_store(spark, "networks")
+    d = S.minmax_scale(labelled_sr(spark, sf).select("label", "weight", *FEATURES), FEATURES)
+    grid = [{"comb_id": c} for c in COMBS]
+
+    def run(g):
+        net = D.rule_network(len(FEATURES), HIDDEN, g["comb_id"])
+        return M.f1_per_threshold(D.dense_score(d, FEATURES, net), THRESHOLDS)
+
+    W.run_sweep(spark, grid[:2], run, path)
+    return round_doubles(W.run_sweep(spark, grid, run, path))
