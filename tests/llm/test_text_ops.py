@@ -470,6 +470,21 @@ def test_secret_spans(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secret_sql_says_the_same():
+    import duckdb
+
+    from evweave.llm.queries import ORACLES
+    texts = secret_texts()
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    r = con.execute(ORACLES["op10_secret_scan"])
+    cols = [c[0] for c in r.description]
+    for row in r.fetchall():
+        row = dict(zip(cols, row))
+        assert row["spans"] == text_of(brute_spans(texts[row["doc_id"]])[1])
+
+
 def test_secrets_run_without_python(spark):
     plan = secrets.scan_secrets(docs_of(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
