@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def stored(small: DataFrame) -> DataFrame:
@@ -49,13 +50,18 @@ def with_scalars(df: DataFrame, one_row: DataFrame, cols: Sequence[str] | None =
     return df.withColumns({c: one.select(c).scalar() for c in cols})
 
 
+def _bytes(df: DataFrame) -> int:
+    """The planner's size of a table: the bytes of its files when it is stored."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: Sequence[str] | None, how: str = "inner",
                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``small`` (already stored) onto ``big``: broadcast when its counted
-    size is at most ``max_rows``, a shuffle join otherwise. ``on=None`` means
+    """Join ``small`` (already stored) onto ``big``: broadcast when it has at most
+    ``max_rows`` rows and ``BROADCAST_MAX_BYTES`` stored bytes, a shuffle join otherwise. ``on=None`` means
     a one-row table, attached as scalar subqueries."""
     if on is None:
         return with_scalars(big, small)
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
+    small_enough = small.count() <= max_rows and _bytes(small) <= BROADCAST_MAX_BYTES
+    side = F.broadcast(small) if small_enough else small
     return big.join(side, list(on), how)
