@@ -28,7 +28,7 @@ from . import textops
 
 BLOCK_BYTES = 16 << 20   # text of a block of documents
 BUCKET_BYTES = 64 << 20  # input text per bucket of the word table
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 16
 CACHE_BITS = 19          # slots of a task's word cache
 CACHE_IDS = 1 << 22      # ids the cache keeps before it starts anew
 

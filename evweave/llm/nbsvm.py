@@ -199,7 +199,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
                 text_col: str = "text", max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most ``max_train`` labelled rows of the learning fold, by hash of
     the id. Labels other than 0 and 1, null labels and null ids are ignored; an id
-    with several labels counts with the smallest. Without rows of both classes
+    with several labels counts with the smallest; of rows repeating an id one is
+    used. Without rows of both classes
     every score is the smoothed share of label 1 (one half without any)."""
     lab = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & learning_fold(id_col)).groupBy(
         F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
@@ -217,13 +218,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     def train(t: pa.Table) -> pa.Table:
         import zstandard
         grow = zstandard.ZstdDecompressor().decompress
-        t = t.sort_by([("id", "ascending"), ("idx", "ascending")]).slice(0, 2 * max_train)  # repeats of an id are rows too
+        t = t.sort_by("id")
         x = [np.frombuffer(grow(b), np.int32) if len(b) else np.zeros(0, np.int32) for b in t.column("idx").to_pylist()]
         w, bias, slope, shift = fit_rows(x, np.where(t.column("y").to_numpy() > 0, 1.0, -1.0))
         return pa.table({"weight": pa.array([w.astype(np.float64).tobytes()], pa.binary()), "bias": [bias],
                          "slope": [slope], "shift": [shift]})
 
-    sample = rows.select("id", "text", "y").mapInArrow(extract, "id string, y int, idx binary").withColumn("all", F.lit(0))
+    sample = rows.select("id", "text", "y").mapInArrow(extract, "id string, y int, idx binary").groupBy("id").agg(
+        F.min("y").alias("y"), F.min("idx").alias("idx")).withColumn("all", F.lit(0))  # at most max_train rows
     got = sample.groupBy("all").applyInArrow(
         train, "weight binary, bias double, slope double, shift double").collect()
     if not got:

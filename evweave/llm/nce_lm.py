@@ -44,6 +44,7 @@ NOISE = 64    # noise words of a batch; each meets all of its contexts, so batch
 BATCH = 1024
 ROUNDS = 2
 RATE = 0.1
+FAN = 64       # models averaged by one task
 SEED = 11
 
 
@@ -289,21 +290,29 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> dict[str, np.
             if seen:
                 flat = np.concatenate([tr.p[k].ravel() for k in NAMES])
                 cut = [flat[a:a + block] for a in range(0, total, block)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([float(seen)] * len(cut)),
-                                                  pa.array([x.tobytes() for x in cut], pa.binary())],
-                                                 names=["block", "n", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(cut)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(cut), pa.int32()),
+                     pa.array([float(seen)] * len(cut)), pa.array([x.tobytes() for x in cut], pa.binary())],
+                    names=["block", "grp", "n", "x"])
 
         def average(t: pa.Table) -> pa.Table:
             n = t.column("n").to_numpy()
             acc = 0.0
             for w, x in zip(n, t.column("x")):
                 acc = acc + w * np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-            return pa.table({"block": t.column("block").slice(0, 1),
+            return pa.table({"block": t.column("block").slice(0, 1), "grp": t.column("grp").slice(0, 1), "n": [float(n.sum())],
                              "x": pa.array([(acc / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
         part = texts.where(F.pmod("part", F.lit(rounds)) == turn).select("text")
-        got = part.mapInArrow(run, "block int, n double, x binary").groupBy("block").applyInArrow(
-            average, "block int, x binary").collect()
+        schema = "block int, grp int, n double, x binary"
+        level, groups = part.mapInArrow(run, schema), part.rdd.getNumPartitions()
+        while True:  # a tree: no task averages more than FAN parts
+            groups = -(-groups // FAN)
+            level = level.withColumn("grp", F.floor(F.col("grp") / FAN).cast("int")).groupBy("block", "grp").applyInArrow(
+                average, schema)
+            if groups <= 1:
+                break
+        got = level.collect()
         if got:
             flat = np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(got, key=lambda r: r["block"])])
             at, params = 0, {}
