@@ -52,7 +52,7 @@ def with_scalars(df: DataFrame, one_row: DataFrame, cols: Sequence[str] | None =
 
 def _bytes(df: DataFrame) -> int:
     """The planner's size of a table: the bytes of its files when it is stored."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: Sequence[str] | None, how: str = "inner",
