@@ -115,7 +115,7 @@ def _shapley(spark, sf):
     return R.sampled_shapley(model, test, bg, FEATURES, "event_key", permutations=8, seed=SEED)
 
 
-@query("r7_sampled_shapley")
+@query("r7_sampled_shapley", headline=True)
 def r7_shapley(spark, sf):
     """X12 → M1 → R7: sampled Shapley attributions of every test row."""
     return _shapley(spark, sf)

@@ -17,7 +17,7 @@ def _summary(df):
     return df.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("w"))
 
 
-@query("x9_x11_smote", oracle=ev_sql(
+@query("x9_x11_smote", headline=True, oracle=ev_sql(
     "select label, false as synthetic, count(*) as n, round(sum(weight), 6) as w from t group by label union all "
     "select 1, true, n_syn, round(n_syn * mean_w, 6) from (select cast(floor(0.5 * sum(1 - label) - sum(label)) as bigint) "
     "as n_syn, avg(weight) as mean_w from t) c where n_syn > 0", *TRAIN_CTES))

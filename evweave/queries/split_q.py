@@ -221,7 +221,7 @@ def _f4_sql():
                   f"{_split_case('rk', 'n', 0.6, 0.2, 0.2)} as split from r)", st)
 
 
-@query("f4_mass_parameterised_scaled", oracle=_f4_sql())
+@query("f4_mass_parameterised_scaled", headline=True, oracle=_f4_sql())
 def f4_parameterised(spark, sf):
     """J1 → X4 → F4: mass appended as a model input and standardised with the features."""
     feats = S.parameterised_features(FEATURES, with_mass=True)

@@ -101,7 +101,7 @@ def _e16(spark, sf):
     return M.f1_per_threshold_levels(comb_scores(spark, sf, with_mass=True), THRESHOLDS, "comb", "mass")
 
 
-@query("e16_f1_per_comb_mass_threshold", oracle=ev_sql(_e16_sql()[0], *_e16_sql()[1]))
+@query("e16_f1_per_comb_mass_threshold", headline=True, oracle=ev_sql(_e16_sql()[0], *_e16_sql()[1]))
 def e16_f1_per_mass(spark, sf):
     """J1 → E16: F1 per (comb, mass, th) and per (comb, all masses, th)."""
     return round_doubles(_e16(spark, sf))
