@@ -464,9 +464,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         got = {"id": docs_t.column("id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
         return pa.table({**got, "decoded": pa.array(texts, pa.string())} if decode else got)
 
-    words = src.mapInArrow(ask, "block binary, bucket int, words binary")
+    words = src.mapInArrow(textops.returning_memory(ask), "block binary, bucket int, words binary")
     coded = words.groupBy("bucket").applyInArrow(answer, "block binary, bucket int, sizes binary, ids binary")
-    bodies = src.mapInArrow(body, T.StructType([T.StructField("block", T.BinaryType()), T.StructField("id", id_type),
+    bodies = src.mapInArrow(textops.returning_memory(body), T.StructType([T.StructField("block", T.BinaryType()), T.StructField("id", id_type),
                                                 T.StructField("body", T.BinaryType())]))
     return bodies.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(place, out_schema).withColumnRenamed("id", id_col)
 
@@ -490,4 +490,4 @@ def decode_ids(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str =
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in names],
                                               pa.array(out, pa.string())], schema=None, names=[*names, out_col])
 
-    return coded.select(*names).mapInArrow(run, schema)
+    return coded.select(*names).mapInArrow(textops.returning_memory(run), schema)

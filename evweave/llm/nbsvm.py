@@ -224,7 +224,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
         return pa.table({"weight": pa.array([w.astype(np.float64).tobytes()], pa.binary()), "bias": [bias],
                          "slope": [slope], "shift": [shift]})
 
-    sample = rows.select("id", "text", "y").mapInArrow(extract, "id string, y int, idx binary").groupBy("id").agg(
+    sample = rows.select("id", "text", "y").mapInArrow(textops.returning_memory(extract), "id string, y int, idx binary").groupBy("id").agg(
         F.min("y").alias("y"), F.min("idx").alias("idx")).withColumn("all", F.lit(0))  # at most max_train rows
     got = sample.groupBy("all").applyInArrow(
         train, "weight binary, bias double, slope double, shift double").collect()
@@ -255,7 +255,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                       F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()),
                            T.StructField("score", T.DoubleType())])
-    return src.mapInArrow(run, schema).select(F.col("id").alias(id_col), "held_out", "score",
+    return src.mapInArrow(textops.returning_memory(run), schema).select(F.col("id").alias(id_col), "held_out", "score",
                                               (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -268,4 +268,4 @@ def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", threshol
         for b in batches:
             yield b.filter(pa.array(_scores(model, feats, b.column(at).cast(pa.string())) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textops.returning_memory(run), docs.schema)

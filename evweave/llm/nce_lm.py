@@ -110,7 +110,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield send(flush())
 
-    return texts.mapInArrow(run, "h long, cls int, c long").groupBy("h").agg(
+    return texts.mapInArrow(textops.returning_memory(run), "h long, cls int, c long").groupBy("h").agg(
         F.max("cls").alias("cls"), F.sum("c").alias("c"))
 
 
@@ -305,7 +305,7 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> dict[str, np.
 
         part = texts.where(F.pmod("part", F.lit(rounds)) == turn).select("text")
         schema = "block int, grp int, n double, x binary"
-        level, groups = part.mapInArrow(run, schema), part.rdd.getNumPartitions()
+        level, groups = part.mapInArrow(textops.returning_memory(run), schema), part.rdd.getNumPartitions()
         while True:  # a tree: no task averages more than FAN parts
             groups = -(-groups // FAN)
             level = level.withColumn("grp", F.floor(F.col("grp") / FAN).cast("int")).groupBy("block", "grp").applyInArrow(
@@ -341,7 +341,7 @@ def all_normalisers(spark, params: dict[str, np.ndarray]) -> np.ndarray:
                                              names=["v", "z"])
 
     rows = spark.range(0, FAR + 2, 1, min(FAR + 2, spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "v")
-    got = {r["v"]: np.frombuffer(r["z"], np.float64) for r in rows.mapInArrow(run, "v long, z binary").collect()}
+    got = {r["v"]: np.frombuffer(r["z"], np.float64) for r in rows.mapInArrow(textops.returning_memory(run), "v long, z binary").collect()}
     return np.stack([got[v] for v in range(FAR + 2)])
 
 
@@ -447,7 +447,7 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id",
             row += n_rows
 
     long, dbl = T.LongType(), T.DoubleType()
-    first = materialize(src.mapInArrow(run, T.StructType([
+    first = materialize(src.mapInArrow(textops.returning_memory(run), T.StructType([
         T.StructField("row", long), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()),
         T.StructField("n_tokens", long), T.StructField("n_known", long), T.StructField("base", dbl), T.StructField("score", dbl),
         T.StructField("rare", T.ArrayType(long)), T.StructField("rare_n", T.ArrayType(T.IntegerType()))])))

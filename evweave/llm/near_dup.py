@@ -135,7 +135,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(bands.ravel()))],
                     names=["id", "n", "key", "bands"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textops.returning_memory(run), schema)
 
 
 def class_key(text: Column) -> Column:
@@ -168,7 +168,7 @@ def candidate_sets(docs: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in some], pa.int64()), _binary(odd_sketches(min_hashes(some, a, b))),
                         pa.array([s.tobytes() for s in some], pa.binary())], names=["key", "n", "sketch", "shingles"])
 
-    return docs.mapInArrow(run, "key binary, n long, sketch binary, shingles binary")
+    return docs.mapInArrow(textops.returning_memory(run), "key binary, n long, sketch binary, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(DEN * common >= NUM * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(t.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return one.join(two, ["a", "b"]).select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return one.join(two, ["a", "b"]).select("a", "b", "sa", "sb").mapInArrow(textops.returning_memory(run), "a binary, b binary")
 
 
 def _sketch_pairs(most: int):
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     star = star.join(sketch.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a").join(
         sketch.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
-    star = materialize(star.mapInArrow(close, "a binary, b binary"))
+    star = materialize(star.mapInArrow(textops.returning_memory(close), "a binary, b binary"))
     first = connected_components(confirm(star, sets))
 
     # pairs of one bucket across components

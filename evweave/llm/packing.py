@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..plans.small import join_checked
 from ..session import materialize
-from . import bpe
+from . import bpe, textops
 
 CAP = 1024
 END_ID = 2
@@ -220,7 +220,7 @@ def pack_documents(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END
                 yield batch(b.column(0), rows)
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = materialize(src.mapInArrow(pieces, T.StructType(
+    cut = materialize(src.mapInArrow(textops.returning_memory(pieces), T.StructType(
         fields + [T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType())])))
     counts = materialize(cut.groupBy("part", "length").count())
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -242,5 +242,5 @@ def pack_documents(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END
 
     ranked = join_checked(cut, before, ["part", "length"]).select(
         *[f.name for f in fields], (F.col("before") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(place, T.StructType(fields + [
+    return ranked.mapInArrow(textops.returning_memory(place), T.StructType(fields + [
         T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])).withColumnRenamed("id", id_col)
