@@ -63,6 +63,12 @@ ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^s
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value bound to a lambda variable: inside other lambdas
+    an expression would be evaluated again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(lengths: Column) -> Column:
     """Exclusive running sums of an int array, in two levels so that long arrays
     stay cheap (an array append copies its array)."""
@@ -71,6 +77,10 @@ def running(lengths: Column) -> Column:
         return F.aggregate(arr, state, lambda s, x: F.struct(
             F.concat(s["a"], F.array(s["t"])).alias("a"), (s["t"] + x).cast("int").alias("t")))["a"]
 
+    return _once(lengths, lambda x: _chunked(x, walk))
+
+
+def _chunked(lengths: Column, walk) -> Column:
     n = F.size(lengths)
     chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")),
                          lambda i: F.slice(lengths, i * CHUNK + 1, F.lit(CHUNK)))
@@ -109,7 +119,10 @@ def hot_range(s: Column, bits: float, window: int = WINDOW) -> Column:
     over its character counts, so S moves by two differences of f per step."""
     f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
     most = window * (math.log2(window) - bits)
-    chars = F.split(s, "")
+    return _once(F.split(s, ""), lambda chars: _walk(chars, f, most, window))
+
+
+def _walk(chars: Column, f: Column, most: float, window: int) -> Column:
 
     def count(start, size: int, c) -> Column:
         return F.size(F.filter(F.slice(chars, start, F.lit(size)), lambda y: y == c))
@@ -129,7 +142,7 @@ def hot_range(s: Column, bits: float, window: int = WINDOW) -> Column:
         return F.struct(total.alias("s"), F.when(hot & st["first"].isNull(), i).otherwise(st["first"]).alias("first"),
                         F.when(hot, i).otherwise(st["last"]).alias("last"))
 
-    last = F.length(s) - window
+    last = F.size(chars) - window
     moves = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.aggregate(moves, start, step, lambda st: F.struct(st["first"].alias("first"), st["last"].alias("last")))
 
