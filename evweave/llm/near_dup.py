@@ -213,8 +213,8 @@ def _sketch_pairs(most: int):
                 p, q = x[p], right[q]
                 if i_blk[rows[0]] == j_blk[rows[0]]:
                     p, q = p[p < q], q[p < q]
-                for m in range(0, len(p), 1 << 16):
-                    a, b = p[m:m + (1 << 16)], q[m:m + (1 << 16)]
+                for m in range(0, len(p), 1 << 12):
+                    a, b = p[m:m + (1 << 12)], q[m:m + (1 << 12)]
                     diff = np.bitwise_count(sk[a] ^ sk[b]).sum(1, dtype=np.int64)
                     a, b = a[diff <= most], b[diff <= most]
                     first = (bands[a] == bands[b]).argmax(1) == band[a]  # each pair once
