@@ -229,15 +229,16 @@ def _sketch_pairs(most: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col, n_shingles, component_id, kept, class_key``.
+    """One row per input row: ``id_col, n_shingles, component_id, kept, class_key, group_key``.
 
     Texts are near-duplicates if their shingle sets have a similarity of at least
     0.75; a component is what such links connect, its id the smallest document id
     in it. Null, empty and blank texts have no shingles and are linked with
     nothing. A row with a null id is linked with nothing and has a null component
     and ``kept``. Rows repeating an id are rows like others: the same text is the
-    same class, another text of that id is linked only by its own similarity. An
-    empty table gives no rows; other columns are ignored."""
+    same class, another text of that id is linked only by its own similarity. So
+    two components can have one smallest id; ``group_key`` (a class of the component)
+    tells them apart. An empty table gives no rows; other columns are ignored."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = materialize(signatures(src))
     usable = sig.where(F.col("key").isNotNull() & F.col("id").isNotNull())
@@ -303,10 +304,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "key", F.coalesce("root", "key").alias("root")).join(second, "root", "left").select(
         "key", F.coalesce("top", "root").alias("top"))
     smallest = classes.join(tops, "key").groupBy("top").agg(F.min("rep").alias("component"))
-    linked = tops.join(smallest, "top").select("key", "component")
-    labels = materialize(classes.join(linked, "key", "left").select("key", F.coalesce("component", "rep").alias("component")))
+    linked = tops.join(smallest, "top").select("key", "component", "top")
+    labels = materialize(classes.join(linked, "key", "left").select(
+        "key", F.coalesce("component", "rep").alias("component"), F.coalesce("top", "key").alias("top")))
     release(star, cross, rooted, open_, sets, members)
     out = sig.join(labels, "key", "left").select("id", "n", "key", F.when(
-        F.col("id").isNull(), F.lit(None)).when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+        F.col("id").isNull(), F.lit(None)).when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"),
+        F.when(F.col("id").isNotNull(), F.col("top")).alias("top"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-                      (F.col("id") == F.col("component")).alias("kept"), F.col("key").alias("class_key"))
+                      (F.col("id") == F.col("component")).alias("kept"), F.col("key").alias("class_key"),
+                      F.col("top").alias("group_key"))

@@ -183,7 +183,7 @@ from documents d left join n on n.doc_id = d.doc_id left join reach on reach.a =
 @query("op2_minhash_near_dup", _dedup_sql())
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_key")
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_key", "group_key")
 
 
 @query("op4_nbsvm_quality")

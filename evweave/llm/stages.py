@@ -32,8 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id.
 
     Rows with a null id or without words are in no group and stay. Of rows that
-    repeat the kept id with the kept text one stays; a kept id's row with a text
-    outside the group is a document of its own."""
+    repeat the kept id with texts of the group one stays (equal or near copies alike:
+    one with the smallest class); a kept id's row with a text outside the group is a
+    document of its own."""
     found = near_dup.near_duplicates(docs.select("doc_id", "text")).where(
         F.col("component_id").isNotNull() & F.col("class_key").isNotNull())
     by_id = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("any_kept")))
@@ -46,8 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return out
     # rows that repeat an id are told apart by their text's class
     key = _free(docs, "class_key")
-    kept = materialize(found.where("kept").select("doc_id", F.col("class_key").alias(key)).join(
-        more, "doc_id", "left_semi").distinct())
+    kept = materialize(found.where("kept").join(more, "doc_id", "left_semi").groupBy("doc_id", "group_key").agg(
+        F.min("class_key").alias(key)).select("doc_id", key))
     rows = join_checked(grouped, more, ["doc_id"], "left_semi").withColumn(key, near_dup.class_key(F.col("text")))
     rows = join_checked(rows, kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
     return out.unionByName(rows.select(*docs.columns))

@@ -521,6 +521,17 @@ def test_dedup_stage_keeps_one_of_each_group(spark):
     assert out.where("trim(text) = '' or text is null").count() == 3
 
 
+def test_dedup_stage_keeps_one_near_copy_of_an_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = [" ".join(base[:k] + [f"n{k}"] + base[k + 1:]) for k in (20, 40, 60, 80)]
+    other = [" ".join(f"{c}{i}" for i in range(60)) for c in "xy"]  # two more groups of the same id
+    texts = near + near[:1] + other + [other[1] + " more", other[1] + " less", near[0] + " end"]
+    out = stages.near_dedup(spark, docs_of(spark, texts, [5] * 9 + [9]), "").collect()
+    assert [r["doc_id"] for r in out] == [5, 5, 5]
+    groups = [near, [other[0]], [other[1], other[1] + " more", other[1] + " less"]]
+    assert sorted(sum(r["text"] in g for r in out) for g in groups) == [1, 1, 1]
+
+
 def test_quality_stage_keeps_clean_rows(spark, tmp_path):
     df, lab, labels = quality_fixture(spark)
     lab.write.parquet(str(tmp_path / "labels.parquet"))
