@@ -60,7 +60,7 @@ def word_classes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 def texts_words(hasher: textops.Hasher, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, bool]]:
     """``(first row, end row, word hashes, classes, first word per text, last part)``;
-    a long text comes in parts, cut at separators."""
+    a long text comes in parts, cut at separators; a part before the last has words."""
     for i, j, raw, off in textops.text_slices(col):
         if j == i + 1 and len(raw) > 2 * textops.SLICE:
             at = 0
@@ -69,7 +69,8 @@ def texts_words(hasher: textops.Hasher, col: pa.Array) -> Iterator[tuple[int, in
                 while end < len(raw) and not hasher.sep[raw[end]]:
                     end += 1
                 s, e, h, _ = hasher.words(raw[at:end], np.array([0, end - at]))
-                yield i, j, h, word_classes(raw[at:end], s, e), np.array([0, len(h)]), end == len(raw)
+                if len(h) or end == len(raw):
+                    yield i, j, h, word_classes(raw[at:end], s, e), np.array([0, len(h)]), end == len(raw)
                 at = end
         else:
             s, e, h, first = hasher.words(raw, off)

@@ -212,6 +212,21 @@ def test_language_model_base_and_gain(spark):
     assert nce_lm.score_texts(df.limit(0)).count() == 0
 
 
+def test_language_model_long_runs_of_separators(spark):
+    words = "a b c a b d".split()
+    gap = " \n" * 700_000
+    padded = [gap + " ".join(words), " ".join(words[:3]) + gap + " ".join(words[3:]), " ".join(words) + gap, gap]
+    texts = [" ".join(words)] * 20 + [""] + padded * 10
+    got = {r["doc_id"]: r for r in nce_lm.score_texts(docs_of(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    assert {r["held_out"] for i, r in got.items() if i > 20} == {True, False}
+    for i, t in enumerate(texts):  # blanks between words change nothing
+        like = got[0 if t.strip() else 20]
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (like["n_tokens"], like["n_known"]) == ((7, 7) if t.strip() else (1, 1))
+        assert got[i]["base_score"] == pytest.approx(like["base_score"])
+        assert got[i]["score"] == pytest.approx(like["score"], rel=1e-5)
+
+
 def test_model_probabilities_sum_to_one():
     lex = nce_lm.Lexicon(np.arange(1, 50, dtype=np.uint64), np.arange(1, 50), np.zeros(nce_lm.CLASSES),
                          np.zeros(nce_lm.CLASSES), 5, 100, 50)
