@@ -12,9 +12,10 @@
    sketch, then exact intersection of the full sets. The verified links give
    components.
 4. What can still join components are pairs of one bucket in different
-   components. Buckets are cut into blocks of at most ``BLOCK`` members; pairs
-   are compared by sketch inside a task in the first band they share, only the
-   few that pass leave it and are confirmed on the full sets.
+   components. Large buckets are cut into blocks of about ``BLOCK`` members, those
+   of the bucket's largest component apart from the others; blocks of others meet
+   all blocks. Pairs are compared by sketch inside a task in the first band they
+   share, only the few that pass leave it and are confirmed on the full sets.
 
 A pair at the threshold misses all bands with probability 5e-6 and the sketch
 test with 4e-6; more similar pairs far less.
@@ -228,6 +229,33 @@ def _sketch_pairs(most: int):
     return near
 
 
+def block_pairs(rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, bh, root, block, i, j, g, small``: every row of (key, bh, root) whose
+    bucket holds several roots, once per block pair (i, j), i <= j, that holds the
+    row's block. Pairs within the bucket's largest root are not needed: its blocks
+    0 .. nm - 1 meet only the blocks nm .. nm + no - 1 of all other members. A bucket
+    of one block is not parted (nm = 0). Second: the stored table of the buckets."""
+    parts = rooted.groupBy("bh", "root").agg(F.count("*").alias("c")).groupBy("bh").agg(
+        F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("roots")).where("roots > 1")
+    one = F.col("c") <= BLOCK
+    open_ = materialize(parts.select(
+        "bh", F.col("top.root").alias("main"),
+        F.when(one, 0).otherwise(F.ceil(F.col("top.c") / BLOCK)).cast("int").alias("nm"),
+        F.when(one, 1).otherwise(F.ceil((F.col("c") - F.col("top.c")) / BLOCK)).cast("int").alias("no")))
+    total = open_.agg(F.sum((F.col("nm") + F.col("no")).cast("long"))).first()[0] or 0
+    groups = int(max(16, total // 256))
+    h, inner = F.xxhash64("key"), (F.col("nm") > 0) & (F.col("root") == F.col("main"))
+    wide = join_checked(rooted, open_, ["bh"]).withColumn("block", F.when(
+        inner, F.pmod(h, F.greatest("nm", F.lit(1)))).otherwise(F.col("nm") + F.pmod(h, F.col("no"))).cast("int"))
+    meets = F.sequence(F.when(inner, F.col("nm")).otherwise(0), F.col("nm") + F.col("no") - 1)
+    wide = wide.withColumn("ij", F.explode(F.transform(meets, lambda k: F.struct(
+        F.least(k, F.col("block")).cast("int").alias("i"), F.greatest(k, F.col("block")).cast("int").alias("j")))))
+    small = F.col("nm") == 0
+    return wide.select(
+        "key", "bh", "root", "block", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"),
+        F.when(small, F.pmod("bh", F.lit(groups))).otherwise(F.xxhash64("bh", "ij.i", "ij.j")).alias("g"), small.alias("small")), open_
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id, kept, class_key, group_key``.
 
@@ -277,18 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = members.join(first.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "bh", F.coalesce("root", "key").alias("root"))
     rooted = materialize(rooted)
-    open_ = materialize(rooted.groupBy("bh").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"))
-                        .where(F.col("lo") < F.col("hi")).select("bh", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb")))
-    total = open_.agg(F.sum(F.col("nb").cast("long"))).first()[0] or 0
-    groups = int(max(16, total // 256))
-    wide = join_checked(rooted, open_, ["bh"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    # block pairs (i, j), i <= j, that hold the row's block
-    pairs_of = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(
-        F.least(k, F.col("block")).cast("int").alias("i"), F.greatest(k, F.col("block")).cast("int").alias("j")))
-    wide = wide.withColumn("ij", F.explode(pairs_of)).select(
-        "key", "bh", "root", "block", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"),
-        F.when(F.col("nb") == 1, F.pmod("bh", F.lit(groups))).otherwise(F.xxhash64("bh", "ij.i", "ij.j")).alias("g"),
-        (F.col("nb") == 1).alias("small"))
+    wide, open_ = block_pairs(rooted)
     info = reps.select("key", "bands").dropDuplicates(["key"]).join(sets.select("key", "n", "sketch"), "key")
     wide = wide.join(info, "key").withColumn("band", (F.array_position("bands", F.col("bh")) - 1).cast("int"))
     cross = materialize(wide.groupBy("small", "g").applyInArrow(_sketch_pairs(most), "a binary, b binary"))

@@ -163,6 +163,27 @@ def test_large_group_is_compared_in_blocks(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(brute_components(texts, ids), key=str)
 
 
+def test_block_pairs_leave_out_the_largest_component(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 10)
+    #             bucket: rows of each root
+    buckets = {1: [1000, 1], 2: [60, 50, 30], 3: [4, 4], 4: [200]}
+    rows = [(f"{b}_{r}_{k}".encode(), b, bytes([r])) for b, sizes in buckets.items() for r, c in enumerate(sizes) for k in range(c)]
+    got = near_dup.block_pairs(spark.createDataFrame(rows, "key binary, bh long, root binary"))[0].collect()
+    sent = collections.Counter(r["bh"] for r in got)
+    assert sent == {1: 1000 * 1 + 1 * 101, 2: 60 * 8 + 80 * 14, 3: 8}
+    at = collections.defaultdict(list)
+    for r in got:
+        at[r["bh"], r["i"], r["j"]].append(r)
+    met = collections.Counter()
+    for (b, i, j), some in at.items():
+        for x in some:
+            for y in some:
+                if (x["block"], y["block"]) == (i, j) and x["root"] != y["root"] and (i < j or x["key"] < y["key"]):
+                    met[b, *sorted([x["key"], y["key"]])] += 1
+    want = {(b, *sorted([x, y])) for x, b, r in rows for y, c, s in rows if b == c and r < s}
+    assert set(met) == want and set(met.values()) == {1}
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     a, b = near_dup._permutations(near_dup.SAMPLES, 3)
