@@ -179,20 +179,25 @@ def nearest_by_cosine(df: DataFrame, k: int = 5, every: int = 50, trees: int = T
         out = ([], [], [])
         if len(qid) and len(ids):
             qu, xu = _unit(qv), _unit(xv)
+            some = np.array([len(x) for x in ids])
+            flat, at = np.concatenate([np.array(x, np.int64) for x in ids]), np.cumsum(some) - some
+            slack = 8 * (dim + 1) * np.finfo(np.float64).eps  # two ways of summing a product
             for i in range(0, len(qid), 256):
                 s = qu[i:i + 256] @ xu.T
                 take = min(s.shape[1], 2 * k + 2)
-                near = np.argpartition(-s, take - 1, axis=1)[:, :take]
+                least = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take] - slack
                 for j in range(len(s)):
+                    near = np.flatnonzero(s[j] >= least[j])  # all that tie at the cut
                     # the exact measure, summed row by row: equal vectors give equal bits
-                    a, x = qu[i + j], xu[near[j]]
-                    exact = (a * x).sum(1)
+                    n = some[near]
+                    exact = np.repeat((qu[i + j] * xu[near]).sum(1), n)
+                    v = flat[np.repeat(at[near] - np.cumsum(n) + n, n) + np.arange(len(exact))]
                     mine = int(qid[i + j])
-                    got = sorted((-c, v) for c, p in zip(exact.tolist(), near[j]) for v in ids[p] if v != mine)[:k]
-                    for c, v in got:
-                        out[0].append(mine)
-                        out[1].append(v)
-                        out[2].append(-c)
+                    got = np.lexsort((v, -exact))
+                    got = got[v[got] != mine][:k]
+                    out[0].extend([mine] * len(got))
+                    out[1].extend(v[got].tolist())
+                    out[2].extend(exact[got].tolist())
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()),
                          "score": pa.array(out[2], pa.float64())})
 

@@ -103,3 +103,17 @@ def test_forest_small_tables(spark):
            rp_forest.nearest_by_cosine(vectors(spark, rows)).orderBy("rank").collect()]
     h = round(math.sqrt(0.5), 9)
     assert got == [(1, 1, h), (2, 2, h), (3, 3, -1.0)]
+
+
+def test_forest_ties_between_scaled_vectors(spark):
+    rng = random.Random(4)
+    one = [rng.gauss(0, 1) for _ in range(8)]
+    # equal directions, distinct vectors: all tie with the query
+    rows = [(i, [x * 2.0 ** (i - 30) for x in one]) for i in range(60)] + [(100 + i, [rng.gauss(0, 1) for _ in one]) for i in range(60)]
+    rng.shuffle(rows)
+    want = brute_cosine(rows, 5, 50)
+    got = {}
+    for r in rp_forest.nearest_by_cosine(vectors(spark, rows)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and [i for i, _ in got[50]] == [0, 1, 2, 3, 4]
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
