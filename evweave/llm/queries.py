@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, nbsvm, nce_lm, near_dup, packing, rp_forest, secrets, shards, url_rules, voronoi
+from . import (bpe, hybrid_rank, nbsvm, nce_lm, near_dup, orchard, packing, planes, rp_forest, secrets, shards, url_rules,
+               voronoi)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +198,78 @@ def op4_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nce_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model log10 probability of every document."""
     return nce_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+@query("op11_hybrid_rank", f"""
+with c as materialized (
+  select doc_id, row_number() over () as r, t, cast(len(t) as bigint) as n
+  from (select doc_id, {_TERMS} as t from documents where text is not null) where len(t) > 0),
+s as materialized (select count(*) as docs, cast(sum(n) as bigint) as terms from c),
+q as materialized (
+  select item_id, qr, term, count(*) as times
+  from (select item_id, row_number() over () as qr, unnest({_TERMS}) as term from benchmark where text is not null) group by all),
+p as materialized (select r, term, count(*) as tf from (select r, unnest(t) as term from c)
+  where term in (select term from q) group by all),
+w as materialized (
+  select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w
+  from p, s group by term, docs),
+m as (select doc_id, r, 25 + (75 * n * docs) // terms as m from c, s),
+e as (select item_id, qr, r, doc_id, cast(sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from q join p using (term) join w using (term) join m using (r) group by all),
+k as (select *, row_number() over (partition by qr order by score desc, doc_id) as rank from e where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from k where rank <= 10""")
+def op11_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents of highest lexical score for every benchmark item."""
+    return hybrid_rank.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def word_bpe() -> str:
+    """The tokenizer file of op12 (a parameter of the operator)."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op12_id_planes")
+def op12_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from files of id planes."""
+    return planes.token_file_digests(table(spark, sf_dir, "documents"), word_bpe())
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: int = 2) -> str:
+    ctes = [f"""x as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda e: cast(floor({scale} * cast(e as double)) as bigint)) as v
+  from embeddings where len(embedding) = {dim} and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0)""",
+            f"""c0 as materialized (
+  select row_number() over (order by coalesce(sha256('{seed}:' || vec_id), '~'), v) - 1 as c, v from x
+  qualify c < {k})"""]
+
+    def assigned(i: int) -> str:
+        return f"""a{i} as materialized (
+  select r, arg_min(c, [d, c]) as c, min(d) as d
+  from (select x.r, c.c, cast(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d
+        from x, c{i} c) group by r)"""
+
+    for i in range(rounds):
+        ctes.append(assigned(i))
+        # floor of a quotient of integers, whatever the sign
+        ctes.append(f"""s{i} as materialized (
+  select c, j, cast(sum(v[j]) as bigint) as s, count(*) as n
+  from (select a{i}.c, x.v, unnest(range(1, {dim + 1})) as j from x join a{i} using (r)) group by c, j)""")
+        ctes.append(f"""c{i + 1} as materialized (
+  select c{i}.c, coalesce(m.v, c{i}.v) as v from c{i} left join (
+    select c, list((s - ((s % n) + n) % n) // n order by j) as v from s{i} group by c) m using (c))""")
+    ctes.append(assigned(rounds))
+    return "with " + ",\n".join(ctes) + f"""
+select vec_id, cast(c as int) as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from a{rounds} join x using (r) join c{rounds} using (c)"""
+
+
+@query("op13_orchard_clusters", _clusters_sql())
+def op13_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centroid and squared distance of every 64-component vector after five rounds."""
+    return orchard.cluster(table(spark, sf_dir, "embeddings"))
