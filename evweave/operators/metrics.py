@@ -9,8 +9,8 @@ DataFrame aggregation:
   of thresholds below its score (a JVM-side fold over the short threshold
   array), the table is aggregated to (slice, count, label) — a few rows —
   and the cells of threshold j sum the rows whose count exceeds j;
-* ROC / PR curves aggregate to distinct scores first, then use the bucketed
-  running sum (no single-task window). The "previous point" of a curve is the
+* ROC / PR curves aggregate to distinct scores first, then use range-partitioned
+  running sums (no single-task window). The "previous point" of a curve is the
   running total minus the row's own contribution, so AUC, AP and crossing
   points are row-local — no global ``lag``.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import predict_class
-from ..plans.prefix import quantile_buckets, running_sums
+from ..plans.ranges import running_sums
 from ..plans.small import join_checked, stored, with_scalars
 from ..schema import DEFAULT_ROLES, Roles
 
@@ -203,9 +203,6 @@ def split_metrics(df: DataFrame, th: float = 0.5, score: str = "score", label: s
 
 # --- E9–E13: curves -----------------------------------------------------------------
 
-SCORES_PER_BUCKET = 100_000
-MAX_BUCKETS = 2048
-
 def score_totals(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
                  weight: str | None = "weight") -> DataFrame:
     """Per (keys, distinct score): positive and negative weight."""
@@ -217,19 +214,15 @@ def score_totals(df: DataFrame, keys: Sequence[str] = (), score: str = "score",
 
 
 def curve_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-                 weight: str | None = "weight", n_buckets: int | None = None) -> DataFrame:
+                 weight: str | None = "weight") -> DataFrame:
     """Running positives/negatives at every distinct score, highest first:
     columns keys, threshold, pos_w, neg_w, tps, fps, tps_total, fps_total.
 
-    Scores are cut into quantile buckets, one sorting task each: their number
-    follows the counted distinct scores (``SCORES_PER_BUCKET`` each) unless given."""
+    The distinct scores are range-partitioned, as many tasks as they need, so a
+    continuous score over any number of rows is summed exactly."""
     # the distinct-score table is stored once so the source is read once
     st = stored(score_totals(df, keys, score, label, weight))
-    if n_buckets is None:
-        n_buckets = int(min(MAX_BUCKETS, max(64, -(-st.count() // SCORES_PER_BUCKET))))
-    b = quantile_buckets(st, "threshold", n_buckets, "_sb", keys)
-    return running_sums(b, keys, "_sb", [F.col("threshold").desc()],
-                        {"tps": "pos_w", "fps": "neg_w"}, descending=True, group_totals=True).drop("_sb")
+    return running_sums(st, keys, [F.col("threshold").desc()], {"tps": "pos_w", "fps": "neg_w"}, group_totals=True)
 
 
 def roc_curve(df: DataFrame, keys: Sequence[str] = (), **kw) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.small import join_checked
+from ..plans.threshold import first_by_hash
 from ..session import materialize
 
 MAX_PIVOTS = 512
@@ -64,7 +65,8 @@ def nearest_points(queries: DataFrame, ref: DataFrame, k: int, exclude_self: boo
             [f for f in out_schema.fields if f.name != "mult"] + [T.StructField("take", T.LongType())]))
     d = size["d"]
     m = int(min(MAX_PIVOTS, max(8, size["n"] ** 0.5)))
-    picked = ref.select("c", "mult").orderBy(F.md5(F.col("c").cast("string")), "c").limit(m).toArrow()
+    named = ref.select("c", "mult", F.col("c").cast("string").alias("text"))
+    picked = first_by_hash(named, m, "pivot", ["text"]).select("c", "mult").toArrow()
     piv, piv_n = _matrix(picked.column("c"), d), picked.column("mult").to_numpy()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

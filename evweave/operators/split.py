@@ -7,7 +7,8 @@ compatibility mode (the reference's formula, quirk Q1) or
 ``v = val/(train+val)`` otherwise. Membership is by md5(seed:key) order, so it
 is the same on every run, partitioning and engine. Ranks come from the
 bucketed running sum (:mod:`evweave.plans.prefix`), so no stratum — even one
-holding a third of all rows — is ranked inside a single task.
+holding a third of all rows — is ranked inside a single task. Samples (X8, X12)
+select by a threshold on the hash (:mod:`evweave.plans.threshold`).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import hash_order, hash_rank
+from ..plans.threshold import first_by_hash
 from ..schema import DEFAULT_ROLES, Roles, check_sizes
 
 
@@ -70,15 +72,12 @@ def shuffle_key(df: DataFrame, seed: int, key_cols: Sequence[str], out: str = "s
 def per_class_sample(df: DataFrame, n_per_class: int, seed: int = 42, key_cols: Sequence[str] = ("event_key",),
                      tiebreak: Sequence[str] = (), roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """The first ``n_per_class`` rows of each class in hash order (a
-    sampling operator: the row cap is the feature)."""
-    r = hash_rank(df, [roles.label], seed, key_cols, tiebreak, out="_rank")
-    return r.where(F.col("_rank") <= n_per_class).drop("_rank", "_h")
+    sampling operator: the row cap is the feature), by threshold selection."""
+    return first_by_hash(df, n_per_class, seed, key_cols, tiebreak, [roles.label])
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = 42, key_cols: Sequence[str] = ("event_key",),
                 tiebreak: Sequence[str] = ()) -> DataFrame:
-    """N rows in hash order (global top-n: each task keeps its own n
-    best, the driver merges n × tasks rows)."""
-    order = [hash_order(seed, key_cols)] + [F.col(c) for c in tiebreak]
-    return df.orderBy(*order).limit(n)
-
+    """The first n rows in hash order, by threshold selection: a filter on the
+    hash, and a ranking only of the rows at the bound."""
+    return first_by_hash(df, n, seed, key_cols, tiebreak)

@@ -38,25 +38,6 @@ def hash_bucket(h: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
 
 
-def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 256,
-                     out: str = "_bucket", group_cols: Sequence[str] = ()) -> DataFrame:
-    """Add a bucket column monotone in ``col`` using approximate quantile cut
-    points (balanced buckets even when values crowd together).
-
-    The cut points are one aggregate row per group (``n_buckets`` doubles),
-    stored and joined back (broadcast after a row count when small)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.groupBy(*group_cols).agg(
-        F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), 10000).alias("_cuts"))
-    from .small import join_checked, stored, with_scalars
-    if group_cols:
-        j = join_checked(df, stored(cuts), group_cols)
-    else:
-        j = with_scalars(df, cuts)  # one row
-    b = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(col)))
-    return j.withColumn(out, b).drop("_cuts")
-
-
 def running_sums(df: DataFrame, group_cols: Sequence[str], bucket_col: str,
                  order: Sequence[Column], sums: dict, descending: bool = False,
                  group_totals: bool = False) -> DataFrame:
