@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -215,9 +216,10 @@ class Chunks(InputPartition):
 
 
 class PlaneSource(DataSource):
-    """``spark.read / write.format("idplanes")``. Writing takes ``(id, ids)`` rows, the ids as little-endian
-    32-bit binary, in the order of the partitions. Reading gives ``id, start, n_tokens`` and, unless the
-    option ``ids`` is ``false``, ``ids``."""
+    """``spark.read / write.format("idplanes")``. Writing takes ``(id, text)`` rows in the order of the partitions,
+    and the options ``tokenizer`` (a file that the driver reads), ``end`` (an id after each document) and
+    ``planes`` (byte or bit). Reading gives ``id, start, n_tokens`` and, unless the option ``ids`` is ``false``,
+    ``ids``, little-endian 32-bit binary."""
 
     @classmethod
     def name(cls) -> str:
@@ -247,35 +249,44 @@ def _manifest(fs: pa.fs.FileSystem, folder: str) -> dict:
 
 class PlaneSink(DataSourceArrowWriter):
     def __init__(self, options, schema: T.StructType):
-        self.path, self.kind = options["path"], options.get("planes", "byte")
+        self.path, self.kind, self.end = options["path"], options.get("planes", "byte"), int(options["end"])
         self.id_type = schema.fields[0].dataType.json()
+        with open(options["tokenizer"], encoding="utf-8") as f:
+            self.spec = f.read()
+        check_spaces(self.spec)
         fs, folder = open_folder(self.path)
         if fs.get_file_info(f"{folder}/{MANIFEST}").type != pa.fs.FileType.NotFound:
             raise ValueError(f"{folder} holds id planes already")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        return list(textops.returning_memory(self._write)(iterator))[0]
+
+    def _write(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[Written]:
         fs, folder = open_folder(self.path)
         fs.create_dir(folder, recursive=True)
         part, files, out, name = TaskContext.get().partitionId(), [], None, ""
+        coder, end = SpaceCoder(self.spec), np.array([self.end], np.uint32)
         for b in iterator:
-            col = b.column(1)
-            if not len(col):
-                continue
-            wide = np.int64 if pa.types.is_large_binary(col.type) else np.int32
-            off = np.frombuffer(col.buffers()[1], wide)[col.offset:col.offset + len(col) + 1].astype(np.int64)
-            raw = np.frombuffer(col.buffers()[2], np.uint8)[off[0]:off[-1]]
-            if out is None:
-                name = f"part-{part:06d}-{len(files):04d}-{uuid.uuid4().hex}.idp"
-                out = PlaneWriter(fs.open_output_stream(f"{folder}/{name}"), self.kind)
-            out.add(b.column(0), np.diff(off) // 4, raw.view("<u4"))
-            if out.n_ids >= FILE_IDS:
-                out.close()
-                files.append((name, out.n_docs, out.n_ids))
-                out = None
+            first, held, size = 0, [], 0
+            for i, ids in coder.rows(b.column(0), b.column(1)):
+                held.append(ids)
+                size += len(ids) + 1
+                if size < CHUNK_IDS and i + 1 < b.num_rows:
+                    continue
+                if out is None:
+                    name = f"part-{part:06d}-{len(files):04d}-{uuid.uuid4().hex}.idp"
+                    out = PlaneWriter(fs.open_output_stream(f"{folder}/{name}"), self.kind)
+                out.add(b.column(0).slice(first, i + 1 - first), np.array([len(x) + 1 for x in held]),
+                        np.concatenate([y for x in held for y in (x, end)]))
+                first, held, size = i + 1, [], 0
+                if out.n_ids >= FILE_IDS:
+                    out.close()
+                    files.append((name, out.n_docs, out.n_ids))
+                    out = None
         if out is not None:
             out.close()
             files.append((name, out.n_docs, out.n_ids))
-        return Written(part, files)
+        yield Written(part, files)
 
     def commit(self, messages) -> None:
         fs, folder = open_folder(self.path)
@@ -344,20 +355,71 @@ def read_ids(path: str, start: int, count: int) -> np.ndarray:
 # --- documents -----------------------------------------------------------------------------
 
 class SpaceCoder(bpe.WordCoder):
-    """Ids of texts under a tokenizer whose words never cross white space: texts are cut at ASCII white space,
-    and each distinct word is encoded by the tokenizers library once per task (a bounded cache)."""
+    """Ids of texts under a tokenizer whose words never cross white space.
+
+    Texts are cut at ASCII white space, and plain words further into runs of letters, single digits and runs of
+    other characters, as the tokenizer's own pattern does; words with an apostrophe, a special string or
+    characters whose class or case is not plain stay whole. Each distinct piece is encoded by the tokenizers
+    library once per task (a bounded cache)."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         tok = Tokenizer.from_str(spec)
         tok.no_truncation()
         tok.no_padding()
         self.encode = lambda w: tok.encode(w, add_special_tokens=False).ids
+        # plain pieces are normal in lower case and one token of the pattern each: the model alone is enough
+        bare = Tokenizer(tok.model)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(),
+                                                      pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode_plain = lambda ws: bare.encode(" ".join(ws).lower(), add_special_tokens=False).ids
+        vocab = tok.get_vocab()
+        suffix = json.loads(spec)["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
         self.special: dict[str, int] = {}
         self.hasher = textops.Hasher()
-        self.hasher.byte = textops.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(textops._BASE))  # case counts
+        self.cased = textops.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(textops._BASE))
+        # classes of bytes: letters (also the bytes of two-byte letters), digits, others
+        self.cls = np.full(256, 3, np.uint8)
+        self.cls[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *PLAIN_LEADS]] = 1
+        self.cls[0x30:0x3A] = 2
+        self.odd = np.zeros(256, bool)
+        self.odd[0xC0:] = True
+        self.odd[[0x27, *PLAIN_LEADS]] = [True] + [False] * len(PLAIN_LEADS)
         self.reset()
 
+    def _add(self, words: list[str]) -> int:
+        """Put the words' ids into the cache; the number of the first. Plain pieces go to the library together,
+        as each ends with an id that ends a word, the others one by one."""
+        plain = np.fromiter((PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        at, parts, sizes, places = np.flatnonzero(plain), [], [], []
+        for a in range(0, len(at), TOGETHER):
+            some = at[a:a + TOGETHER]
+            flat = np.array(self.encode_plain([words[i] for i in some.tolist()]), np.uint32)
+            last = np.flatnonzero(self.ends[flat]) + 1
+            if len(last) != len(some):
+                plain[some] = False
+                continue
+            parts.append(flat)
+            sizes.append(np.diff(last, prepend=0))
+            places.append(some)
+        for i in np.flatnonzero(~plain).tolist():
+            parts.append(np.array(self.encode(words[i]), np.uint32))
+            sizes.append(np.array([len(parts[-1])]))
+            places.append(np.array([i]))
+        flat, size, place = np.concatenate(parts), np.concatenate(sizes), np.concatenate(places)
+        first, n = self.n, self.n + len(words)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n > len(self.off):
+            self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len))
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.len[first + place] = size
+        self.off[first + place] = self.used + np.cumsum(size) - size
+        self.used, self.n = self.used + len(flat), n
+        return first
+
     def rows(self, ids, col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """``(row, ids)`` for every row of a text column, in order."""
         for i, j, raw, off in textops.text_slices(col):
@@ -371,9 +433,44 @@ class SpaceCoder(bpe.WordCoder):
                 yield i + r, flat[ends[first[r]]:ends[first[r + 1]]]
 
     def _coded(self, raw: np.ndarray, off: np.ndarray):
-        s, e, h, first = self.hasher.words(raw, off)
-        flat, size = self.ids(_Bytes(raw), s, e, h)
-        return flat, size, first
+        """Ids of all pieces, ids per piece, first piece of each text."""
+        s, e, _, _ = self.hasher.words(raw, off)
+        n = len(raw)
+        if not len(s):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+        odd = self.odd[raw]
+        nxt = np.append(raw[1:], 0)
+        odd |= (raw == 0x3C) & (nxt == 0x7C)  # may start a special string
+        for a, b in NOT_LETTERS:
+            odd |= (raw == a) & (nxt == b)
+        seen = np.concatenate([[0], np.cumsum(odd)])
+        whole = seen[e] > seen[s]
+        edge = np.zeros(n + 1, np.int8)
+        edge[s[whole]] += 1
+        edge[e[whole]] -= 1
+        kept = np.cumsum(edge[:n]).astype(bool)  # bytes of words that stay whole
+        inside = ~self.hasher.sep[raw]
+        k = self.cls[raw]
+        cut = np.zeros(n, bool)
+        cut[1:] = ((k[1:] != k[:-1]) | (k[1:] == 2)) & inside[1:] & inside[:-1] & ~kept[1:]
+        cut[s] = True
+        start = np.flatnonzero(cut)
+        last = np.zeros(n + 1, bool)
+        last[e] = True
+        last[start[1:]] |= inside[start[1:] - 1]  # a piece also ends where the next begins
+        end = np.flatnonzero(last)
+        h = self.hasher.runs(np.where(kept, self.cased[raw], self.hasher.byte[raw]), start, end)
+        flat, size = self.ids(_Bytes(raw), start, end, h)
+        return flat, size, np.searchsorted(start, off)
+
+
+#: first bytes of two-byte letters: Latin (U+00C0 to U+027F) and Cyrillic (U+0400 to U+047F) ...
+PLAIN_LEADS = (*range(0xC3, 0xCA), 0xD0, 0xD1)
+#: ... but for the multiplication and division signs, and the capital I with a dot, whose lower case is two characters
+NOT_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+#: pieces that are one token of the pattern each: letters of these, a digit, printable others
+PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u027F\u0400-\u047F]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+TOGETHER = 2000  # plain pieces in one call of the library
 
 
 class _Bytes:
@@ -421,32 +518,12 @@ def write_documents(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2,
     ignored. Rows are dealt by range of (id, text hash, place), so one id, or one row repeated, that makes up a
     third of the table spreads over many tasks; ``docs`` must come from a stored table, whose rows keep their
     places when a task is repeated."""
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = f.read()
-    check_spaces(spec)
-    id_type = docs.schema[id_col].dataType
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = SpaceCoder(spec)
-        end = np.array([end_id], "<u4")
-        for b in batches:
-            start, held, size = 0, [], 0
-            for i, ids in coder.rows(b.column(0), b.column(1)):
-                held.append(np.concatenate([ids, end]).astype("<u4").tobytes())
-                size += len(held[-1])
-                if size > 1 << 25:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, i + 1 - start), pa.array(held, pa.binary())], names=["id", "ids"])
-                    start, held, size = i + 1, [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start), pa.array(held, pa.binary())], names=["id", "ids"])
-
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keys = [F.col("id").asc_nulls_first(), F.col("h").asc(), F.col("place").asc()]
     ranged = src.withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     ranged = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
-    coded = ranged.mapInArrow(textops.returning_memory(encode), T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType())]))
     docs.sparkSession.dataSource.register(PlaneSource)
-    coded.write.format("idplanes").option("planes", planes).mode("append").save(path)
+    ranged.write.format("idplanes").options(tokenizer=tokenizer, planes=planes, end=end_id).mode("append").save(path)
 
 
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
