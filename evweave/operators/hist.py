@@ -20,6 +20,8 @@ from ..functions.binning import bin_center, bin_index
 from ..plans.small import join_checked, stored, with_scalars
 from ..schema import DEFAULT_ROLES, Roles
 
+ROOT3 = 3.0 ** 0.5
+
 
 def to_long(df: DataFrame, features: Sequence[str], keep: Sequence[str],
             name_col: str = "feature", value_col: str = "value") -> DataFrame:
@@ -136,6 +138,35 @@ def histogram_2d(df: DataFrame, x: str, y: str, n_bins: int = 20, by: Sequence[s
     return d.groupBy(*by, "bx", "by").agg(F.count(F.lit(1)).alias("entries"))
 
 
+def hexagon(x: Column, y: Column) -> tuple[Column, Column]:
+    """Axial coordinates of the hexagon (flat sides left and right, neighbours in a row one apart) that holds the
+    point: cube coordinates are rounded and the one that moved most is set from the other two."""
+    q, r = x - y / F.lit(ROOT3), y * 2.0 / F.lit(ROOT3)
+    s = -q - r
+    rq, rr, rs = (F.floor(c + 0.5) for c in (q, r, s))
+    dq, dr, ds = (F.abs(a - b) for a, b in ((rq, q), (rr, r), (rs, s)))
+    q_most = (dq > dr) & (dq > ds)
+    return (F.when(q_most, -rr - rs).otherwise(rq).cast("long"),
+            F.when(~q_most & (dr > ds), -rq - rs).otherwise(rr).cast("long"))
+
+
+def hexagon_density(df: DataFrame, x: str, y: str, n: int = 20, by: Sequence[str] = ("label",)) -> DataFrame:
+    """H9: density on hexagons, ``n`` across each axis's range: (by, q, r, center_x, center_y, entries), one
+    aggregation. Rows where x or y is null are in no hexagon; a feature without spread is one column."""
+    lim = df.agg(F.min(x).cast("double").alias("_xlo"), F.max(x).cast("double").alias("_xhi"),
+                 F.min(y).cast("double").alias("_ylo"), F.max(y).cast("double").alias("_yhi"))
+    d = with_scalars(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), lim)
+
+    def unit(c, lo, hi):
+        return F.coalesce(F.try_divide(F.col(c) - F.col(lo), F.col(hi) - F.col(lo)), F.lit(0.0)) * F.lit(float(n))
+
+    q, r = hexagon(unit(x, "_xlo", "_xhi"), unit(y, "_ylo", "_yhi"))
+    g = d.select(*by, q.alias("q"), r.alias("r")).groupBy(*by, "q", "r").agg(F.count(F.lit(1)).alias("entries"))
+    g = with_scalars(g, lim)
+    return g.select(*by, "q", "r", (F.col("_xlo") + (F.col("q") + F.col("r") / 2.0) / float(n) * (F.col("_xhi") - F.col("_xlo"))).alias("center_x"),
+                    (F.col("_ylo") + F.col("r") * F.lit(ROOT3) / 2.0 / float(n) * (F.col("_yhi") - F.col("_ylo"))).alias("center_y"), "entries")
+
+
 def score_histogram(df: DataFrame, score: str = "score", prediction: str = "prediction",
                     split: str = "split", n_bins: int = 20, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """H8: score histogram on [0, 1] by split and predicted class."""

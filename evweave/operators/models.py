@@ -1,12 +1,12 @@
-"""Weighted classifiers, scoring and reconstruction models on Spark ML
-(M1–M6, M8–M11, Z1–Z4).
-
-Training runs as Spark ML estimators (tree-aggregate rounds on the
-executors); scoring is a map-only ``transform``. Spark ML refuses negative
-weights, so every weighted fit must name its ``negative_weights`` policy:
-``signed`` (kept as they are: the logistic trainer below, which has no such
-limit), ``drop``, ``abs`` or ``zero``. There is no default, so no row is lost
-silently.
+"""Weighted classifiers, scoring and reconstruction models (M1–M6, M8–M11,
+Z1–Z4).
+
+Every weighted fit must name its ``negative_weights`` policy: ``signed`` keeps
+the weights as they are, with the trainers of this library (the Newton logistic
+below, the histogram trees of :mod:`.trees`); ``drop``, ``abs`` and ``zero``
+change them for Spark ML's estimators, which refuse negative weights (``abs``
+makes a negative event count *for* its class). There is no default, so no row is
+lost silently. Scoring is a map-only ``transform``.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import class_weighted
-from ..plans.small import with_scalars
+from ..plans.gram import pair_statistics
+from ..session import materialize, release
 
+MAX_COMPONENTS = 4096  # their square reaches the driver
 ESTIMATORS = {"logistic": LogisticRegression, "gbt": GBTClassifier, "forest": RandomForestClassifier}
 
 
@@ -50,13 +52,14 @@ def fit_classifier(df: DataFrame, features: Sequence[str], kind: str = "logistic
     unweighted (M2); ``class_weights=(background, signal)`` multiplies the
     sample weight by the class weight first (L15/M10). A weighted fit needs
     ``negative_weights``."""
-    if negative_weights == "signed" and kind != "logistic":
-        raise ValueError("only the logistic trainer takes signed weights")
     d = df
     if class_weights is not None:
         base = F.col(weight) if weight else F.lit(1.0)
         d = d.withColumn("_cw", class_weighted(base, label, class_weights[0], class_weights[1]))
         weight = "_cw"
+    if negative_weights == "signed" and kind != "logistic":
+        from .trees import fit_signed_trees
+        return fit_signed_trees(d, features, kind, label, weight, **params)
     if negative_weights == "signed" and weight is not None:
         return fit_signed_logistic(d, features, label, weight, **params)
     d = training_weights(d, weight, negative_weights)
@@ -168,15 +171,11 @@ def score(model, df: DataFrame, out: str = "score", round_digits: int | None = N
 
 
 def fit_gbt_early_stopping(df: DataFrame, features: Sequence[str], validation: Column, label: str = "label",
-                           weight: str | None = "weight", *, negative_weights: str | None = None,
-                           **params) -> PipelineModel:
-    """M4: boosted trees that stop when the validation rows (``validation``
-    true) stop improving."""
-    d = training_weights(df.withColumn("_val", validation), weight, negative_weights)
-    est = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_w",
-                        validationIndicatorCol="_val", **params)
-    asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    return Pipeline(stages=[asm, est]).fit(d.withColumn(label, F.col(label).cast("double")))
+                           weight: str | None = "weight", rounds: int = 100, patience: int = 10, **params):
+    """M4: boosted trees on signed weights that stop when the loss on the ``validation`` rows has not fallen for
+    ``patience`` rounds; the trees up to the lowest loss are kept. ``params``: of :class:`.trees.Member`."""
+    from .trees import Member, fit_trees
+    return fit_trees(df, features, [Member(rounds=rounds, patience=patience, **params)], label, weight, validation)
 
 
 def fit_forest_regressor(df: DataFrame, features: Sequence[str], label: str = "label", max_depth: int = 3,
@@ -201,46 +200,42 @@ def training_history(model) -> DataFrame | None:
     return None
 
 
-def gbt_history(model, df: DataFrame, label: str = "label") -> DataFrame:
-    """M11 for boosted trees: log-loss after each iteration on ``df``."""
-    gbt = model.stages[-1]
-    asm = model.stages[0]
-    d = asm.transform(df.withColumn(label, F.col(label).cast("double")))
-    losses = gbt.evaluateEachIteration(d, "logistic")
-    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
-
-
 # --- M8: one-class reconstruction ----------------------------------------------------
 
-def fit_reconstruction(df: DataFrame, x: str = "x", k: int = 2) -> tuple:
-    """M8 (re-aimed): PCA with ``k`` components fitted on one class's rows.
-    Returns (mean vector row, PCA model); rows are centred before the fit, as
-    the principal axes are axes of the centred data."""
-    pe = df.select(F.posexplode(x).alias("pos", "v"))
-    mean = pe.groupBy("pos").agg(F.avg("v").alias("m")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("s")).select(
-        F.transform("s", lambda e: e["m"]).alias("_mean"))
-    c = with_scalars(df, mean).select(
-        array_to_vector(F.zip_with(x, "_mean", lambda a, b: a - b)).alias("_xc"))
-    pca = PCA(k=k, inputCol="_xc", outputCol="_z").fit(c)
-    return mean, pca
-
-
-def reconstruction_error(df: DataFrame, mean: DataFrame, pca, x: str = "x", out: str = "error") -> DataFrame:
+def fit_reconstruction(df: DataFrame, x: str = "x", k: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """M8 (re-aimed): the mean and the ``k`` principal axes (as columns) of one class's rows, from one pass of
+    blocked products; only the components' square reaches the driver. Rows whose vector is null, or
+    misses components, count for the components they have."""
+    first = df.where(F.col(x).isNotNull()).select(F.size(x).alias("n")).first()
+    n = first["n"] if first else 0
+    if n > MAX_COMPONENTS:
+        raise ValueError(f"at most {MAX_COMPONENTS} components")
+    mean, cov = np.zeros(n), np.zeros((n, n))
+    got = pair_statistics(df, x, n).toArrow() if n else None
+    if got is not None:
+        i, j = got.column("feature_a").to_numpy(), got.column("feature_b").to_numpy()
+        cov[i, j] = got.column("cov").fill_null(0.0).to_numpy()
+        mean[i[i == j]] = got.column("mean_a").fill_null(0.0).to_numpy()[i == j]
+    values, vectors = np.linalg.eigh(cov)
+    axes = vectors[:, np.argsort(-values, kind="stable")[:k]]
+    # the sign of an axis: its largest component is positive
+    return mean, axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])]) if n else axes
+
+
+def reconstruction_error(df: DataFrame, mean: np.ndarray, axes: np.ndarray, x: str = "x", out: str = "error") -> DataFrame:
     """M8 + L10: x̂ = mean + V Vᵀ(x − mean); error = mean squared difference.
-    The k principal axes (model-sized constants) are literal arrays, so the
-    projection is JVM-side array arithmetic, O(n·k) per row."""
-    V = pca.pc.toArray()  # (n_features × k)
-    n, k = V.shape
-    axes = [F.array(*[F.lit(float(V[i, j])) for i in range(n)]) for j in range(k)]
-    d = with_scalars(df, mean).withColumn("_xc", F.zip_with(x, "_mean", lambda a, b: a - b))
-    zs = [F.aggregate(F.zip_with("_xc", v, lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t) for v in axes]
-    xhat = F.transform(axes[0], lambda e: e * zs[0])
-    for v, z in zip(axes[1:], zs[1:]):
+    The mean and the k principal axes (model-sized constants) are literal
+    arrays, so the projection is JVM-side array arithmetic, O(n·k) per row."""
+    n, k = axes.shape
+    d = df.withColumn("_xc", F.zip_with(x, F.lit(mean.tolist()).cast("array<double>"), lambda a, b: a - b))
+    vs = [F.lit(axes[:, j].tolist()).cast("array<double>") for j in range(k)]
+    zs = [F.aggregate(F.zip_with("_xc", v, lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t) for v in vs]
+    xhat = F.transform(vs[0], lambda e: e * zs[0])
+    for v, z in zip(vs[1:], zs[1:]):
         xhat = F.zip_with(xhat, v, _add_scaled(z))
     sq = F.zip_with("_xc", xhat, lambda a, b: (a - b) * (a - b))
     err = F.aggregate(sq, F.lit(0.0), lambda acc, t: acc + t) / F.lit(float(n))
-    return d.withColumn(out, err).drop("_xc", "_mean")
+    return d.withColumn(out, err).drop("_xc")
 
 
 def _add_scaled(z: Column):
@@ -251,39 +246,39 @@ def _add_scaled(z: Column):
 
 def fit_focal_logistic(df: DataFrame, features: Sequence[str], label: str = "label", weight: str | None = None,
                        alpha: float = 0.25, gamma: float = 2.0, lr: float = 0.5, iterations: int = 30,
-                       eps: float = 1e-7) -> tuple[list[float], DataFrame]:
+                       eps: float = 1e-7, validation: Column | None = None) -> tuple[list[float], DataFrame]:
     """M9 (re-aimed): a linear model trained by full-batch gradient descent on
     the focal loss. Each iteration is ONE DataFrame aggregation (Σ gᵢ·xᵢ over
-    the executors); the driver only holds the k+1 coefficients. Returns the
-    coefficients (bias first) and the loss history."""
+    the executors); the driver only holds the k+1 coefficients. ``validation``
+    rows give no gradient, only their loss, in the same pass. Returns the
+    coefficients (bias first) and the history (iteration, loss, val_loss)."""
     k = len(features)
     wts = [0.0] * (k + 1)
     w_col = F.col(weight).cast("double") if weight else F.lit(1.0)
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("_y"),
-                  w_col.alias("_sw")).cache()
+    held = F.coalesce(validation, F.lit(False)) if validation is not None else F.lit(False)
+    d = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("_y"),
+                              w_col.alias("_sw"), held.alias("_val")))
     hist = []
-    try:
-        for it in range(iterations):
-            z = F.lit(wts[0])
-            for i, c in enumerate(features):
-                z = z + F.lit(wts[i + 1]) * F.col(c)
-            p = F.least(F.greatest(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), F.lit(eps)), F.lit(1.0 - eps))
-            y = F.col("_y")
-            a, g = F.lit(alpha), F.lit(gamma)
-            # dL/dz of  −α[y(1−p)^γ log p + (1−y) p^γ log(1−p)]
-            d1 = -a * y * (F.pow(1 - p, g) * (1 - p) - g * F.pow(1 - p, g) * p * F.log(p))
-            d0 = -a * (1 - y) * (g * F.pow(p, g) * (1 - p) * F.log(1 - p) - F.pow(p, g) * p)
-            gz = (d1 + d0) * F.col("_sw")
-            loss = -a * (y * F.pow(1 - p, g) * F.log(p) + (1 - y) * F.pow(p, g) * F.log(1 - p)) * F.col("_sw")
-            row = d.agg(F.sum(F.col("_sw")).alias("n"), F.sum(loss).alias("loss"), F.sum(gz).alias("g0"),
-                        *[F.sum(gz * F.col(c)).alias(f"g{i + 1}") for i, c in enumerate(features)]).first()
-            n = row["n"] or 1.0
-            hist.append((it, float(row["loss"]) / n))
-            wts = [wts[i] - lr * float(row[f"g{i}"]) / n for i in range(k + 1)]
-    finally:
-        d.unpersist()
-    spark = df.sparkSession
-    return wts, spark.createDataFrame(hist, "iteration int, loss double")
+    for it in range(iterations):
+        z = F.lit(wts[0])
+        for i, c in enumerate(features):
+            z = z + F.lit(wts[i + 1]) * F.col(c)
+        p = F.least(F.greatest(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), F.lit(eps)), F.lit(1.0 - eps))
+        y = F.col("_y")
+        a, g = F.lit(alpha), F.lit(gamma)
+        # dL/dz of  −α[y(1−p)^γ log p + (1−y) p^γ log(1−p)]
+        d1 = -a * y * (F.pow(1 - p, g) * (1 - p) - g * F.pow(1 - p, g) * p * F.log(p))
+        d0 = -a * (1 - y) * (g * F.pow(p, g) * (1 - p) * F.log(1 - p) - F.pow(p, g) * p)
+        gz = F.when(~F.col("_val"), (d1 + d0) * F.col("_sw"))
+        loss = -a * (y * F.pow(1 - p, g) * F.log(p) + (1 - y) * F.pow(p, g) * F.log(1 - p)) * F.col("_sw")
+        row = d.agg(F.sum(F.when(~F.col("_val"), F.col("_sw"))).alias("n"), F.sum(F.when(~F.col("_val"), loss)).alias("loss"),
+                    F.sum(F.when(F.col("_val"), F.col("_sw"))).alias("vn"), F.sum(F.when(F.col("_val"), loss)).alias("vloss"),
+                    F.sum(gz).alias("g0"), *[F.sum(gz * F.col(c)).alias(f"g{i + 1}") for i, c in enumerate(features)]).first()
+        n = row["n"] or 1.0
+        hist.append((it, float(row["loss"] or 0.0) / n, float(row["vloss"]) / row["vn"] if row["vn"] else None))
+        wts = [wts[i] - lr * float(row[f"g{i}"] or 0.0) / n for i in range(k + 1)]
+    release(d)
+    return wts, df.sparkSession.createDataFrame(hist, "iteration int, loss double, val_loss double")
 
 
 def linear_score(df: DataFrame, features: Sequence[str], coefs: Sequence[float], out: str = "score") -> DataFrame:
@@ -313,13 +308,6 @@ def merge_per_group(df: DataFrame, keys: Sequence[str], partial: Callable, merge
     return df.mapInPandas(run, partial_schema).groupBy(*keys).applyInPandas(merge, schema)
 
 
-def apply_per_group(df: DataFrame, keys: Sequence[str], fn: Callable, schema: str) -> DataFrame:
-    """A user pandas function per group (Arrow batches). Use built-in
-    aggregates where possible; this is for user code only, and each group must
-    fit one task's memory."""
-    return df.groupBy(*keys).applyInPandas(fn, schema)
-
-
 def mean_loss(df: DataFrame, loss: Callable[[Column, Column], Column], label: str = "label", pred: str = "score",
               keys: Sequence[str] = ()) -> DataFrame:
     """Any ``(label, prediction) -> Column`` loss averaged per slice."""

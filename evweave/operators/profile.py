@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.gram import pair_statistics
 from ..plans.small import join_checked, stored, with_scalars
 from ..schema import DEFAULT_ROLES, Roles
 
@@ -160,20 +161,12 @@ def _unpivot_row(df: DataFrame, names: Sequence[str], stats: Sequence[str]) -> D
     return df.selectExpr(f"stack({n}, {args}) as (feature, {', '.join(stats)})")
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | str, k: int | None = None) -> DataFrame:
     """Pearson correlation of every column pair (both orders and the
-    diagonal) in a single aggregation pass."""
-    cols = list(cols)
-    aggs = [F.corr(a, b).alias(f"{a}|{b}") for i, a in enumerate(cols) for b in cols[i:]]
-    one = df.agg(*aggs)
-    pairs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            pairs.append((a, b, f"{a}|{b}"))
-            if a != b:
-                pairs.append((b, a, f"{a}|{b}"))
-    args = ", ".join(f"'{a}', '{b}', `{k}`" for a, b, k in pairs)
-    return one.selectExpr(f"stack({len(pairs)}, {args}) as (feature_a, feature_b, corr)")
+    diagonal) in one pass, by blocked matrix products for any number of
+    columns; or of the ``k`` components of one array column, by number. A pair uses the
+    rows where both values are there; an undefined correlation is null."""
+    return pair_statistics(df, cols, k).select("feature_a", "feature_b", "corr")
 
 
 def feature_ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -25,6 +25,7 @@ from ..plans.small import with_scalars
 from ..session import materialize
 from . import metrics as M
 from . import models as MD
+from .batch import Spec, fit_many
 
 
 def chi2_scores(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
@@ -43,7 +44,9 @@ def chi2_scores(df: DataFrame, features: Sequence[str], label: str = "label") ->
 
 @F.pandas_udf(T.DoubleType())
 def _chi2_sf_1dof(x: pd.Series) -> pd.Series:
-    return x.apply(lambda v: math.erfc(math.sqrt(v / 2.0)) if v is not None and v == v and v >= 0 else float("nan"))
+    v = x.to_numpy(dtype=np.float64, na_value=np.nan)
+    ok = v >= 0
+    return pd.Series(np.where(ok, np.frompyfunc(math.erfc, 1, 1)(np.sqrt(np.where(ok, v, 0.0) / 2.0)).astype(np.float64), np.nan))
 
 
 def chi2_pvalues(scores: DataFrame) -> DataFrame:
@@ -60,34 +63,43 @@ def rank_by(df: DataFrame, col: str, ascending: bool = False, out: str = "rank")
 
 
 def forest_importances(df: DataFrame, features: Sequence[str], label: str = "label", num_trees: int = 50,
-                       max_depth: int = 5, subset: str = "auto", weight: str | None = None, seed: int = 42) -> DataFrame:
-    """Random-forest importances with their std over trees. R4 (extra
-    trees) is approximated by ``subset="1"`` (one random feature per split)."""
-    model = MD.fit_classifier(df, features, "forest", label, weight, negative_weights="abs", numTrees=num_trees, maxDepth=max_depth,
-                              featureSubsetStrategy=subset, seed=seed)
-    rf = model.stages[-1]
-    per_tree = np.array([t.featureImportances.toArray() for t in rf.trees])
-    imp = rf.featureImportances.toArray()
-    std = per_tree.std(axis=0)
-    rows = [(f, float(imp[i]), float(std[i])) for i, f in enumerate(features)]
+                       max_depth: int = 5, weight: str | None = None, seed: int = 42, extra: bool = False, n_bins: int = 256,
+                       key_cols: Sequence[str] = ("event_key",)) -> DataFrame:
+    """Mean share of each feature in a tree's gains, and its deviation over the trees, of a random forest
+    or (``extra``) of extremely randomised trees. All trees grow in the same passes; ``weight`` may be signed
+    and is used as it is."""
+    from .trees import fit_trees, forest_members
+    model = fit_trees(df, features, forest_members(len(features), num_trees, max_depth, seed, extra), label, weight,
+                      n_bins=n_bins, key_cols=key_cols, vote=True)
+    per_tree = model.importances()
+    rows = [(f, float(per_tree[:, i].mean()), float(per_tree[:, i].std())) for i, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double, std double")
 
 
 def compare_feature_sets(train: DataFrame, test: DataFrame, sets: Mapping[str, Sequence[str]], label: str = "label",
                          weight: str | None = "weight", th: float = 0.5) -> DataFrame:
-    """One model per named feature set, scored on the same test rows;
-    rows (feature_set, auc, f1_1)."""
-    outs = []
-    for name, feats in sets.items():
-        m = MD.fit_classifier(train, feats, "logistic", label, weight, negative_weights="signed")
-        s = MD.score(m, test)
-        auc = M.roc_auc(s, weight=None).withColumn("feature_set", F.lit(name))
-        f1 = M.f1_per_threshold(s, [th], weight=None).select("f1_1")
-        outs.append(with_scalars(auc, f1))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out.select("feature_set", "auc", "f1_1")
+    """One model per named feature set, all fitted in one batch and scored on the same test rows in one
+    pass; rows (feature_set, auc, f1_1)."""
+    batch = fit_many(train, [Spec(name, list(f)) for name, f in sets.items()], label, weight)
+    s = materialize(batch.score(test.select(label, *dict.fromkeys(f for fs in sets.values() for f in fs)), model="feature_set")
+                    .select("feature_set", label, "score"))
+    auc = M.roc_auc(s, ["feature_set"], label=label, weight=None)
+    f1 = M.f1_per_threshold(s, [th], ["feature_set"], label=label, weight=None).select("feature_set", "f1_1")
+    return auc.join(f1, "feature_set").select("feature_set", "auc", "f1_1")
+
+
+def feature_set_sweep(train: DataFrame, test: DataFrame, sets: Mapping[str, Sequence[str]], background_weights: Sequence[float],
+                      thresholds: Sequence[float], signal_weight: float = 10.0, label: str = "label",
+                      weight: str | None = "weight") -> DataFrame:
+    """R6 as the reference sweeps it: F1 per (feature set, background class weight, threshold). All models are
+    fitted in one batch; the test rows are scored by all of them in one pass."""
+    specs = {f"{n}|{b}": (n, float(b), list(f)) for n, f in sets.items() for b in background_weights}
+    batch = fit_many(train, [Spec(k, f, class_weights=(b, signal_weight)) for k, (_, b, f) in specs.items()], label, weight)
+    cols = [label, *([weight] if weight else []), *dict.fromkeys(f for fs in sets.values() for f in fs)]
+    f1 = M.f1_per_threshold(batch.score(test.select(*cols)), thresholds, ["model"], label=label, weight=weight)
+    names = train.sparkSession.createDataFrame([(k, n, b) for k, (n, b, _) in specs.items()],
+                                               "model string, feature_set string, bg_weight double")
+    return f1.join(F.broadcast(names), "model").select("feature_set", "bg_weight", "th", "f1_0", "f1_1", "f1_wavg")  # one row a model
 
 
 MAX_BACKGROUND = 10_000  # rows of the broadcast background sample

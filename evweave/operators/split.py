@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..plans.prefix import hash_order, hash_rank
 from ..plans.threshold import first_by_hash
 from ..schema import DEFAULT_ROLES, Roles, check_sizes
+from ..session import materialize
 
 
 def val_fraction(train: float, val: float, test: float, compat: bool = True) -> float:
@@ -57,6 +58,23 @@ def assign_split(df: DataFrame, train: float = 0.6, val: float = 0.2, test: floa
     return r.withColumn(roles.split, split).drop("_rank", "_rank_total", "_h")
 
 
+def with_rank(df: DataFrame, seed: int = 42, key_cols: Sequence[str] = ("event_key",), strata: Sequence[str] = (),
+              tiebreak: Sequence[str] = (), rank: str = "rank") -> DataFrame:
+    """The split order as columns ``rank`` and ``rank_total`` (of its stratum), stored once. Every split share is
+    then a predicate on them (:func:`part_condition`), so a grid over shares shuffles the rows once."""
+    return materialize(hash_rank(df, strata, seed, key_cols, tiebreak, out=rank, group_totals=True).drop("_h"))
+
+
+def part_condition(train: float, val: float, test: float, part: str, compat: bool = True, rank: str = "rank") -> str:
+    """The SQL condition on ``rank`` and ``rank_total`` for one part of a split with these shares."""
+    check_sizes(train, val, test)
+    n = f"{rank}_total"
+    n_test = f"ceil(cast({float(test)!r} as double) * {n})"
+    n_val = f"ceil(cast({val_fraction(train, val, test, compat)!r} as double) * ({n} - {n_test}))"
+    return {"test": f"{rank} <= {n_test}", "val": f"{rank} > {n_test} and {rank} <= {n_test} + {n_val}",
+            "train": f"{rank} > {n_test} + {n_val}"}[part]
+
+
 def two_way_split(df: DataFrame, test: float = 0.2, seed: int = 42, key_cols: Sequence[str] = ("event_key",),
                   strata: Sequence[str] = (), tiebreak: Sequence[str] = (),
                   roles: Roles = DEFAULT_ROLES) -> DataFrame:

@@ -133,6 +133,25 @@ def h9_density_2d(spark, sf):
     return H.histogram_2d(labelled(spark, sf), "f_qty", "f_retail", 20, ["label"])
 
 
+_HEX_SQL = """
+u as (select label, (f_qty - xlo) / (xhi - xlo) * 20.0 as x, (f_retail - ylo) / (yhi - ylo) * 20.0 as y, xlo, xhi, ylo, yhi
+  from lab, (select min(f_qty) as xlo, max(f_qty) as xhi, min(f_retail) as ylo, max(f_retail) as yhi from lab) l),
+c as (select *, x - y / {r3} as q, y * 2.0 / {r3} as r from u),
+f as (select *, floor(q + 0.5) as rq, floor(r + 0.5) as rr, floor(-q - r + 0.5) as rs from c),
+d as (select *, abs(rq - q) as dq, abs(rr - r) as dr, abs(rs - (-q - r)) as ds from f),
+h as (select label, cast(case when dq > dr and dq > ds then -rr - rs else rq end as bigint) as q,
+  cast(case when not (dq > dr and dq > ds) and dr > ds then -rq - rs else rr end as bigint) as r, xlo, xhi, ylo, yhi from d)""".format(r3=repr(3.0 ** 0.5))
+
+
+@query("h9_hexagon_density", oracle=ev_sql(
+    "select label, q, r, round(any_value(xlo) + (q + r / 2.0) / 20.0 * (any_value(xhi) - any_value(xlo)), 6) as center_x, "
+    f"round(any_value(ylo) + r * {3.0 ** 0.5!r} / 2.0 / 20.0 * (any_value(yhi) - any_value(ylo)), 6) as center_y, count(*) as entries "
+    "from h group by label, q, r", LABELLED_CTE, _HEX_SQL.strip()))
+def h9_hexagons(spark, sf):
+    """H9: hexagonal density of two features per class, 20 hexagons across."""
+    return round_doubles(H.hexagon_density(labelled(spark, sf), "f_qty", "f_retail", 20, ["label"]))
+
+
 def _h8_sql():
     from .split_q import _ranked_cte, _split_case
     return ev_sql(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.util import round_doubles
 from ..operators import profile as P
 from ..registry import ev_sql, query
-from ..sources.tables import event_view
+from ..sources.tables import event_view, table
 from .common import FEATURES, LABELLED_CTE, labelled
 
 _DIST = ("round(case when sum(weight) != 0 then sum(label * weight) / sum(weight) "
@@ -118,6 +118,17 @@ def a15_correlation(spark, sf):
     return round_doubles(P.correlation_matrix(event_view(spark, sf), FEATURES))
 
 
+@query("a15_correlation_components", oracle=(
+    "with e as (select vec_id, unnest(embedding) as x, unnest(range(64)) as j from embeddings where len(embedding) = 64), "
+    "a as (select vec_id, j, cast(x as double) as x from e) "
+    "select cast(a.j as int) as feature_a, cast(b.j as int) as feature_b, round(corr(a.x, b.x), 6) as corr "
+    "from a join a b using (vec_id) group by a.j, b.j"))
+def a15_components(spark, sf):
+    """A15 on a wide table: the 64 × 64 correlations of the vectors' components in one pass."""
+    d = table(spark, sf, "embeddings").where(F.size("embedding") == 64)
+    return round_doubles(P.correlation_matrix(d, "embedding", 64))
+
+
 def _ranges_sql():
     sel = [f"select '{c}' as feature, min({c}) as mn, max({c}) as mx from ev" for c in FEATURES]
     return ev_sql("select feature, round(mn, 6) as min, round(mx, 6) as max, "
