@@ -212,13 +212,17 @@ def f3_minmax_weights(spark, sf):
     return round_doubles(S.minmax_scale(event_view(spark, sf).select("event_key", "weight", *FEATURES), FEATURES))
 
 
-def _f4_sql():
+def _f4_sql(out: list[str] | None = None):
+    """The scaled rows; the one-row statistics come as scalar subqueries."""
     feats = FEATURES + ["mass"]
-    st, cols, join = _scaled_sql("s", feats, "split = 'train'")
-    return ev_sql(f"select event_key, label, split, {cols} from s {join}", LABELLED_CTE, _MP_CTE,
+    stats = ", ".join(f"avg({c}) as mu_{c}, coalesce(nullif(stddev_pop({c}), 0), 1.0) as sd_{c}" for c in feats)
+    cols = ", ".join(f"round(({c} - (select mu_{c} from st)) / (select sd_{c} from st), 6) as {c}" for c in out or feats)
+    return ev_sql(f"select event_key, {'' if out else 'label, '}split, {cols} from s", LABELLED_CTE,
+                  _MP_CTE.replace("mp as (", "mp as materialized ("),
                   _ranked_cte("mp", "mass", "event_key, cast(mass as varchar)"),
                   f"s as materialized (select event_key, label, {', '.join(FEATURES)}, mass, "
-                  f"{_split_case('rk', 'n', 0.6, 0.2, 0.2)} as split from r)", st)
+                  f"{_split_case('rk', 'n', 0.6, 0.2, 0.2)} as split from r)",
+                  f"st as materialized (select {stats} from s where split = 'train')")
 
 
 @query("f4_mass_parameterised_scaled", headline=True, oracle=_f4_sql())
@@ -231,6 +235,13 @@ def f4_parameterised(spark, sf):
     return round_doubles(out)
 
 
+@query("f4_mass_as_input", oracle=_f4_sql(["mass", "f_qty"]))
+def f4_mass_input(spark, sf):
+    """the appended mass beside one feature, both standardised on the training rows (the columns of
+    f4_mass_parameterised_scaled that differ from F1)."""
+    return f4_parameterised(spark, sf).select("event_key", "split", "mass", "f_qty")
+
+
 @query("f5_assembled_matrix", oracle=ev_sql(
     f"select event_key, list_value({', '.join(FEATURES)}) as features from lab", LABELLED_CTE))
 def f5_assemble(spark, sf):
