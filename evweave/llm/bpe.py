@@ -332,28 +332,38 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _block_words(split: Splitter, block: pa.Table):
-    """(block key, distinct words by first place, index of every token, tokens per row)."""
+def _block_words(split: Splitter, block: pa.Table, spell: bool):
+    """(block key, hashes of the distinct words, with ``spell`` the words, place of every token among them, tokens
+    per row)."""
     import hashlib
     key = hashlib.blake2b(digest_size=16)
-    hashes, rows, words = [], [], {}
-    base, seen, first_words = 0, np.zeros(0, np.uint64), []
+    slices, base, per_row = [], 0, np.zeros(block.num_rows, np.int64)
     for c in block.to_batches():
         key.update(repr(c.column(0).to_pylist()).encode())
         for text, s, e, h, row in split.slices(c.column(0), c.column(1)):
             key.update(text.encode())
-            hashes.append(h)
-            rows.append(row + base)
-            u, one = np.unique(h, return_index=True)
-            fresh = ~np.isin(u, seen, assume_unique=True)
-            first_words += [(int(x), text[a:b]) for x, a, b in
-                            zip(u[fresh], s[one[fresh]].tolist(), e[one[fresh]].tolist())]
-            seen = np.union1d(seen, u[fresh])
+            u = np.unique(h)
+            own = np.searchsorted(u, h).astype(np.int32)
+            first = np.zeros(len(u), np.int64)
+            first[own[::-1]] = np.arange(len(h) - 1, -1, -1)
+            slices.append((u, own, *((text, s[first], e[first]) if spell else ())))
+            if len(row):
+                per_row[base:base + c.num_rows] += np.bincount(row, minlength=c.num_rows)
         base += c.num_rows
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    words = dict(first_words)
-    return key.digest(), seen, words, h, np.bincount(row, minlength=base)
+    seen = np.unique(np.concatenate([x[0] for x in slices])) if slices else np.zeros(0, np.uint64)
+    at, words = [], [""] * len(seen) if spell else []
+    told = np.zeros(len(seen), bool)
+    for u, own, *spelt in slices:
+        place = np.searchsorted(seen, u)
+        if spell:
+            text, s, e = spelt
+            new = ~told[place]
+            told[place] = True
+            for i, a, b in zip(place[new].tolist(), s[new].tolist(), e[new].tolist()):
+                words[i] = text[a:b]
+        else:
+            at.append(place.astype(np.int32)[own])
+    return key.digest(), seen, words, np.concatenate(at) if at else np.zeros(0, np.int32), per_row
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -378,17 +388,17 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         import zstandard
         split, pack = Splitter(vocab), zstandard.ZstdCompressor(level=3).compress
         for block in _blocks(batches):
-            key, seen, words, _, _ = _block_words(split, block)
+            key, seen, words, _, _ = _block_words(split, block, spell=True)
             b = bucket_of(seen)
             order = np.argsort(b, kind="stable")  # within a bucket by hash
-            groups = np.split(seen[order], np.flatnonzero(np.diff(b[order])) + 1) if len(seen) else []
+            groups = np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(seen) else []
             blobs = []
             for g in groups:
                 raw = [words[x].encode() for x in g.tolist()]
                 size = np.fromiter(map(len, raw), np.uint32, len(raw)).tobytes()
                 blobs.append(pack(np.uint32(len(raw)).tobytes() + size + b"".join(raw)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(blobs), pa.binary()), pa.array([int(bucket_of(g[:1])[0]) for g in groups], pa.int32()),
+                [pa.array([key] * len(blobs), pa.binary()), pa.array([int(b[g[0]]) for g in groups], pa.int32()),
                  pa.array(blobs, pa.binary())], names=["block", "bucket", "words"])
 
     def answer(t: pa.Table) -> pa.Table:
@@ -427,11 +437,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(vocab)
         for block in _blocks(batches):
-            key, seen, _, h, per_row = _block_words(split, block)
+            key, seen, _, token, per_row = _block_words(split, block, spell=False)
             b = bucket_of(seen)
             rank = np.empty(len(seen), np.int64)
             rank[np.argsort(b, kind="stable")] = np.arange(len(seen))  # place in the answers' order
-            at = rank[np.searchsorted(seen, h)]
+            at = rank[token]
             cuts = np.cumsum(per_row) - per_row
             rows = [_shrink(at[a:a + n]) for a, n in zip(cuts.tolist(), per_row.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.binary()), block.column(0).combine_chunks(),
