@@ -44,9 +44,9 @@ CHUNK = 4096  # synthetic rows generated per task unit
 
 
 def _synthesize(rows: DataFrame, nbrs: DataFrame, features: Sequence[str], id_col: str, seed: int,
-                max_g: int | None = None) -> DataFrame:
+                max_g: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """For each row with ``g`` > 0: g synthetic points x + u·(nn − x), nn drawn
-    from its k neighbours and u ∈ [0, 1) by hash. When a row may need more
+    from its k neighbours (nearest first, equal distances by coordinates) and u ∈ [0, 1), both by md5. When a row may need more
     than ``CHUNK`` synthetic points (``max_g`` unknown or large), its work is
     cut into chunks that are spread over tasks first, so one hot row never
     generates everything in one task."""
@@ -60,13 +60,16 @@ def _synthesize(rows: DataFrame, nbrs: DataFrame, features: Sequence[str], id_co
         j = j.withColumn("_s", F.explode(F.sequence(lo, F.least(F.col("g"), lo + CHUNK) - 1)))
     else:
         j = j.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    h1 = F.xxhash64(F.lit(seed), F.col(id_col), F.col("_s"))
-    h2 = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col("_s"))
-    pick = F.element_at("nbrs", (F.pmod(h1, F.size("nbrs")) + 1).cast("int"))
-    u = F.pmod(h2, F.lit(1_000_000_007)).cast("double") / F.lit(1_000_000_007.0)
+    def draw(s: int):
+        """A 32-bit number from the md5 of ``s:id:index``, the same in every engine."""
+        key = F.concat_ws(":", F.lit(str(s)), F.col(id_col).cast("string"), F.col("_s").cast("string"))
+        return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+    pick = F.element_at("nbrs", (draw(seed) % F.size("nbrs") + 1).cast("int"))
+    u = draw(seed + 1).cast("double") / F.lit(float(1 << 32))
     new = F.zip_with("c", pick, lambda a, b: a + u * (b - a))
     return j.select(F.col(id_col).alias("source_id"), F.col("_s").alias("synthetic_index"),
-                    *[F.element_at(new, i + 1).alias(c) for i, c in enumerate(features)])
+                    *[F.element_at(new, i + 1).alias(c) for i, c in enumerate(features)], *carry)
 
 
 class Oversampler:
@@ -113,6 +116,23 @@ class Oversampler:
                 (F.sum(F.col("take") * share) / F.lit(float(self.k))).alias("r")))
         return self._r
 
+    def _smote_count(self, n_syn: int):
+        """SMOTE's synthetic rows of a minority row, from its place ``_r`` in hash order."""
+        per, extra = divmod(n_syn, self.n_min)
+        return F.lit(per) + F.when(F.col("_r") <= extra, 1).otherwise(0)
+
+    @staticmethod
+    def _adasyn_count(n_syn: int):
+        """ADASYN's synthetic rows of a minority row, from its share ``r`` of the sum ``_rt``."""
+        return F.when(F.col("_rt") > 0, F.rint(F.col("r") / F.col("_rt") * F.lit(float(n_syn)))).otherwise(0).cast("int")
+
+    def _ranked(self) -> DataFrame:
+        return hash_rank(self.mino, [], self.seed, [self.id_col], out="_r").drop("_h")
+
+    def _shared(self) -> DataFrame:
+        rows = self.mino.withColumn("c", _coords(self.features)).join(self.majority_share(), "c", "left").fillna({"r": 0.0})
+        return with_scalars(rows, rows.agg(F.sum("r").alias("_rt")))
+
     def smote(self, ratio: float = 0.5) -> DataFrame:
         """X9 + X11: n_syn synthetic rows spread evenly over the minority rows
         (⌊n_syn/n_min⌋ each, one more for the first n_syn mod n_min in hash
@@ -121,11 +141,9 @@ class Oversampler:
         n_syn = self.n_synthetic(ratio)
         if n_syn == 0 or self.n_min == 0:
             return self.base
-        per, extra = divmod(n_syn, self.n_min)
-        ranked = hash_rank(self.mino, [], self.seed, [self.id_col], out="_r").drop("_h")
-        rows = ranked.withColumn("g", F.lit(per) + F.when(F.col("_r") <= extra, 1).otherwise(0))
+        rows = self._ranked().withColumn("g", self._smote_count(n_syn))
         return self._finish(_synthesize(rows, self.minority_neighbours(), self.features, self.id_col, self.seed,
-                                        max_g=per + 1))
+                                        max_g=n_syn // self.n_min + 1))
 
     def adasyn(self, ratio: float = 0.5) -> DataFrame:
         """Row i gets g_i = rint(r̂_i·n_syn) synthetic rows with
@@ -133,15 +151,30 @@ class Oversampler:
         n_syn = self.n_synthetic(ratio)
         if n_syn == 0 or self.n_min == 0:
             return self.base
-        rows = self.mino.withColumn("c", _coords(self.features)).join(self.majority_share(), "c", "left") \
-            .fillna({"r": 0.0})
-        tot = rows.agg(F.sum("r").alias("_rt"))
-        rows = with_scalars(rows, tot).withColumn(
-            "g", F.when(F.col("_rt") > 0, F.rint(F.col("r") / F.col("_rt") * F.lit(float(n_syn)))).otherwise(0)
-            .cast("int")).drop("c", "r", "_rt")
+        rows = self._shared().withColumn("g", self._adasyn_count(n_syn)).drop("c", "r", "_rt")
         return self._finish(_synthesize(rows, self.minority_neighbours(), self.features, self.id_col, self.seed))
 
-    def _finish(self, syn: DataFrame) -> DataFrame:
+    def synthetic_levels(self, method: str, ratios: Sequence[float]) -> DataFrame:
+        """The synthetic rows of all ``ratios`` (ascending) at once, with ``level``: the first ratio, by place, that
+        has the row. A row's draws do not depend on the ratio and its count does not fall with it, so
+        the rows up to a level are what ``smote`` or ``adasyn`` adds at that ratio."""
+        if list(ratios) != sorted(ratios):
+            raise ValueError("ratios must ascend")
+        wanted = [self.n_synthetic(r) for r in ratios]
+        if not wanted or wanted[-1] == 0 or self.n_min == 0:
+            return self.base.limit(0).withColumn("level", F.lit(0))
+        if method == "smote":
+            rows = self._ranked()
+            counts, most = [self._smote_count(n) for n in wanted], wanted[-1] // self.n_min + 1
+        else:
+            rows = self._shared()
+            counts, most = [self._adasyn_count(n) for n in wanted], None
+        rows = rows.withColumn("_gs", F.array(*[c.cast("int") for c in counts])).withColumn("g", F.element_at("_gs", -1))
+        syn = _synthesize(rows.drop("c", "r", "_rt"), self.minority_neighbours(), self.features, self.id_col, self.seed, most, ["_gs"])
+        level = F.size(F.filter("_gs", lambda g: g <= F.col("synthetic_index")))
+        return self._finish(syn.withColumn("level", level).drop("_gs"), ["level"]).where("synthetic")
+
+    def _finish(self, syn: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         id_col = self.id_col
         syn = syn.withColumn(id_col, F.concat_ws("#", F.col("source_id").cast("string"),
                                                  F.col("synthetic_index").cast("string")))
@@ -150,6 +183,8 @@ class Oversampler:
         if self.weight:
             mw = self.df.agg(F.avg(self.weight).alias(self.weight))  # X11: one row
             syn = with_scalars(syn, mw)
+        if extra:
+            return syn.select(*self.base.columns, *extra)
         return self.base.unionByName(syn.select(*self.base.columns))
 
 

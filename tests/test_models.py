@@ -240,6 +240,20 @@ def test_smote_of_fourteen_features_keeps_its_total(spark):
     assert RS.Oversampler(one, feats, k=5).smote(0.5).where("synthetic").count() == int(0.5 * 105 - 1)
 
 
+def test_levels_hold_the_rows_of_every_ratio(spark, data):
+    train, _ = data
+    ov = RS.Oversampler(train, FEATURES, k=3, minority=1)
+    ratios = [0.1, 0.3, 0.5, 0.9]
+    for method in ("smote", "adasyn"):
+        levels = ov.synthetic_levels(method, ratios).persist()
+        for i, r in enumerate(ratios):
+            got = sorted(x["event_key"] for x in levels.where(F.col("level") <= i).collect())
+            assert got == sorted(x["event_key"] for x in getattr(ov, method)(r).where("synthetic").collect())
+        levels.unpersist()
+    with pytest.raises(ValueError):
+        ov.synthetic_levels("smote", [0.5, 0.1])
+
+
 def test_signed_weights_are_all_used(spark, data):
     train, test = data
     m = MD.fit_classifier(train, FEATURES, "logistic", negative_weights="signed")
