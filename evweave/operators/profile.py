@@ -86,13 +86,16 @@ def weighted_yield(df: DataFrame, keys: Sequence[str] = ("sample",), roles: Role
 def signal_vs_background(df: DataFrame, signal_samples: Sequence[str], background: Sequence[str],
                          roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """For each signal sample against the pooled background samples:
-    counts, weights, density and weighted density. The background side is one
-    aggregate row (cross join of a single row)."""
-    s = df.where(F.col(roles.sample).isin(list(signal_samples))).groupBy(roles.sample).agg(
+    counts, weights, density and weighted density. One aggregation by sample; the
+    background totals are summed over its few rows (one per listed sample)."""
+    sig, bg = list(signal_samples), list(background)
+    g = df.where(F.col(roles.sample).isin(sig + bg)).groupBy(roles.sample).agg(
         F.count(F.lit(1)).alias("n_signal"), F.sum(roles.weight).alias("w_signal"))
-    b = df.where(F.col(roles.sample).isin(list(background))).agg(
-        F.count(F.lit(1)).alias("n_background"), F.sum(roles.weight).alias("w_background"))
-    j = with_scalars(s, b)
+    in_bg = F.col(roles.sample).isin(bg)
+    every = Window.partitionBy(F.lit(0))
+    j = g.withColumns({"n_background": F.coalesce(F.sum(F.when(in_bg, F.col("n_signal"))).over(every), F.lit(0)).cast("long"),
+                       "w_background": F.sum(F.when(in_bg, F.col("w_signal"))).over(every)})
+    j = j.where(F.col(roles.sample).isin(sig))
     return j.select(
         roles.sample, "n_signal", "w_signal", "n_background", "w_background",
         (F.col("n_signal") / (F.col("n_signal") + F.col("n_background"))).alias("density"),
@@ -100,14 +103,17 @@ def signal_vs_background(df: DataFrame, signal_samples: Sequence[str], backgroun
 
 
 def table_info(df: DataFrame, key: str, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    """A10: per file/key: rows, sorted distinct samples and regions (both are
-    small-domain columns, so the sets are bounded)."""
-    return df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    """A10: per file/key: rows, sorted distinct samples and regions. The rows are
+    counted per (key, sample, region) first, so the lists are gathered from distinct
+    names only and a key that holds most rows costs no more than another."""
+    names = df.groupBy(key, roles.sample, roles.region).agg(F.count(F.lit(1)).alias("_n"))
+    return names.groupBy(key).agg(
+        F.sum("_n").alias("n_rows"),
         F.array_sort(F.collect_set(roles.sample)).alias("samples"),
         F.array_sort(F.collect_set(roles.region)).alias("regions"))
 
 
+
 def class_counts_per_split(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Rows per (split, label) and the share inside the split."""
     c = df.groupBy(roles.split, roles.label).agg(F.count(F.lit(1)).alias("n"))

@@ -31,6 +31,7 @@ from ..registry import ev_sql, query
 from ..session import materialize
 from ..sources import io as IO
 from ..sources.tables import embedding_table
+from .metrics_q import _f1_sql
 from .split_q import _ranked_cte, _split_case
 from .common import FEATURES, LABELLED_CTE, SR_CTE, THRESHOLDS, labelled, labelled_sr
 
@@ -182,11 +183,11 @@ def m1_rows_used(spark, sf):
                         (F.col("gradient") <= 1e-5).alias("converged"))
 
 
-def _newton_sql(src: str, key: str, weights: dict[str, str], x: str = "f_qty", reg: float = 1e-6, steps: int = 9) -> list[str]:
+def _newton_sql(src: str, key: str, models: dict[str, tuple[str, str]], reg: float = 1e-6, steps: int = 9) -> list[str]:
     """CTEs of one-feature logistic fits by Newton steps, one per (name, group): the last one, ``fit``, has
-    ``model, grp, b0, b1`` for the raw feature. ``weights``: name -> weight expression."""
+    ``model, grp, b0, b1`` for the raw feature. ``models``: name -> (feature, weight expression)."""
     rows = " union all ".join(f"select '{n}' as model, {key} as grp, cast({x} as double) as x0, label as y, cast({w} as double) as w0 "
-                              f"from {src}" for n, w in weights.items())
+                              f"from {src}" for n, (x, w) in models.items())
     out = [f"nr as materialized ({rows})",
            "ns as materialized (select model, grp, avg(x0) as mu, stddev_pop(x0) as sd, sum(abs(w0)) as a from nr group by model, grp)",
            "nz as materialized (select model, grp, (x0 - mu) / sd as x, y, w0 / a as w from nr join ns using (model, grp))",
@@ -203,7 +204,7 @@ def _newton_sql(src: str, key: str, weights: dict[str, str], x: str = "f_qty", r
     return out
 
 
-_CW_NAMES = {f"{b}": f"weight * case when label = 1 then 10.0 else {float(b)} end" for b in BG_WEIGHTS}
+_CW_NAMES = {f"{b}": ("f_qty", f"weight * case when label = 1 then 10.0 else {float(b)} end") for b in BG_WEIGHTS}
 
 
 @query("m10_class_weight_coefficients", oracle=ev_sql(
@@ -222,9 +223,36 @@ def m10_coefficients(spark, sf):
         F.round(F.max(F.when(F.col("feature") == "f_qty", F.col("coefficient"))), 6).alias("f_qty"))
 
 
+ONE_FEATURE = {"qty": "f_qty", "retail": "f_retail", "size": "f_size"}
+
+
+def _one_feature_sql() -> str:
+    """F1 of one-feature fits (3 features × 11 class weights) at 8 thresholds on the test rows."""
+    models = {f"{n}|{b}": (f, f"weight * case when label = 1 then 10.0 else {float(b)} end") for n, f in ONE_FEATURE.items() for b in BG_WEIGHTS}
+    x = "case split_part(model, '|', 1) " + " ".join(f"when '{n}' then {f}" for n, f in ONE_FEATURE.items()) + " end"
+    ths = ", ".join(repr(t) for t in CW_THRESHOLDS)
+    return ev_sql(
+        _f1_sql("feature_set, bg_weight, th"), *TRAIN_CTES, *_newton_sql("t", "0", models),
+        f"te as (select label, weight, {', '.join(ONE_FEATURE.values())} from (select *, {_split_case('rk', 'n', 0.6, 0.2, 0.2)} as split from r) "
+        "where split = 'test')",
+        f"sc as materialized (select model, label, weight, 1 / (1 + exp(-(b0 + b1 * {x}))) as score from te cross join fit)",
+        "cm as (select split_part(model, '|', 1) as feature_set, cast(split_part(model, '|', 2) as double) as bg_weight, th, "
+        "sum(case when label = 0 and not (score > th) then weight else 0.0 end) as w_tn, sum(case when label = 0 and score > th then weight else 0.0 end) as w_fp, "
+        "sum(case when label = 1 and not (score > th) then weight else 0.0 end) as w_fn, sum(case when label = 1 and score > th then weight else 0.0 end) as w_tp "
+        f"from sc cross join (select cast(unnest([{ths}]) as double) as th) group by all)")
+
+
+@query("r6_one_feature_sets_class_weights", oracle=_one_feature_sql())
+def r6_one_feature(spark, sf):
+    """M10 → R6 → E17: 3 one-feature sets × 11 background class weights fitted in one batch (signed weights), F1 at 8
+    thresholds on the test rows."""
+    train, test, _ = _train_test(spark, sf, scaled=False)
+    return round_doubles(R.feature_set_sweep(train, test, {n: [f] for n, f in ONE_FEATURE.items()}, BG_WEIGHTS, CW_THRESHOLDS))
+
+
 @query("m2_weighted_coefficients", oracle=ev_sql(
     "select model as training, round(b0, 6) as constant, round(b1, 6) as f_qty from fit",
-    *TRAIN_CTES, *_newton_sql("t", "0", {"weighted": "weight", "unweighted": "1.0"})))
+    *TRAIN_CTES, *_newton_sql("t", "0", {"weighted": ("f_qty", "weight"), "unweighted": ("f_qty", "1.0")})))
 def m2_coefficients(spark, sf):
     """M2: a one-feature model with and without the weights, fitted in one batch; coefficients."""
     train, _, _ = _train_test(spark, sf, scaled=False)
@@ -236,7 +264,7 @@ def m2_coefficients(spark, sf):
 
 @query("m6_scores_of_a_fit", oracle=ev_sql(
     "select event_key, round(1 / (1 + exp(-(b0 + b1 * f_qty))), 6) as model_score from sr, fit",
-    *TRAIN_CTES, *_newton_sql("t", "0", {"m": "weight"})))
+    *TRAIN_CTES, *_newton_sql("t", "0", {"m": ("f_qty", "weight")})))
 def m6_scores(spark, sf):
     """M1 → M6: every event of the table scored by a fitted one-feature model."""
     train, _, p = _train_test(spark, sf, scaled=False)
@@ -335,8 +363,8 @@ def m4_history(spark, sf):
     return round_doubles(_boosted(spark, sf, 3).history_table(spark).drop("member"))
 
 
-def _attribution_sql(rounds: int = 3, rate: float = 0.3) -> str:
-    """Shapley values of the boosted trees by enumeration of all coalitions, for the test rows."""
+def _attribution_sql(body: str, rounds: int = 3, rate: float = 0.3) -> str:
+    """``body`` over ``phi``, the Shapley values of the boosted trees by enumeration of all coalitions, for the test rows."""
     k = len(FEATURES)
     w = [math.factorial(s) * math.factorial(k - s - 1) / math.factorial(k) for s in range(k)]
     bin_ = [" + ".join(f"case when lo{i} + (hi{i} - lo{i}) * {j} / {float(N_BINS)!r} < {c} then 1 else 0 end" for j in range(1, N_BINS))
@@ -352,19 +380,19 @@ def _attribution_sql(rounds: int = 3, rate: float = 0.3) -> str:
     coef = " ".join(f"when {m} then [" + ", ".join(repr(w[bin(m).count('1') - 1] if m >> f & 1 else -w[bin(m).count('1')]) for f in range(k)) + "]"
                     for m in range(1 << k))
     return ev_sql(
-        "select event_key, case f " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(FEATURES)) + " end as feature, "
-        f"round(sum({rate!r} * e * coef[f + 1]), 6) as attribution "
-        "from val cross join (select unnest(range(5)) as f) group by event_key, f",
+        body,
         *_boost_ctes(rounds),
         f"tt as materialized (select tree, {tree} from nodes group by tree)",
-        "test as materialized (select event_key, " + ", ".join(f"{x} as b{i}" for i, x in enumerate(bin_))
+        "test as materialized (select event_key, f_retail, " + ", ".join(f"{x} as b{i}" for i, x in enumerate(bin_))
         + f" from (select *, {_split_case('rk', 'n', 0.6, 0.2, 0.2)} as split from r) cross join lim where split = 'test')",
         f"two as (select *, {value(2, 'v4', 'v5')} as e2, {value(3, 'v6', 'v7')} as e3 from test cross join tt cross join (select unnest(range({1 << k})) as mask))",
         f"val as materialized (select event_key, mask, e, case mask {coef} end as coef from (select event_key, mask, sum({value(1, 'e2', 'e3')}) as e "
-        "from two group by event_key, mask))")
+        "from two group by event_key, mask))",
+        "phi as (select event_key, case f " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(FEATURES)) + " end as feature, "
+        f"sum({rate!r} * e * coef[f + 1]) as attribution from val cross join (select unnest(range({k})) as f) group by event_key, f)")
 
 
-@query("r7_tree_attributions", oracle=_attribution_sql())
+@query("r7_tree_attributions", oracle=_attribution_sql("select event_key, feature, round(attribution, 6) as attribution from phi"))
 def r7_trees(spark, sf):
     """M3 → R7: exact Shapley values of three boosted trees (margin) for every test row."""
     _, _, p = _train_test(spark, sf, scaled=False)
@@ -373,6 +401,25 @@ def r7_trees(spark, sf):
     return a.select("event_key", "feature", F.round("attribution", 6).alias("attribution"))
 
 
+@query("r8_tree_importance", oracle=_attribution_sql(
+    "select feature, round(avg(abs(attribution)), 6) as mean_abs, row_number() over (order by round(avg(abs(attribution)), 6) desc, feature) as rank "
+    "from phi group by feature"))
+def r8_trees(spark, sf):
+    """M3 → R7 → R8: mean |exact attribution| of every feature over the test rows, ranked."""
+    _, _, p = _train_test(spark, sf, scaled=False)
+    a = tree_attributions(_boosted(spark, sf, 3), p.where(F.col("split") == "test"), "event_key")
+    return R.rank_by(round_doubles(R.global_importance(a).drop("rank")), "mean_abs")
+
+
+@query("r9_tree_dependence", oracle=_attribution_sql(
+    "select f_retail as value, round(attribution, 6) as attribution from phi join test using (event_key) where feature = 'f_retail'"))
+def r9_trees(spark, sf):
+    """M3 → R7 → R9: (value, exact attribution) pairs of one feature over the test rows."""
+    _, _, p = _train_test(spark, sf, scaled=False)
+    a = tree_attributions(_boosted(spark, sf, 3), p.where(F.col("split") == "test"), "event_key")
+    return R.dependence(a, "f_retail").select("value", F.round("attribution", 6).alias("attribution"))
+
+
 @query("m3_gbt_grid_best_auc")
 def m3_gbt_grid(spark, sf):
     """J6 → M3: boosted trees over a grid (boost loss × depth × rate), all on signed weights and grown in the same
@@ -523,6 +570,20 @@ def w1_sizes(spark, sf):
     return d.groupBy("split_id", "part").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("w"))
 
 
+@query("w1_split_axis_coefficients", oracle=ev_sql(
+    "select grp as split_id, round(b0, 6) as constant, round(b1, 6) as f_qty from fit", LABELLED_CTE, SR_CTE, _ranked_cte("sr"),
+    "ws as materialized (" + " union all ".join(
+        f"select {i} as split_id, label, weight, f_qty from (select *, {_split_case('rk', 'n', *sp)} as part from r) where part = 'train'"
+        for i, sp in enumerate(SPLITS)) + ")", *_newton_sql("ws", "split_id", {"m": ("f_qty", "weight")})))
+def w1_coefficients(spark, sf):
+    """One-feature fits on the training rows of six split shares, in one batch on one stored rank."""
+    specs = [B.Spec(str(i), ["f_qty"], rows=X.part_condition(*sp, "train"), tol=1e-10) for i, sp in enumerate(SPLITS)]
+    c = B.fit_many(_ranked_rows(spark, sf), specs).coefficients(spark)
+    return c.groupBy(F.col("model").cast("int").alias("split_id")).agg(
+        F.round(F.max(F.when(F.col("feature").isNull(), F.col("coefficient"))), 6).alias("constant"),
+        F.round(F.max(F.when(F.col("feature") == "f_qty", F.col("coefficient"))), 6).alias("f_qty"))
+
+
 @query("w1_grid_sweep_f1")
 def w1_grid(spark, sf):
     """J6 → W1 → E15: the grid split shares × penalty × class weight × features, 192 models on signed weights fitted

@@ -274,6 +274,14 @@ def _dataset_store(spark, sf):
     return path
 
 
+def _dataset_files(spark, sf):
+    """One small file per dataset, named as in :func:`_dataset_store`: a listing reads no contents."""
+    path = IO.new_store(spark, "dataset-files")
+    names = event_view(spark, sf).select("sample").distinct()
+    names.withColumn("dataset", F.col("sample")).write.partitionBy("dataset").parquet(path)
+    return path
+
+
 def _dataset_of_path():
     return F.regexp_extract(F.col("path"), r"dataset=([^/]+)/", 1)
 
@@ -283,7 +291,7 @@ def _dataset_of_path():
     "when sample = 'data' then 'data' else 'background' end as role from ev"))
 def s3(spark, sf):
     """S3: list the dataset files (contents never read) and give each a role by name."""
-    files = IO.list_files(spark, _dataset_store(spark, sf), "*.parquet")
+    files = IO.list_files(spark, _dataset_files(spark, sf), "*.parquet")
     ds = files.select(_dataset_of_path().alias("dataset")).distinct()
     return ds.withColumn("role", IO.role_of("dataset", "sig2000"))
 
@@ -292,7 +300,7 @@ def s3(spark, sf):
     "select distinct sample as dataset from ev where not contains(sample, 'sig2000') and sample <> 'data'"))
 def j9(spark, sf):
     """Background files = all files − signal files − data files (anti joins)."""
-    files = IO.list_files(spark, _dataset_store(spark, sf), "*.parquet").select(_dataset_of_path().alias("dataset"))
+    files = IO.list_files(spark, _dataset_files(spark, sf), "*.parquet").select(_dataset_of_path().alias("dataset"))
     sig = files.where(F.col("dataset").contains("sig2000"))
     dat = files.where(F.col("dataset") == "data")
     return Sel.difference(Sel.difference(files, sig, ["dataset"]), dat, ["dataset"]).distinct()

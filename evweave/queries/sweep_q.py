@@ -88,6 +88,14 @@ def e15_f1_per_comb(spark, sf):
     return round_doubles(_e15(spark, sf))
 
 
+@query("j6_grid_of_scores", oracle=ev_sql(
+    "select cast(row_number() over (order by comb, th) - 1 as int) as comb_id, comb, th, f1_0, f1_1, f1_wavg from (" + _f1_sql("comb, th") + ")", *_E15_CTES))
+def j6_grid(spark, sf):
+    """The full product of networks and thresholds as a table with its stable comb_id, joined with the scores."""
+    grid = W.param_grid(spark, {"comb": COMBS, "th": sorted(THRESHOLDS)})
+    return round_doubles(grid.join(_e15(spark, sf), ["comb", "th"]))
+
+
 def _e16_sql() -> tuple[str, list[str]]:
     ctes = _scores_ctes(True) + [
         f"cmm as ({_th_cells('csm', 'comb, mass')})",
