@@ -94,32 +94,43 @@ def _secrets_sql() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    def located(name: str, pattern: str, group: int) -> str:
+    def located(name: str, pattern: str, group: int, source: str = "d") -> str:
         """Rows (doc_id, i, start, m, value) of all matches of a pattern."""
         return (f"{name}_h as (select doc_id, regexp_extract_all(t, {quoted(pattern)}) as m, "
                 f"regexp_extract_all(t, {quoted(pattern)}, {group}) as v, string_split_regex(t, {quoted(pattern)}) as p "
-                f"from d where regexp_matches(t, {quoted(pattern)})), "
+                f"from {source} where regexp_matches(t, {quoted(pattern)})), "
                 f"{name}_i as (select *, unnest(range(1, len(m) + 1)) as i from {name}_h), "
                 f"{name}_at as (select doc_id, m[i] as m, v[i] as v, list_sum(list_transform(p[1:i], lambda x: length(x))) + "
                 f"coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as s from {name}_i)")
 
-    ctes = ["d as (select doc_id, coalesce(text, '') as t from documents)"]
+    ctes = ["d as materialized (select doc_id, coalesce(text, '') as t from documents)"]
     ctes += [located(k.name, k.pattern, k.group) for k in secrets.KINDS]
     ctes.append("base as (" + " union all ".join(
         f"select doc_id, {i} as kind, s, s + length(m) as e from {k.name}_at where length(v) >= {k.least}"
         for i, k in enumerate(secrets.KINDS)) + ")")
+    # base matches, kind by kind, and allow-listed words turned to blanks
+    clear = "d"
+    for k in secrets.KINDS:
+        ctes.append(
+            f"{k.name}_b as materialized (select doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || case when i > len(m) then '' "
+            f"when length(v[i]) >= {k.least} then repeat(' ', length(m[i])) else m[i] end), '') as t from (select doc_id, "
+            f"regexp_extract_all(t, {quoted(k.pattern)}) as m, regexp_extract_all(t, {quoted(k.pattern)}, {k.group}) as v, "
+            f"string_split_regex(t, {quoted(k.pattern)}) as p from {clear}))")
+        clear = f"{k.name}_b"
+    words = "t"
+    for word in secrets.ALLOW_WORDS:
+        words = f"regexp_replace({words}, {quoted(secrets.either_case(word))}, '{' ' * len(word)}', 'g')"
+    ctes.append(f"clear as materialized (select doc_id, {words} as t from {clear})")
     w = secrets.WINDOW
     for c in secrets.CLASSES:
         needs = " and ".join(f"regexp_matches(m, {quoted(n)})" for n in c.needs)
-        ctes.append(located(c.name + "_c", c.pattern, 0))
+        ctes.append(located(c.name + "_c", c.pattern, 0, "clear"))
         ctes.append(
-            f"{c.name}_w as (select doc_id, s, m, s + length(m) as e, unnest(range(0, length(m) - {w - 1})) as o from {c.name}_c_at a "
-            f"where {needs} and not regexp_matches(m, {quoted(secrets.ALLOW)}) and not exists (select 1 from base b "
-            "where b.doc_id = a.doc_id and b.s < a.s + length(a.m) and b.e > a.s)), "
-            f"{c.name}_x as (select doc_id, s, o, string_split(substr(m, cast(o + 1 as bigint), {w}), '') as ch from {c.name}_w), "
-            f"{c.name}_e as (select doc_id, s, o from {c.name}_x where log2({w}) - list_sum(list_transform(list_distinct(ch), "
-            f"lambda x: len(list_filter(ch, lambda y: y = x)) * log2(len(list_filter(ch, lambda y: y = x))))) / {w} >= {c.bits}), "
-            f"{c.name}_s as (select doc_id, s + min(o) as s, s + max(o) + {w} as e from {c.name}_e group by doc_id, s)")
+            f"{c.name}_w as (select doc_id, s, m, unnest(range(0, length(m) - {w - 1})) as o from {c.name}_c_at "
+            f"where {needs} and not regexp_matches(m, {quoted(secrets.ALLOW_WHOLE)})), "
+            f"{c.name}_x as (select doc_id, s, length(m) as n, string_split(substr(m, cast(o + 1 as bigint), {w}), '') as ch from {c.name}_w), "
+            f"{c.name}_s as (select distinct doc_id, s, s + n as e from {c.name}_x where log2({w}) - list_sum(list_transform(list_distinct(ch), "
+            f"lambda x: len(list_filter(ch, lambda y: y = x)) * log2(len(list_filter(ch, lambda y: y = x))))) / {w} >= {c.bits})")
     ctes.append("extra as (" + " union ".join(f"select doc_id, {len(secrets.KINDS)} as kind, s, e from {c.name}_s"
                                               for c in secrets.CLASSES) + ")")
     names = "case kind " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(secrets.kind_names())) + " end"

@@ -2,16 +2,20 @@
 
 Base kinds are regular expressions with code-point spans: the pieces between
 matches (``split``) and the matches (``regexp_extract_all``) give every start as
-a running length. The method adds ``entropy`` spans: candidate strings of one
-character class are walked with a window whose Shannon entropy is kept by
-incremental counts (one character leaves, one enters); the span reaches from the
-first to the last window over the class's threshold. Candidates on the
-allow-list or touching a base span add nothing.
+a running length. The method adds ``entropy`` spans. The characters of base spans (kind
+by kind, in order) and of allow-listed words are blanked, position by position; what
+is left of a run of one character class is a candidate. It is walked with a window
+whose Shannon entropy is kept by incremental counts: the counts of all characters
+of the class stand in a few packed numbers, one goes down, one up, and the
+entropy's sum moves by two table values. A candidate with a hot window is a span as
+a whole, so redaction leaves nothing of it. A word or a base span inside a run
+therefore hides nothing beside it.
 """
 
 from __future__ import annotations
 
 import math
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,24 +45,34 @@ KINDS = [
 
 @dataclass(frozen=True)
 class CharClass:
-    """Candidates are runs of ``pattern`` that hold a match of every ``needs``;
-    a window is hot from ``bits`` of entropy on."""
+    """Candidates are runs of ``pattern`` (of the characters ``letters``) that hold a
+    match of every ``needs``; a window is hot from ``bits`` of entropy on."""
 
     name: str
     pattern: str
     needs: tuple[str, ...]
     bits: float
+    letters: str
 
 
 WINDOW = 24
 CLASSES = [
-    CharClass("hex", r"[0-9A-Fa-f]{24,}", (r"[0-9]", r"[A-Fa-f]"), 3.1),
-    CharClass("base64", r"[A-Za-z0-9+/_=-]{24,}", (r"[0-9]", r"[a-z]", r"[A-Z]"), 3.95),
+    CharClass("hex", r"[0-9A-Fa-f]{24,}", (r"[0-9]", r"[A-Fa-f]"), 3.1, "0123456789ABCDEFabcdef"),
+    CharClass("base64", r"[A-Za-z0-9+/_=-]{24,}", (r"[0-9]", r"[a-z]", r"[A-Z]"), 3.95,
+              string.ascii_letters + string.digits + "+/_=-"),
 ]
-#: Strings that look random and are not secrets: identifiers in UUID form, digests
-#: named as such, counting alphabets, placeholders.
-ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^sha(1|256|384|512)-"
-         r"|0123456789|abcdefghijklm|example|placeholder|changeme|dummy|xxxxxx")
+PIECE = 1 << 15  # characters of a candidate that are walked at once
+SLOTS, BITS = 12, 5  # counts (at most WINDOW) in one packed number
+#: Candidates that look random and are not secrets: identifiers in UUID form, digests named as such.
+ALLOW_WHOLE = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^[Ss][Hh][Aa](1|256|384|512)-"
+#: Words that are no part of a secret, in either case: counting alphabets, placeholders.
+ALLOW_WORDS = ("0123456789", "abcdefghijklm", "example", "placeholder", "changeme", "dummy", "xxxxxx")
+
+
+def either_case(word: str) -> str:
+    """The pattern of a word in either case (spelt out: engines fold letters differently)."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -111,56 +125,76 @@ def base_spans(text: Column, index: int, kind: Kind) -> Column:
     return F.when(text.rlike(kind.pattern), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def hot_range(s: Column, bits: float, window: int = WINDOW) -> Column:
-    """``struct<first, last>``: the first and last window start (from 0) whose
-    entropy reaches ``bits``; null members without one.
-
-    With f(c) = c log2 c, a window's entropy is log2 W - S / W for the sum S of f
-    over its character counts, so S moves by two differences of f per step."""
-    f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    most = window * (math.log2(window) - bits)
-    return _once(F.split(s, ""), lambda chars: _walk(chars, f, most, window))
-
+def blanked(text: Column) -> Column:
+    """``text`` with the characters of base matches and of allow-listed words turned to blanks, so places stay."""
+    for kind in KINDS:
+        p = F.lit(kind.pattern)
+        whole = F.regexp_extract_all(text, p, F.lit(0))
+        value = F.regexp_extract_all(text, p, F.lit(kind.group))
+        mask = F.zip_with(whole, value, lambda m, v: F.when(F.length(v) >= kind.least, F.repeat(F.lit(" "), F.length(m))).otherwise(m))
+        pieces = F.zip_with(F.split(text, kind.pattern, -1), mask, lambda a, m: F.concat(a, F.coalesce(m, F.lit(""))))
+        text = F.when(text.rlike(kind.pattern), F.array_join(pieces, "")).otherwise(text)
+    for word in ALLOW_WORDS:
+        text = F.regexp_replace(text, either_case(word), " " * len(word))
+    return text
 
-def _walk(chars: Column, f: Column, most: float, window: int) -> Column:
 
-    def count(start, size: int, c) -> Column:
-        return F.size(F.filter(F.slice(chars, start, F.lit(size)), lambda y: y == c))
+def has_hot_window(s: Column, cls: CharClass, window: int = WINDOW) -> Column:
+    """Whether some window of ``s``, a string of the class's characters, has the class's entropy.
 
-    head = F.slice(chars, F.lit(1), F.lit(window))
-    s0 = F.aggregate(F.array_distinct(head), F.lit(0.0),
-                     lambda a, c: a + F.get(f, F.size(F.filter(head, lambda y: y == c))))
-    none = F.lit(None).cast("int")
-    start = F.struct(s0.alias("s"), F.when(s0 <= most, 0).otherwise(none).alias("first"),
-                     F.when(s0 <= most, 0).otherwise(none).alias("last"))
+    With f(c) = c log2 c, a window's entropy is log2 W - S / W for the sum S of f over its character counts, so
+    S moves by one difference of f when a character leaves and one when a character enters. Long strings are
+    walked in pieces that share ``window - 1`` characters, until one is hot."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(s) - window, F.lit(0)) / PIECE).cast("int"))
+    pieces = F.transform(starts, lambda i: F.substring(s, i * PIECE + 1, F.lit(PIECE + window - 1)))
+    return F.exists(pieces, lambda p: _walk(p, cls, window))
 
-    def step(st: Column, i: Column) -> Column:  # the window moves from i - 1 to i
-        out, new = F.get(chars, i - 1), F.get(chars, i + window - 1)
-        a, b = count(i, window, out), count(i + 1, window - 1, new)
-        total = st["s"] - F.get(f, a) + F.get(f, a - 1) - F.get(f, b) + F.get(f, b + 1)
-        hot = total <= most
-        return F.struct(total.alias("s"), F.when(hot & st["first"].isNull(), i).otherwise(st["first"]).alias("first"),
-                        F.when(hot, i).otherwise(st["last"]).alias("last"))
 
-    last = F.size(chars) - window
-    moves = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(moves, start, step, lambda st: F.struct(st["first"].alias("first"), st["last"].alias("last")))
-
-
-def entropy_spans(text: Column, index: int, cls: CharClass, base: Column) -> Column:
+def _walk(piece: Column, cls: CharClass, window: int) -> Column:
+    numbers = -(-len(cls.letters) // SLOTS)
+    f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
+    most = window * (math.log2(window) - cls.bits)
+    place = F.array(*[F.lit(cls.letters.find(chr(i))) for i in range(128)])
+    none = F.struct(F.lit(0.0).alias("s"), *[F.lit(0).cast("long").alias(f"n{j}") for j in range(numbers)], F.lit(False).alias("hot"))
+
+    def moved(codes: Column) -> Column:
+        def step(st: Column, t: Column) -> Column:
+            # even steps: the character that leaves (from the second window on); odd ones: the one that enters
+            enters = t % 2 == 1
+            i = F.floor(t / 2).cast("int")
+            code = F.get(codes, F.when(enters, i).otherwise(i - window))
+            return F.get(F.transform(F.array(F.struct(code.alias("c"), enters.alias("e"), i.alias("i"))), lambda x: counted(st, x)), F.lit(0))
+
+        def counted(st: Column, x: Column) -> Column:
+            number, shift = F.floor(x["c"] / SLOTS).cast("int"), (x["c"] % SLOTS * BITS).cast("int")
+            held = st["n0"]
+            for j in range(1, numbers):
+                held = F.when(number == j, st[f"n{j}"]).otherwise(held)
+            count = F.call_function("shiftright", held, shift).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+            sign = F.when(x["e"], 1).otherwise(-1)
+            total = st["s"] - F.get(f, count) + F.get(f, count + sign)
+            unit = F.call_function("shiftleft", sign.cast("long"), shift)
+            kept = [F.when(number == j, st[f"n{j}"] + unit).otherwise(st[f"n{j}"]).alias(f"n{j}") for j in range(numbers)]
+            after = F.struct(total.alias("s"), *kept, (st["hot"] | (x["e"] & (x["i"] >= window - 1) & (total <= most))).alias("hot"))
+            return F.when(x["c"].isNull() | st["hot"], st).otherwise(after)
+
+        return F.aggregate(F.sequence(F.lit(0), 2 * F.size(codes) - 1), none, step, lambda st: st["hot"])
+
+    return _once(F.transform(F.split(piece, ""), lambda c: F.get(place, F.ascii(c))), moved)
+
+
+def entropy_spans(clear: Column, index: int, cls: CharClass) -> Column:
+    """The hot candidates of a class in a blanked text."""
     def wanted(z: Column) -> Column:
-        ok = ~z["m"].rlike(ALLOW)
+        ok = ~z["m"].rlike(ALLOW_WHOLE)
         for need in cls.needs:
             ok = ok & z["m"].rlike(need)
-        clear = ~F.exists(base, lambda b: (b["start"] < z["start"] + F.length(z["m"])) & (b["end"] > z["start"]))
-        return ok & clear
+        return ok
 
-    walked = F.transform(F.filter(_located(text, cls.pattern), wanted),
-                         lambda z: F.struct(z["start"].alias("at"), hot_range(z["m"], cls.bits).alias("r")))
-    spans = F.transform(F.filter(walked, lambda z: z["r"]["first"].isNotNull()), lambda z: F.struct(
-        (z["at"] + z["r"]["first"]).alias("start"), F.lit(index).alias("kind"),
-        (z["at"] + z["r"]["last"] + WINDOW).alias("end")))
-    return F.when(text.rlike(cls.pattern), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    hot = F.filter(F.filter(_located(clear, cls.pattern), wanted), lambda z: has_hot_window(z["m"], cls))
+    spans = F.transform(hot, lambda z: F.struct(z["start"].alias("start"), F.lit(index).alias("kind"),
+                                                (z["start"] + F.length(z["m"])).alias("end")))
+    return F.when(clear.rlike(cls.pattern), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def kind_names() -> list[str]:
@@ -175,8 +209,17 @@ def with_spans(docs: DataFrame, text_col: str = "text", base_col: str = "base_sp
     columns of the two names are replaced, all others stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumn(base_col, F.array_sort(F.concat(*[base_spans(text, i, k) for i, k in enumerate(KINDS)])))
-    extra = F.array_distinct(F.concat(*[entropy_spans(text, len(KINDS), c, F.col(base_col)) for c in CLASSES]))
-    return d.withColumn(span_col, F.array_sort(F.concat(F.col(base_col), extra)))
+    clear = _free(d, "blanked")
+    d = d.withColumn(clear, blanked(text))
+    extra = F.array_distinct(F.concat(*[entropy_spans(F.col(clear), len(KINDS), c) for c in CLASSES]))
+    return d.withColumn(span_col, F.array_sort(F.concat(F.col(base_col), extra))).drop(clear)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
 
 
 def spans_text(spans: Column) -> Column:
