@@ -37,7 +37,7 @@ ROUNDS = 600    # pricing rounds of the linear program
 PER_ROUND = 32  # configurations read from one pricing table
 STEP = 0.1      # share of a length's uncovered pieces that one configuration may take
 RATE = 1.0      # how fast covered lengths get cheaper
-SHARES = (0.25, 0.5, 0.75, 0.9, 1.0)  # of the fractional solution that rounding tries to keep
+SHARES = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)  # of the fractional solution that rounding tries to keep (0: best fit alone)
 
 
 # --- the program on the length histogram (driver, bounded by cap) -----------------------
