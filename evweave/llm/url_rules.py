@@ -116,7 +116,8 @@ def judge_urls(urls: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "pa
             out = []
             for url, host, path in zip(b["url"], b["host"], b["path"]):
                 url = url or ""
-                text = f"{host}\n{path}\n{url}"
+                mark = host.replace("\n", "\r")  # the line feed ends the host in the searched text
+                text = f"{mark}\n{path}\n{url}"
                 fetched = {i for t in set(find(url.lower())) for i in index.get(t, ())}
                 won = [i for i in (*fetched, *always) if compiled[i].search(text)]
                 listed = min((i for i in won if rules[i].listed), key=order.__getitem__, default=None)

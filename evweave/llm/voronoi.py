@@ -50,13 +50,16 @@ def top_inner_products(df: DataFrame, k: int = 10, every: int = 100, scale: int
     Rows with a null id, or a vector that is null or holds null or non-finite
     components, take no part. Shorter vectors (also empty ones) count as padded
     with zeros. A (query, row) pair of repeated ids counts once, with its best
-    score. An empty table or one without queries gives no rows. Scores are exact
-    while sums stay within 64 bits. Other columns are ignored."""
+    score. An empty table or one without queries gives no rows. Scores are exact;
+    components whose products might not fit 64 bits raise. Other columns are ignored."""
     spark = df.sparkSession
     ints = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = usable(df, id_col, vec_col, ints)
-    top = rows.agg(F.max(F.size("v")).alias("d"), F.count("*").alias("n")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    top = rows.agg(F.max(F.size("v")).alias("d"), F.count("*").alias("n"), F.max(square).alias("m")).first()
     dim, n = top["d"] or 0, top["n"]
+    if (top["m"] or 0.0) >= 2.0 ** 63:  # no sum of products is larger than the largest square
+        raise ValueError("inner products of these vectors may not fit 64 bits")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n:
         return empty

@@ -60,7 +60,8 @@ def test_word_hashes_tell_words_apart():
 URLS = [None, "", "no scheme", "http://", "http://EXAMPLE.net/en/a?x#y", "https://a.b.example.net/en", "http://example.net/de/1",
         "http://x.org/fr/1", "http://x.org/fr", "http://example.com/de/q", "http://example.com/DE/q", "http://net/", "http://net",
         "http://notnet/", "http://foo.internet/x", "ftp://A.Net/en/?q#f", "http://spam-farm.example.org/x",
-        "http://www.casino.com/", "http://mycasino.com/", "http://example.net#/en/", "x://example.net:80/en/", "http://a?b://net/"]
+        "http://www.casino.com/", "http://mycasino.com/", "http://example.net#/en/", "x://example.net:80/en/", "http://a?b://net/",
+        "x://spam\n.com/", "x://spam\n/", "x://a\nb.net/", "x://org\n/fr/", "x://b.spam/\n"]
 
 
 def brute_url(url):

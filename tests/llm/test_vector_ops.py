@@ -69,6 +69,12 @@ def test_large_integers_stay_exact(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute_inner(rows, 5, 100)
 
 
+def test_products_beyond_64_bits_are_refused(spark):
+    for big in (1e30, 3e6):
+        with pytest.raises(ValueError):
+            voronoi.top_inner_products(vectors(spark, [(0, [big, 0.0]), (1, [1.0, 2.0])])).collect()
+
+
 def brute_cosine(rows, k, every):
     good = sorted(x for x in usable(rows) if any(x[1]))
     dim = max(len(v) for _, v in good)
