@@ -17,9 +17,10 @@ that opens a tree also adds up the losses of the training and the validation row
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -349,6 +350,19 @@ class TreeEnsemble:
         return spark.createDataFrame(self.node_rows(), "member int, tree int, node long, feature string, cut double, gain double, "
                                                        "value double, n_rows long, sum_w double")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The model as four small tables in ``path``: members, edges, nodes and history."""
+        members = [(j, json.dumps(asdict(m)), self.start[j], self.vote, len(self.trees[j])) for j, m in enumerate(self.specs)]
+        spark.createDataFrame(members, "member int, spec string, start double, vote boolean, n_trees int").write.mode("overwrite").parquet(f"{path}/members")
+        spark.createDataFrame([(i, f, [float(e) for e in self.edges[f]]) for i, f in enumerate(self.features)],
+                              "place int, feature string, edges array<double>").write.mode("overwrite").parquet(f"{path}/edges")
+        rows = [(j, t, v, int(tree.feature[v]), int(tree.cut[v]), float(tree.value[v]), float(tree.gain[v]), int(tree.rows[v]), float(tree.weight[v]))
+                for j, trees in enumerate(self.trees) for t, tree in enumerate(trees) for v in range(1, len(tree.feature))
+                if v == 1 or tree.feature[v // 2] >= 0]
+        spark.createDataFrame(rows, "member int, tree int, node int, feature int, cut long, value double, gain double, n_rows long, sum_w double"
+                              ).write.mode("overwrite").parquet(f"{path}/nodes")
+        self.history_table(spark).write.mode("overwrite").parquet(f"{path}/history")
+
     def importances(self) -> np.ndarray:
         """Per member the share of each feature in the summed gains."""
         out = np.zeros((len(self.specs), len(self.features)))
@@ -443,6 +457,23 @@ def fit_trees(df: DataFrame, features: Sequence[str], members: Sequence[Member],
     return model
 
 
+def load_trees(spark: SparkSession, path: str) -> TreeEnsemble:
+    """The ensemble that :meth:`TreeEnsemble.save` wrote to ``path``."""
+    edges = spark.read.parquet(f"{path}/edges").orderBy("place").collect()
+    members = spark.read.parquet(f"{path}/members").orderBy("member").collect()
+    specs = [Member(**json.loads(m["spec"])) for m in members]
+    model = TreeEnsemble([e["feature"] for e in edges], {e["feature"]: list(e["edges"]) for e in edges}, specs,
+                         [m["start"] for m in members], bool(members and members[0]["vote"]))
+    model.trees = [[Tree(specs[j].depth) for _ in range(m["n_trees"])] for j, m in enumerate(members)]
+    for r in spark.read.parquet(f"{path}/nodes").toLocalIterator():
+        tree, v = model.trees[r["member"]][r["tree"]], r["node"]
+        tree.feature[v], tree.cut[v], tree.value[v] = r["feature"], r["cut"], r["value"]
+        tree.gain[v], tree.rows[v], tree.weight[v] = r["gain"], r["n_rows"], r["sum_w"]
+    for r in spark.read.parquet(f"{path}/history").orderBy("member", "iteration").collect():
+        model.history[r["member"]].append((r["iteration"], r["loss"], r["val_loss"]))
+    return model
+
+
 def fit_signed_trees(df: DataFrame, features: Sequence[str], kind: str, label: str = "label", weight: str | None = "weight",
                      maxIter: int = 20, maxDepth: int = 5, stepSize: float = 0.1, numTrees: int = 20, seed: int = 42, n_bins: int = 64,
                      key_cols: Sequence[str] = ("event_key",)) -> TreeEnsemble:

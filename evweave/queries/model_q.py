@@ -476,6 +476,20 @@ def s13_reload(spark, sf):
     return d.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("first").eqNullSafe(F.col("second"))).alias("n_differ"))
 
 
+@query("s13_signed_trees_reload", oracle=ev_sql(
+    "select count(*) as n_rows, cast(0 as bigint) as n_differ, cast(4 as bigint) as n_history from sr", LABELLED_CTE, SR_CTE))
+def s13_trees(spark, sf):
+    """Boosted trees on signed weights, written as tables and read back, score every row alike and keep their history."""
+    _, _, p = _train_test(spark, sf, scaled=False)
+    model = _boosted(spark, sf, 3)
+    path = IO.new_store(spark, "trees")
+    model.save(spark, path)
+    back = TR.load_trees(spark, path)
+    d = MD.score(back, MD.score(model, p, "first"), "second")
+    return d.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("first").eqNullSafe(F.col("second"))).alias("n_differ")).withColumn(
+        "n_history", F.lit(len(back.history[0])).cast("long"))
+
+
 @query("m10_e17_class_weight_sweep")
 def m10_class_weights(spark, sf):
     """M10 → E17: F1 per (background class weight, threshold): 11 models in one batch, 8 thresholds."""

@@ -209,6 +209,16 @@ def test_signed_classifier_kinds(spark, data):
         TR.fit_trees(data, FEATS, [TR.Member(bootstrap=True)])
 
 
+def test_saved_trees_are_the_same_trees(spark, data, rows):
+    from evweave.sources.io import new_store
+    model = TR.fit_trees(data, FEATS, BOOSTED, validation=F.col("val"), edges=edges_of(rows))
+    path = new_store(spark, "trees-test")
+    model.save(spark, path)
+    back = TR.load_trees(spark, path)
+    assert back.node_rows() == model.node_rows() and back.history == model.history
+    assert back.specs == model.specs and back.edges == model.edges and back.start == model.start
+
+
 def test_trees_of_nothing(spark, data):
     m = TR.fit_trees(data.limit(0), FEATS, [TR.Member(rounds=2)])
     assert m.node_rows() and all(r[3] is None and r[6] == 0.0 for r in m.node_rows())
