@@ -86,22 +86,59 @@ def materialize(df, *partition_by: str):
     of it), and later scans keep column pruning, pushed filters and, with
     ``partition_by``, partition pruning. ``release`` deletes the files."""
     path = scratch_path(df.sparkSession, f"stored-{uuid.uuid4().hex}")
+    if _SCRATCHES:
+        _SCRATCHES[-1].paths.append(path)
     w = df.write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
 def release(*tables) -> None:
     """Delete the files of tables made by :func:`materialize` (nothing else: the
     folder must be a ``stored-*`` folder of the shared checkpoint folder)."""
     for df in tables:
-        spark = df.sparkSession
-        sc = _context(spark)
-        if sc is None:
-            continue
-        base = ensure_checkpoint_dir(spark).rstrip("/").split("://")[-1].split("file:")[-1]
-        for folder in {f.rsplit("/stored-", 1)[0] + "/stored-" + f.rsplit("/stored-", 1)[1].split("/")[0]
-                       for f in df.inputFiles() if "/stored-" in f}:
-            if base.lstrip("/") in folder:
-                hpath = sc._jvm.org.apache.hadoop.fs.Path(folder)
-                hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
+        folders = {f.rsplit("/stored-", 1)[0] + "/stored-" + f.rsplit("/stored-", 1)[1].split("/")[0]
+                   for f in df.inputFiles() if "/stored-" in f}
+        for folder in folders:
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = _context(spark)
+    base = ensure_checkpoint_dir(spark).rstrip("/").split("://")[-1].split("file:")[-1]
+    if sc is not None and "/stored-" in folder and base.lstrip("/") in folder:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SCRATCHES: list = []
+
+
+class scratch:
+    """``with scratch(spark) as s``: every table that the library stores inside the block is deleted at its
+    end, but for those given to ``s.keep``. For jobs whose result is written, or stored
+    and kept, before the block ends; a lazy result that still reads a deleted table fails."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def keep(self, df):
+        """Leave the stored tables that ``df`` reads alone; returns ``df``."""
+        self.kept += [*df.inputFiles(), f"{getattr(df, '_stored_at', '')}/"]
+        return df
+
+    def __enter__(self):
+        _SCRATCHES.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _SCRATCHES.remove(self)
+        for path in self.paths:
+            name = path.rsplit("/", 1)[1]
+            if any(f"/{name}/" in f for f in self.kept):
+                if _SCRATCHES:  # an outer block may still delete it
+                    _SCRATCHES[-1].paths.append(path)
+            else:
+                _delete(self.spark, path)

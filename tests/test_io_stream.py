@@ -2,6 +2,7 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from evweave.operators import metrics as M
@@ -94,3 +95,30 @@ def test_half_written_stores_are_not_read(spark, tmp_path):
     (tmp_path / "sweep" / "part-comb_id=0" / "_SUCCESS").unlink()
     assert W.run_sweep(spark, grid, run, sw).count() == 6
     assert calls == [0, 1, 0, 2]
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    from evweave.session import materialize, release, scratch
+
+    def there(df_files):
+        return all(os.path.exists(f.replace("file://", "").replace("file:", "")) for f in df_files)
+
+    before = materialize(spark.range(5))
+    with scratch(spark) as s:
+        a = materialize(spark.range(10))
+        with scratch(spark) as inner:
+            b = materialize(spark.range(20))
+            c = inner.keep(materialize(spark.range(30)))
+        assert not there(b.inputFiles()) and there(c.inputFiles())
+        kept = s.keep(materialize(a.unionByName(c)))
+    assert kept.count() == 40 and there(kept.inputFiles()) and there(before.inputFiles())
+    assert not there(a.inputFiles()) and not there(c.inputFiles())
+    with pytest.raises(ZeroDivisionError):
+        with scratch(spark):
+            d = materialize(spark.range(3))
+            1 / 0
+    assert not there(d.inputFiles())
+    release(before, kept)
+    assert not there(before.inputFiles())
