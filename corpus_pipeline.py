@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evweave.llm import stages
-from evweave.session import materialize
+from evweave.session import materialize, release, scratch
 
 STAGES = [
     ("quality_classifier", stages.quality),
@@ -27,8 +27,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents that pass all stages."""
+    """The packed pieces of the documents that pass all stages. A stage's own tables go
+    when its result is stored, that result when the next stage's is."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark) as tables:
+            kept = tables.keep(materialize(stage(spark, docs, sf_dir)))
+        release(docs)
+        docs = kept
     return docs
