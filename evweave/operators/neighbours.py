@@ -1,6 +1,7 @@
 """Exact k nearest neighbours over distinct points, any number of features.
 
-Points are put into the Voronoi cells of at most ``MAX_PIVOTS`` pivots. For a
+Points are put into the Voronoi cells of √n pivots (their number is bounded by what a
+task can hold: ``MAX_PIVOTS``, reached at 4 billion distinct points). For a
 query at distance d from pivot p and a bound t on its k-th distance, a point of
 p's cell at distance r from p can only be among the neighbours if |d - r| <= t.
 The bound comes from counts: pivots are points, and every point of a cell lies
@@ -25,7 +26,8 @@ from ..plans.small import join_checked
 from ..plans.threshold import first_by_hash
 from ..session import materialize
 
-MAX_PIVOTS = 512
+MAX_PIVOTS = 1 << 16
+AT_ONCE = 1 << 22  # distances to pivots that a task holds at once
 GROUP_ROWS = 2048
 BLOCK_ROWS = 16384
 
@@ -45,6 +47,14 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose distances to ``m`` pivots fit ``AT_ONCE``."""
+    rows = max(1, AT_ONCE // max(1, m))
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def nearest_points(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool,
                    extra: Sequence[str] = ()) -> DataFrame:
     """``c, nc, dist, take, extra...``: the nearest points of each query point.
@@ -70,13 +80,11 @@ def nearest_points(queries: DataFrame, ref: DataFrame, k: int, exclude_self: boo
     piv, piv_n = _matrix(picked.column("c"), d), picked.column("mult").to_numpy()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column(0), d)
-            if len(x):
-                dist = _distances(x, piv)
-                cell = dist.argmin(1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(dist[np.arange(len(x)), cell])],
-                                                 names=[*b.schema.names, "cell", "r"])
+        for b in _slices(batches, len(piv)):
+            dist = _distances(_matrix(b.column(0), d), piv)
+            cell = dist.argmin(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(dist[np.arange(len(cell)), cell])],
+                                             names=[*b.schema.names, "cell", "r"])
 
     def placed(df: DataFrame) -> DataFrame:
         return materialize(df.mapInArrow(place, T.StructType(df.schema.fields + [
@@ -108,9 +116,7 @@ def nearest_points(queries: DataFrame, ref: DataFrame, k: int, exclude_self: boo
         (F.col("first") + F.pmod(F.xxhash64("c"), F.col("parts"))).cast("int").alias("grp"), "c"))
 
     def rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches, len(piv)):
             dist = _distances(_matrix(b.column(1), d), piv)
             # two bounds on the k-th distance: by pivots alone, and by whole cells
             best = np.full(len(dist), np.inf)
@@ -125,13 +131,14 @@ def nearest_points(queries: DataFrame, ref: DataFrame, k: int, exclude_self: boo
             grp = b.column(0).to_numpy()
             for i in np.unique(grp):
                 w = grp == i
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(piv), i, np.int32)), pa.array(np.arange(len(piv), dtype=np.int32)),
-                     pa.array(lo[w].min(0)), pa.array(hi[w].max(0))], names=["grp", "cell", "lo", "hi"])
+                least, most = lo[w].min(0), hi[w].max(0)
+                met = np.flatnonzero(least <= far)  # the other cells hold nothing for these queries
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), i, np.int32)), pa.array(met.astype(np.int32)),
+                                                  pa.array(least[met]), pa.array(most[met])], names=["grp", "cell", "lo", "hi"])
 
     pairs = grouped.mapInArrow(rings, "grp int, cell int, lo double, hi double").groupBy("grp", "cell").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = materialize(pairs.where(F.col("lo") <= F.element_at(F.array(*[F.lit(float(x)) for x in far]), F.col("cell") + 1)))
+    pairs = materialize(pairs)
     sent = join_checked(at, pairs, ["cell"]).where((F.col("r") >= F.col("lo")) & (F.col("r") <= F.col("hi")))
     blocks = materialize(sent.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     data = join_checked(sent, blocks, ["grp"]).select(
