@@ -61,6 +61,7 @@ CLASSES = [
     CharClass("base64", r"[A-Za-z0-9+/_=-]{24,}", (r"[0-9]", r"[a-z]", r"[A-Z]"), 3.95,
               string.ascii_letters + string.digits + "+/_=-"),
 ]
+RUN = r"[A-Za-z0-9+/_=-]{24}"  # in every candidate of every class
 PIECE = 1 << 15  # characters of a candidate that are walked at once
 SLOTS, BITS = 12, 5  # counts (at most WINDOW) in one packed number
 #: Candidates that look random and are not secrets: identifiers in UUID form, digests named as such.
@@ -125,15 +126,18 @@ def base_spans(text: Column, index: int, kind: Kind) -> Column:
     return F.when(text.rlike(kind.pattern), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def blanked(text: Column) -> Column:
-    """``text`` with the characters of base matches and of allow-listed words turned to blanks, so places stay."""
-    for kind in KINDS:
-        p = F.lit(kind.pattern)
-        whole = F.regexp_extract_all(text, p, F.lit(0))
-        value = F.regexp_extract_all(text, p, F.lit(kind.group))
-        mask = F.zip_with(whole, value, lambda m, v: F.when(F.length(v) >= kind.least, F.repeat(F.lit(" "), F.length(m))).otherwise(m))
-        pieces = F.zip_with(F.split(text, kind.pattern, -1), mask, lambda a, m: F.concat(a, F.coalesce(m, F.lit(""))))
-        text = F.when(text.rlike(kind.pattern), F.array_join(pieces, "")).otherwise(text)
+def blank_base(text: Column, kind: Kind) -> Column:
+    """``text`` with the characters of a kind's base matches turned to blanks, so places stay."""
+    p = F.lit(kind.pattern)
+    whole = F.regexp_extract_all(text, p, F.lit(0))
+    value = F.regexp_extract_all(text, p, F.lit(kind.group))
+    mask = F.zip_with(whole, value, lambda m, v: F.when(F.length(v) >= kind.least, F.repeat(F.lit(" "), F.length(m))).otherwise(m))
+    pieces = F.zip_with(F.split(text, kind.pattern, -1), mask, lambda a, m: F.concat(a, F.coalesce(m, F.lit(""))))
+    return F.when(text.rlike(kind.pattern), F.array_join(pieces, "")).otherwise(text)
+
+
+def blank_words(text: Column) -> Column:
+    """``text`` with the characters of allow-listed words turned to blanks."""
     for word in ALLOW_WORDS:
         text = F.regexp_replace(text, either_case(word), " " * len(word))
     return text
@@ -210,7 +214,11 @@ def with_spans(docs: DataFrame, text_col: str = "text", base_col: str = "base_sp
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumn(base_col, F.array_sort(F.concat(*[base_spans(text, i, k) for i, k in enumerate(KINDS)])))
     clear = _free(d, "blanked")
-    d = d.withColumn(clear, blanked(text))
+    # a text without a run of a candidate's length has no candidates: nothing of it is read again
+    d = d.withColumn(clear, F.when(text.rlike(RUN), text).otherwise(""))
+    for kind in KINDS:  # a column a step: a nested expression would be evaluated again wherever it occurs
+        d = d.withColumn(clear, blank_base(F.col(clear), kind))
+    d = d.withColumn(clear, blank_words(F.col(clear)))
     extra = F.array_distinct(F.concat(*[entropy_spans(F.col(clear), len(KINDS), c) for c in CLASSES]))
     return d.withColumn(span_col, F.array_sort(F.concat(F.col(base_col), extra))).drop(clear)
 
