@@ -123,7 +123,7 @@ BG_WEIGHTS = range(10, 21)          # background class weights, signal 10
 CW_THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 
 
-@query("r6_feature_sets_class_weights")
+@query("r6_feature_sets_class_weights", headline=True)
 def r6_sweep(spark, sf):
     """R6 in full: 4 feature sets × 11 class weights = 44 models in one batch, F1 at 8 thresholds each."""
     train, test, _ = _train_test(spark, sf)
@@ -392,7 +392,7 @@ def _attribution_sql(body: str, rounds: int = 3, rate: float = 0.3) -> str:
         f"sum({rate!r} * e * coef[f + 1]) as attribution from val cross join (select unnest(range({k})) as f) group by event_key, f)")
 
 
-@query("r7_tree_attributions", oracle=_attribution_sql("select event_key, feature, round(attribution, 6) as attribution from phi"))
+@query("r7_tree_attributions", headline=True, oracle=_attribution_sql("select event_key, feature, round(attribution, 6) as attribution from phi"))
 def r7_trees(spark, sf):
     """M3 → R7: exact Shapley values of three boosted trees (margin) for every test row."""
     _, _, p = _train_test(spark, sf, scaled=False)
