@@ -317,14 +317,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         root_of.withColumnsRenamed({"x": "b", "root": "rb"}), "b", "left").select(
         F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     second = connected_components(up).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    tops = nodes.join(first.withColumnRenamed("node", "key"), "key", "left").select(
+    tops = materialize(nodes.join(first.withColumnRenamed("node", "key"), "key", "left").select(
         "key", F.coalesce("root", "key").alias("root")).join(second, "root", "left").select(
-        "key", F.coalesce("top", "root").alias("top"))
-    smallest = classes.join(tops, "key").groupBy("top").agg(F.min("rep").alias("component"))
+        "key", F.coalesce("top", "root").alias("top")))
+    # stored, so that the join below has a shuffle of its own, which is split where one group is large
+    smallest = materialize(classes.join(tops, "key").groupBy("top").agg(F.min("rep").alias("component")))
     linked = tops.join(smallest, "top").select("key", "component", "top")
     labels = materialize(classes.join(linked, "key", "left").select(
         "key", F.coalesce("component", "rep").alias("component"), F.coalesce("top", "key").alias("top")))
-    release(star, cross, rooted, open_, sets, members)
+    release(star, cross, rooted, open_, sets, members, tops, smallest)
     out = sig.join(labels, "key", "left").select("id", "n", "key", F.when(
         F.col("id").isNull(), F.lit(None)).when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"),
         F.when(F.col("id").isNotNull(), F.col("top")).alias("top"))
