@@ -202,6 +202,7 @@ def test_knn_with_fourteen_features_and_lone_points(spark, monkeypatch):
     from evweave.operators import neighbours
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
     monkeypatch.setattr(neighbours, "GROUP_ROWS", 50)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 100)  # slices of a few rows
     rng = random.Random(3)
     spot = [tuple(rng.gauss(0, 1e-3) for _ in range(14)) for _ in range(300)]
     lone = [tuple(rng.gauss(0, 50) for _ in range(14)) for _ in range(12)]
