@@ -30,15 +30,8 @@ def x9_smote(spark, sf):
     return _summary(RS.Oversampler(train, FEATURES, k=5, minority=1).smote(0.5))
 
 
-@query("x10_adasyn")
-def x10_adasyn(spark, sf):
-    """ADASYN on the same rows (more synthetic rows near the background)."""
-    train, _, _ = _train_test(spark, sf)
-    return _summary(RS.Oversampler(train, FEATURES, k=5, minority=1).adasyn(0.5))
-
-
-def _synthetic_sql(method: str, ratio: float, k: int = 5) -> str:
-    """The synthetic rows of SMOTE or ADASYN: neighbours by all pairs, draws by md5."""
+def _synthetic_sql(method: str, ratio: float, k: int = 5, body: str | None = None) -> str:
+    """The synthetic rows of SMOTE or ADASYN (or ``body`` over ``drawn``): neighbours by all pairs, draws by md5."""
     feats = ", ".join(FEATURES)
     scaled, _, _ = _scaled_sql("t", FEATURES, "true")
     unrounded = ", ".join(f"({c} - mu_{c}) / case when sd_{c} = 0 then 1.0 else sd_{c} end as {c}" for c in FEATURES)
@@ -67,10 +60,19 @@ def _synthetic_sql(method: str, ratio: float, k: int = 5) -> str:
     draw = "cast('0x' || substr(md5(concat_ws(':', '{0}', event_key, cast(i as varchar))), 1, 8) as bigint)"
     ctes += ["made as (select event_key, c, coalesce(nbrs, [c]) as nbrs, unnest(range(g)) as i from grown left join near using (c) where g > 0)",
              f"drawn as (select event_key, i, c, nbrs[{draw.format(42)} % len(nbrs) + 1] as p, {draw.format(43)} / 4294967296.0 as u from made)"]
-    return ev_sql("select event_key || '#' || i as event_key, " + ", ".join(
+    return ev_sql(body or "select event_key || '#' || i as event_key, " + ", ".join(
         f"round(c[{j}] + u * (p[{j}] - c[{j}]), 6) as {f}" for j, f in enumerate(FEATURES, 1)) + " from drawn", *ctes)
 
 
+@query("x10_adasyn", oracle=_synthetic_sql("adasyn", 0.5, body=(
+    "select label, false as synthetic, count(*) as n, round(sum(weight), 6) as w from t group by label union all "
+    "select 1, true, count(*), round(count(*) * (select avg(weight) from t), 6) from drawn having count(*) > 0")))
+def x10_adasyn(spark, sf):
+    """ADASYN on the same rows (more synthetic rows near the background)."""
+    train, _, _ = _train_test(spark, sf)
+    return _summary(RS.Oversampler(train, FEATURES, k=5, minority=1).adasyn(0.5))
+
+
 def _synthetic_rows(spark, sf, method):
     train, _, _ = _train_test(spark, sf)
     ov = RS.Oversampler(train, FEATURES, k=5, minority=1)
