@@ -3,7 +3,7 @@
 Points with identical coordinates are collapsed to one point with a
 multiplicity (a skew-safe ``groupBy``), so a heavily duplicated value can never
 put a third of the rows into one group; neighbours of the distinct points come
-from the exact pivot search of :mod:`evweave.operators.neighbours`, for any
+from the exact k-d tree search of :mod:`evweave.operators.neighbours`, for any
 number of features.
 """
 

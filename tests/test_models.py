@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,51 @@ def test_knn_with_fourteen_features_and_lone_points(spark, monkeypatch):
     assert nearest_points(ref.select("c").limit(0), ref, 5, True).count() == 0
 
 
+def test_knn_visits_few_boxes_and_misses_none():
+    from evweave.operators.neighbours import Boxes
+    rng = np.random.default_rng(5)
+    seen = []
+    for n in (4000, 32000):
+        x = rng.normal(0, 1, (n, 5))
+        x[:, 1] = np.round(x[:, 1] * 2)  # a feature of few values
+        boxes = Boxes(x, 16)
+        at = boxes.place(x)
+        q = x[:200]
+        d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+        reach = np.partition(d, 5, 1)[:, 5]
+        row, box = boxes.met(q, reach)
+        met = np.zeros((len(q), boxes.count), bool)
+        met[row, box] = True
+        assert all(met[i, at[d[i] <= reach[i]]].all() for i in range(len(q)))
+        assert n / 64 <= boxes.count <= n / 16 and np.bincount(at).min() >= 16
+        seen.append(len(row) / len(q))
+    assert seen[1] < 2 * seen[0] and seen[1] < 100  # of some 1,400 boxes
+
+
+def test_knn_ties_on_a_lattice_across_boxes(spark, monkeypatch):
+    import itertools
+
+    from evweave.operators import neighbours
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 64)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 10)
+    points = {tuple(float(v) for v in c): 1 + (sum(c) % 7 == 0) for c in itertools.product(range(6), repeat=3)}
+    ref = spark.createDataFrame([(list(c), m) for c, m in points.items()], "c array<double>, mult long")
+    got = {}
+    for r in nearest_points(ref.select("c"), ref, 5, True).collect():
+        got.setdefault(tuple(r["c"]), []).extend([(r["dist"], tuple(r["nc"]))] * r["take"])
+    for c in points:
+        near = sorted((math.dist(c, o), o) for o in points for _ in range(points[o] - (o == c)))
+        assert sorted(got[c]) == near[:5]
+
+
+def test_knn_leaves_points_without_all_coordinates_out(spark):
+    rows = [([float(i), float(i % 7)], 1) for i in range(400)] + [([None, 1.0], 3)]
+    ref = spark.createDataFrame(rows, "c array<double>, mult long")
+    got = nearest_points(ref.select("c"), ref, 2, True)
+    assert got.where(F.exists("nc", lambda x: x.isNull())).count() == 0
+
+
 def test_adasyn_share_on_a_shared_spot(spark):
     rows = [(str(i), 1 if i == 0 else 0, 1.0, 0.0) for i in range(4)]  # one minority, three majority points
     rows += [(str(10 + i), 0, 1.0, 100.0 + i) for i in range(5)] + [("20", 1, 1.0, 200.0)]
