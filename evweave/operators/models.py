@@ -28,6 +28,7 @@ from ..plans.gram import pair_statistics
 from ..session import materialize, release
 
 MAX_COMPONENTS = 4096  # their square reaches the driver
+FIT_ROWS = 250_000     # rows of a task that fits Spark ML's trees, which keep a copy many times as large as the row
 ESTIMATORS = {"logistic": LogisticRegression, "gbt": GBTClassifier, "forest": RandomForestClassifier}
 
 
@@ -45,6 +46,12 @@ def training_weights(df: DataFrame, weight: str | None, policy: str | None = Non
     raise ValueError(f"unknown negative-weight policy {policy}")
 
 
+def in_fit_tasks(df: DataFrame) -> DataFrame:
+    """``df`` dealt over partitions of at most ``FIT_ROWS`` rows; as it is where they hold no more."""
+    r = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+    return df if (r["most"] or 0) <= FIT_ROWS else df.repartition(-(-r["n"] // FIT_ROWS))
+
+
 def fit_classifier(df: DataFrame, features: Sequence[str], kind: str = "logistic", label: str = "label",
                    weight: str | None = "weight", *, negative_weights: str | None = None,
                    class_weights: tuple[float, float] | None = None, **params):
@@ -65,7 +72,8 @@ def fit_classifier(df: DataFrame, features: Sequence[str], kind: str = "logistic
     d = training_weights(d, weight, negative_weights)
     est = ESTIMATORS[kind](featuresCol="_features", labelCol=label, weightCol="_w", **params)
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    return Pipeline(stages=[asm, est]).fit(d.withColumn(label, F.col(label).cast("double")))
+    d = d.withColumn(label, F.col(label).cast("double"))
+    return Pipeline(stages=[asm, est]).fit(d if kind == "logistic" else in_fit_tasks(d))
 
 
 class SignedLogistic:
@@ -184,7 +192,7 @@ def fit_forest_regressor(df: DataFrame, features: Sequence[str], label: str = "l
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     est = RandomForestRegressor(featuresCol="_features", labelCol=label, maxDepth=max_depth,
                                 numTrees=num_trees, seed=seed)
-    return Pipeline(stages=[asm, est]).fit(df.withColumn(label, F.col(label).cast("double")))
+    return Pipeline(stages=[asm, est]).fit(in_fit_tasks(df.withColumn(label, F.col(label).cast("double"))))
 
 
 def training_history(model) -> DataFrame | None:

@@ -265,6 +265,20 @@ def test_knn_leaves_points_without_all_coordinates_out(spark):
     assert got.where(F.exists("nc", lambda x: x.isNull())).count() == 0
 
 
+def test_forest_rows_are_dealt_over_tasks(spark, monkeypatch):
+    d = spark.range(1000, numPartitions=1).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("label"))
+    assert MD.in_fit_tasks(d) is d
+    assert MD.in_fit_tasks(d.limit(0)).count() == 0
+    monkeypatch.setattr(MD, "FIT_ROWS", 150)
+    sizes = [r["count"] for r in MD.in_fit_tasks(d).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 7 and sum(sizes) == 1000 and max(sizes) <= 150
+    seen = []
+    monkeypatch.setattr(MD, "Pipeline", lambda stages: type("P", (), {"fit": lambda self, df: seen.append(df.rdd.getNumPartitions())})())
+    MD.fit_forest_regressor(d, ["x"])
+    MD.fit_classifier(d.withColumn("w", F.lit(1.0)), ["x"], "gbt", weight="w", negative_weights="abs")
+    assert seen == [7, 7]
+
+
 def test_adasyn_share_on_a_shared_spot(spark):
     rows = [(str(i), 1 if i == 0 else 0, 1.0, 0.0) for i in range(4)]  # one minority, three majority points
     rows += [(str(10 + i), 0, 1.0, 100.0 + i) for i in range(5)] + [("20", 1, 1.0, 200.0)]
