@@ -33,7 +33,8 @@ from ..plans.prefix import hash_order
 from ..session import materialize, release
 
 CELL_BYTES = 64 << 20  # of the cells that a task holds at once; larger ensembles take several passes a level
-KEEP_EVERY = 25        # boosting rounds between two stored margins
+KEEP_EVERY = 10        # boosting rounds between two stored margins
+WALK_NODES = 64        # a tree of at most as many inner nodes is applied node by node, to whole columns
 
 LOSSES = ("logistic", "exponential", "squared")
 
@@ -74,7 +75,9 @@ class Tree:
         self.value, self.gain, self.weight = np.zeros(n), np.zeros(n), np.zeros(n)
 
     def place(self, bins: np.ndarray) -> np.ndarray:
-        """The node of every row, as deep as the tree has grown."""
+        """The node of every row, as deep as the tree has grown. Fastest on bins stored feature by feature."""
+        if (self.feature >= 0).sum() <= WALK_NODES:
+            return np.broadcast_to(self._below(1, bins), len(bins))
         node = np.ones(len(bins), np.int64)
         at = np.arange(len(bins))
         for _ in range(self.depth):
@@ -85,12 +88,19 @@ class Tree:
             node = np.where(inner, 2 * node + (bins[at, np.maximum(f, 0)] > self.cut[node]), node)
         return node
 
+    def _below(self, v: int, bins: np.ndarray) -> np.ndarray | np.int64:
+        """The node under ``v`` that every row would reach from there."""
+        f = self.feature[v]
+        if f < 0:
+            return np.int64(v)
+        return np.where(bins[:, f] > int(self.cut[v]), self._below(2 * v + 1, bins), self._below(2 * v, bins))
 
-def gradients(loss: str, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loss, gradient and curvature per unit of weight."""
+
+def gradients(loss: str, y: np.ndarray, margin: np.ndarray, with_loss: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """Loss (only ``with_loss``), gradient and curvature per unit of weight."""
     if loss == "logistic":
         p = 1.0 / (1.0 + np.exp(-margin))
-        return np.logaddexp(0.0, margin) - y * margin, p - y, p * (1.0 - p)
+        return np.logaddexp(0.0, margin) - y * margin if with_loss else None, p - y, p * (1.0 - p)
     if loss == "exponential":
         s = 2.0 * y - 1.0
         e = np.exp(-s * margin)
@@ -122,42 +132,46 @@ def quantile_edges(df: DataFrame, features: Sequence[str], n_bins: int = 64, acc
 
 def binned(df: DataFrame, features: Sequence[str], edges: dict[str, list[float]], label: str, weight: str | None,
            validation: Column | None, key_cols: Sequence[str], start: Sequence[float]) -> DataFrame:
-    """The stored table of the passes: ``b`` (bin of every feature, 16 bits each), ``y``, ``w``, ``val``, ``k``
-    (from the md5 of the key), ``m`` (margins of the members). Rows without label or weight are not used."""
+    """The stored table of the passes, in blocks of rows: ``b`` (bin of every feature, 16 bits each), ``y``, ``w``, ``val``,
+    ``k`` (from the md5 of the key), ``m`` (margins of the members). Rows without label or weight are not used."""
     cut = [np.array(edges[c], np.float64) for c in features]
     key = F.conv(F.substring(hash_order("row", key_cols), 1, 15), 16, 10).cast("long") if key_cols else F.lit(0).cast("long")
     src = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y"),
                     (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
                     F.coalesce(validation, F.lit(False)).alias("val") if validation is not None else F.lit(False).alias("val"),
                     key.alias("k")).where(F.col("y").isNotNull() & F.col("w").isNotNull())
-    k, first = len(features), np.array([start], np.float64).view(np.uint8)
+    k, first = len(features), np.array([start], np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = np.empty((b.num_rows, k), np.uint16)
+            if not b.num_rows:
+                continue
+            bins = np.empty((k, b.num_rows), np.uint16)
             for i in range(k):
                 x = b.column(i).to_numpy(zero_copy_only=False)
-                bins[:, i] = np.where(np.isnan(x), len(cut[i]), np.searchsorted(cut[i], x, "left"))
-            yield pa.RecordBatch.from_arrays(
-                [_fixed(bins.view(np.uint8).reshape(b.num_rows, -1)), *b.columns[k:], _fixed(np.repeat(first, b.num_rows, 0))],
-                names=["b", "y", "w", "val", "k", "m"])
+                bins[i] = np.where(np.isnan(x), len(cut[i]), np.searchsorted(cut[i], x, "left"))
+            yield _packed(bins, *(b.column(k + i).to_numpy(zero_copy_only=False).astype(t) for i, t in enumerate(("f8", "f8", "?", "i8"))),
+                          np.repeat(first, b.num_rows, 0))
+
+    return materialize(src.mapInArrow(run, ", ".join(f"{c} binary" for c in BLOCK)))
 
-    return materialize(src.mapInArrow(run, "b binary, y double, w double, val boolean, k long, m binary"))
 
+BLOCK = {"b": np.uint16, "y": np.float64, "w": np.float64, "val": np.bool_, "k": np.int64, "m": np.float64}
 
-def _fixed(rows: np.ndarray) -> pa.Array:
-    """A binary column whose values are the rows of a byte matrix."""
-    n, width = rows.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width),
-                                                  pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
+def _packed(*columns: np.ndarray) -> pa.RecordBatch:
+    """A block of rows as one record: the bytes of every column, so that Spark hands a task blocks and not rows."""
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns], names=list(BLOCK))
 
-def _rows_of(col: pa.Array, dtype) -> np.ndarray:
-    """The matrix behind a binary column of equal widths."""
-    n = len(col)
-    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + n + 1]
-    raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0]:off[-1]]
-    return np.frombuffer(raw.tobytes(), dtype).reshape(n, -1)
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The blocks of stored rows: ``b`` with a row per row (stored feature by feature), ``m`` likewise."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = {c: np.frombuffer(batch.column(j)[i].as_buffer(), BLOCK[c]) for j, c in enumerate(batch.schema.names)}
+            n = len(block["y"])
+            block["b"], block["m"] = block["b"].reshape(-1, n).T, block["m"].reshape(n, -1)
+            yield block
 
 
 def poisson_draws(key: np.ndarray, salt: int) -> np.ndarray:
@@ -172,8 +186,8 @@ def poisson_draws(key: np.ndarray, salt: int) -> np.ndarray:
 
 # --- the pass over the rows -------------------------------------------------------------------
 
-def _margins(b: pa.RecordBatch, bins: np.ndarray, specs: list[Member], new: list[list[Tree]]) -> np.ndarray:
-    m = _rows_of(b.column(b.schema.get_field_index("m")), np.float64).copy()
+def _margins(block: dict[str, np.ndarray], specs: list[Member], new: list[list[Tree]]) -> np.ndarray:
+    bins, m = block["b"], block["m"].copy()
     for j, (spec, trees) in enumerate(zip(specs, new)):
         for t in trees:
             m[:, j] += spec.rate * t.value[t.place(bins)]
@@ -187,31 +201,27 @@ def _cells(specs, new, growing, open_nodes, allowed, n_bins, k, with_loss):
         cells = {j: np.zeros((4, len(nodes) * k * n_bins)) for j, nodes in open_nodes.items()}
         losses = np.zeros((len(specs), 2, 4))
         look = {j: _lookup(nodes, specs[j].depth) for j, nodes in open_nodes.items()}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bins = _rows_of(b.column(0), np.uint16).astype(np.int64)
-            y, w, val = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            margins = _margins(b, bins, specs, new)
+        for block in _blocks(batches):
+            bins, y, w, val = (block[c] for c in ("b", "y", "w", "val"))
+            margins = _margins(block, specs, new)
             for j in open_nodes:
                 spec = specs[j]
-                loss, g, h = gradients(spec.loss, y, margins[:, j])
-                times = poisson_draws(b.column(4).to_numpy(), spec.seed * 1000003 + j) if spec.bootstrap else np.ones(len(y))
+                loss, g, h = gradients(spec.loss, y, margins[:, j], with_loss)
+                times = poisson_draws(block["k"], spec.seed * 1000003 + j) if spec.bootstrap else np.ones(len(y))
                 wj = w * times
                 if with_loss:
                     for i, mask in enumerate((~val, val)):
                         losses[j, i] += ((loss * w)[mask].sum(), w[mask].sum(), np.abs(w[mask]).sum(), mask.sum())
                 slot = look[j][growing[j].place(bins)]
-                use = (slot >= 0) & ~val & (times > 0)
-                slot, gw, hw, ww, bu = slot[use], (g * wj)[use], (h * wj)[use], wj[use], bins[use]
-                size = cells[j].shape[1]
+                use = np.flatnonzero((slot >= 0) & ~val & (times > 0))
+                slot, gw, hw, ww = slot[use], (g * wj)[use], (h * wj)[use], wj[use]
+                size, base = cells[j].shape[1], slot * (k * n_bins)
                 for f in range(k):
-                    ok = allowed[j][:, f][slot]
-                    at = (slot * k + f) * n_bins + bu[:, f]
-                    if not ok.all():
+                    at = base + f * n_bins + bins[:, f][use]
+                    gg, hh, www = gw, hw, ww
+                    if not allowed[j][:, f].all():
+                        ok = allowed[j][:, f][slot]
                         at, gg, hh, www = at[ok], gw[ok], hw[ok], ww[ok]
-                    else:
-                        gg, hh, www = gw, hw, ww
                     for i, x in enumerate((gg, hh, www, None)):
                         cells[j][i] += np.bincount(at, x, size)
         for j, nodes in open_nodes.items():
@@ -242,9 +252,9 @@ def _cell_batch(j: int, node, feature, bin_, sums) -> pa.RecordBatch:
 
 # --- the splits ---------------------------------------------------------------------------------
 
-def split_gains(cells: DataFrame, specs: list[Member], round_no: int) -> DataFrame:
+def split_gains(cells: DataFrame, specs: list[Member], round_no: int, with_loss: bool = True) -> DataFrame:
     """Per (member, node) the totals and the chosen split: ``feature, bin, gain`` and the left side's sums; a
-    null split where none gains. Equal gains (to 9 digits) go to the smaller feature, then the smaller bin."""
+    null split where none gains. Without losses (node 0) the cells are made once. Equal gains (to 9 digits) go to the smaller feature, then the smaller bin."""
     cells = cells.repartition("member", "node", "feature").groupBy("member", "node", "feature", "bin").agg(
         *[F.sum(c).alias(c) for c in "ghwn"])
     loss = cells.where(F.col("node") == 0)
@@ -278,6 +288,8 @@ def split_gains(cells: DataFrame, specs: list[Member], round_no: int) -> DataFra
                  F.when(F.col("gain").isNotNull(), F.struct(F.round("gain", 9), -F.col("feature"), -F.col("bin")))).alias("s"),
         *[F.max_by(f"t{c}", -F.col("feature")).alias(f"t{c}") for c in "ghwn"])
     best = best.select("member", "node", "s.*", *[f"t{c}" for c in "ghwn"])
+    if not with_loss:
+        return best
     return best.unionByName(loss.select("member", "node", "feature", "bin", F.lit(None).cast("double").alias("gain"),
                                         *[F.lit(None).cast("double").alias(f"l{c}") for c in "ghwn"],
                                         *[F.col(c).alias(f"t{c}") for c in "ghwn"]))
@@ -310,7 +322,7 @@ class TreeEnsemble:
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def scores(*cols):
             import pandas as pd
-            bins = np.empty((len(cols[0]), k), np.int64)
+            bins = np.empty((len(cols[0]), k), np.uint16, order="F")
             for i, c in enumerate(cols):
                 x = c.to_numpy(dtype=np.float64, na_value=np.nan)
                 bins[:, i] = np.where(np.isnan(x), len(cut[i]), np.searchsorted(cut[i], x, "left"))
@@ -527,8 +539,9 @@ def _level(rows, members, new, growing, open_nodes, round_no, n_bins, k, with_lo
         if group and (j is None or size + cost > CELL_BYTES):
             allowed = {i: np.array([_drawn_features(members[i], i, round_no, v, k) for v in nodes]).reshape(len(nodes), k)
                        for i, nodes in group.items()}
-            cells = rows.mapInArrow(_cells(members, new, growing, group, allowed, n_bins, k, with_loss), _CELL)
-            out += split_gains(cells, members, round_no).collect()
+            sent = rows if any(members[i].bootstrap for i in group) else rows.drop("k")
+            cells = sent.mapInArrow(_cells(members, new, growing, group, allowed, n_bins, k, with_loss), _CELL)
+            out += split_gains(cells, members, round_no, with_loss).collect()
             group, size = {}, 0
         if j is not None:
             group[j] = open_nodes[j]
@@ -560,9 +573,7 @@ def _note_losses(model, found, going, best, round_no) -> set[int]:
 
 def _store_margins(rows: DataFrame, specs: list[Member], new: list[list[Tree]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                m = _margins(b, _rows_of(b.column(0), np.uint16).astype(np.int64), specs, new)
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], _fixed(m.view(np.uint8).reshape(b.num_rows, -1))], names=b.schema.names)
+        for block in _blocks(batches):
+            yield _packed(block["b"].T, *(block[c] for c in ("y", "w", "val", "k")), _margins(block, specs, new))
 
     return materialize(rows.mapInArrow(run, rows.schema))

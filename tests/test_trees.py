@@ -224,3 +224,22 @@ def test_trees_of_nothing(spark, data):
     assert m.node_rows() and all(r[3] is None and r[6] == 0.0 for r in m.node_rows())
     only = data.withColumn("label", F.lit(None).cast("int"))
     assert all(r[7] == 0 for r in TR.fit_trees(only, FEATS, [TR.Member(rounds=1)]).node_rows())
+
+
+def test_trees_are_applied_alike_by_nodes_and_by_rows(monkeypatch):
+    rng = np.random.default_rng(1)
+    bins = np.asfortranarray(rng.integers(0, 16, (500, 3)).astype(np.uint16))
+    t = TR.Tree(4)
+    for v in (1, 2, 3, 4, 6, 12, 13):
+        t.feature[v], t.cut[v] = rng.integers(0, 3), rng.integers(2, 14)
+    by_nodes = t.place(bins)
+    monkeypatch.setattr(TR, "WALK_NODES", -1)
+    assert (by_nodes == t.place(bins.astype(np.int64))).all() and len(set(by_nodes)) > 2
+    assert (TR.Tree(2).place(bins) == 1).all()
+
+
+def test_passes_without_losses_skip_them():
+    y, m = np.array([0.0, 1.0, 1.0]), np.array([0.3, -1.0, 2.0])
+    loss, g, h = TR.gradients("logistic", y, m)
+    none, g2, h2 = TR.gradients("logistic", y, m, False)
+    assert none is None and loss is not None and (g == g2).all() and (h == h2).all()
